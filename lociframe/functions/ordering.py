@@ -4,6 +4,9 @@ A window ordered over a whole key puts that key into one task. Here rows are fir
 distinct values with counts, the values of a key are cut into order-preserving buckets that depend
 only on the value, the running counts are taken inside each bucket, and the totals of the earlier
 buckets (a few rows per key) are added.
+
+Functions that read their input twice cut its lineage first (a checkpoint in the shared folder), so
+the work above them, often a scan of everything, runs once and not once per branch.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lociframe.session import cut_lineage
+
 
 def order_bucket(value: Column, parts: int = 256) -> Column:
     """Order-preserving bucket of a number: its binary exponent, cut into ``parts`` equal slices."""
@@ -29,25 +34,33 @@ def _whole(keys: Sequence[str]):
 
 
 def ranked_counts(
-    df: DataFrame, keys: Sequence[str], value: str, parts: int = 256, sums: dict[str, Column] | None = None
+    df: DataFrame, keys: Sequence[str], value: str, parts: int = 256, sums: dict[str, Column] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Distinct values of ``value`` per key with ``cnt``, ``cum`` (rows up to and with it) and ``n``.
 
-    ``sums`` adds named aggregates per distinct value, for example a count per group.
+    ``sums`` adds named aggregates per distinct value, for example a count per group. With ``weight``
+    a row stands for that many equal rows.
     """
     keys = list(keys)
     extra = [c.alias(k) for k, c in (sums or {}).items()]
     distinct = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("cnt"), *extra)
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("cnt"), *extra)
         .withColumn("bucket", order_bucket(F.col(value), parts))
         .repartition(*keys, "bucket")
     )
+    local = F.sum("cnt").over(W.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    placed = distinct.withColumn("local", local)
+    # The maximum is taken over a struct of every column, so that this branch reads exactly the columns
+    # of the other one and Spark runs the shuffle below both of them only once.
+    everything = F.struct("local", value, *list(sums or {}))
     whole = _whole(keys)
     offsets = (
-        distinct.groupBy(*keys, "bucket")
-        .agg(F.sum("cnt").alias("in_bucket"))
+        placed.groupBy(*keys, "bucket")
+        .agg(F.max(everything).alias("last"))
+        .select(*keys, "bucket", F.col("last.local").alias("in_bucket"))
         .withColumn(
             "before",
             F.coalesce(F.sum("in_bucket").over(whole.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
@@ -55,11 +68,10 @@ def ranked_counts(
         .withColumn("n", F.sum("in_bucket").over(whole))
         .drop("in_bucket")
     )
-    local = F.sum("cnt").over(W.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
     return (
-        distinct.withColumn("local", local)
-        .join(offsets, [*keys, "bucket"])
+        placed.join(offsets, [*keys, "bucket"])
         .withColumn("cum", F.col("before") + F.col("local"))
+        .withColumn("cum", F.col("cum").cast("long"))
         .drop("before", "local")
     )
 
@@ -97,6 +109,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
 def bh_adjust(df: DataFrame, p: str, out: str = "padj", family: Sequence[str] = (), parts: int = 256) -> DataFrame:
     """Benjamini-Hochberg: p·n/rank with a running minimum from the largest p, capped at 1."""
     family = list(family)
+    df = cut_lineage(df)
     ranked = ranked_counts(df, family, p, parts).withColumn("raw", F.col(p) * F.col("n") / F.col("cum"))
     bucket_min = ranked.groupBy(*family, "bucket").agg(F.min("raw").alias("low"))
     later = bucket_min.withColumn(
@@ -116,6 +129,7 @@ def bh_adjust(df: DataFrame, p: str, out: str = "padj", family: Sequence[str] =
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """Rows with their tie-averaged rank of ``value`` inside each key."""
     keys = list(keys)
+    df = cut_lineage(df)
     table = ranked_counts(df, keys, value).select(*keys, value, mid_rank().alias(out))
     return df.join(table, [*keys, value], "left")
 
@@ -132,7 +146,7 @@ def ordinal_rank(
     numeric_tie = dict(df.dtypes)[tie] in {"bigint", "int", "double", "float", "smallint", "tinyint"}
     sign = -1 if descending else 1
     rows = (
-        df.withColumn("__b", sign * order_bucket(F.col(value), parts))
+        cut_lineage(df).withColumn("__b", sign * order_bucket(F.col(value), parts))
         .withColumn("__t", order_bucket(F.col(tie), parts) if numeric_tie else F.lit(0).cast("long"))
         .withColumn("__v", sign * F.col(value))
     )

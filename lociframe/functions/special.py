@@ -1,7 +1,7 @@
 """Distribution functions as Column expressions.
 
-Everything here is built from Spark's own expressions, so p-values are computed inside the JVM on
-the reduced rows and need no Python worker. Iterations run in ``aggregate`` over a short sequence.
+Normal, chi-square and hypergeometric tails are built from Spark's own expressions; their short sums
+run in ``aggregate``. The incomplete beta is the exception, see ``betainc``.
 """
 
 from __future__ import annotations
@@ -9,15 +9,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Five-term polynomial for erf (Abramowitz and Stegun 7.1.26).
 ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
-_TINY = 1e-300
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it many times in ``body`` without repeating its expression."""
@@ -61,55 +62,81 @@ def ln_factorial(n: Column) -> Column:
     return lgamma(n + 1.0)
 
 
-def betainc(a: Column, b: Column, x: Column) -> Column:
-    """Regularised incomplete beta I_x(a, b) by its continued fraction.
+def _lgamma_array(z: np.ndarray) -> np.ndarray:
+    w = z + 8.0
+    shift = z * (z + 1) * (z + 2) * (z + 3) * (z + 4) * (z + 5) * (z + 6) * (z + 7)
+    series = 1 / (12 * w) - 1 / (360 * w**3) + 1 / (1260 * w**5) - 1 / (1680 * w**7) + 1 / (1188 * w**9)
+    return (w - 0.5) * np.log(w) - w + 0.5 * math.log(2 * math.pi) + series - np.log(shift)
+
+
+def _betainc_array(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta of whole arrays: even-odd contracted continued fraction on the side
+    that converges fast, with as many steps as the largest a + b asks for."""
+    out = np.full(x.shape, np.nan)
+    out[x <= 0] = 0.0
+    out[x >= 1] = 1.0
+    live = np.flatnonzero((x > 0) & (x < 1) & np.isfinite(a) & np.isfinite(b))
+    if live.size == 0:
+        return out
+    a, b, x = a[live], b[live], x[live]
+    flip = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    # Forward recurrence for numerators and denominators, rescaled by the denominator at each step.
+    p0, q0, p1, q1 = np.zeros_like(x), np.ones_like(x), np.ones_like(x), np.ones_like(x)
+    last = np.ones_like(x)
+    for m in range(int(100 + 6 * math.sqrt(float(np.max(a + b))))):
+        coefs = (
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+            (m + 1) * (b - m - 1) * x / ((a + 2 * m + 1) * (a + 2 * m + 2)),
+        )
+        for c in coefs:
+            p0, p1 = p1, p1 + c * p0
+            q0, q1 = q1, q1 + c * q0
+        scale = np.where(q1 == 0, 1.0, q1)
+        p0, p1, q0, q1 = p0 / scale, p1 / scale, q0 / scale, q1 / scale
+        if np.all(np.abs(p1 - last) <= 1e-15 * np.abs(p1)):
+            break
+        last = p1
+    front = np.exp(a * np.log(x) + b * np.log1p(-x) + _lgamma_array(a + b) - _lgamma_array(a) - _lgamma_array(b)) / a
+    tail = np.minimum(1.0, front * p1)
+    out[live] = np.where(flip, 1.0 - tail, tail)
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def _betainc_udf(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
+    values = _betainc_array(a.to_numpy(float), b.to_numpy(float), x.to_numpy(float))
+    return pd.Series(values).where(pd.notna(values))
 
-    The side with the faster convergence is taken, and the number of steps grows with sqrt(a + b).
-    """
 
-    def clamp(v: Column) -> Column:
-        return F.when(F.abs(v) < _TINY, F.lit(_TINY)).otherwise(v)
+def betainc(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta I_x(a, b).
 
-    def body(s: Column) -> Column:
-        a, b, x, flip = s["a"], s["b"], s["x"], s["flip"]
-        steps = F.sequence(F.lit(1), (F.lit(60) + F.least(F.lit(3000.0), 4 * F.sqrt(a + b))).cast("int"))
-        d0 = 1.0 / clamp(1.0 - (a + b) * x / (a + 1.0))
-        start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("f"))
-
-        def half(acc: Column, num: Column) -> Column:
-            return let(
-                F.struct(
-                    (1.0 / clamp(1.0 + num * acc["d"])).alias("d"),
-                    clamp(1.0 + num / acc["c"]).alias("c"),
-                ),
-                lambda n: F.struct(n["c"].alias("c"), n["d"].alias("d"), (acc["f"] * n["c"] * n["d"]).alias("f")),
-            )
-
-        def step(acc: Column, i: Column) -> Column:
-            m = i.cast("double")
-            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            return let(half(acc, even), lambda h: half(h, odd))
-
-        cf = F.aggregate(steps, start, step, lambda acc: acc["f"])
-        front = F.exp(a * F.ln(x) + b * F.ln(1 - x) + lgamma(a + b) - lgamma(a) - lgamma(b)) / a
-        tail = F.least(F.lit(1.0), front * cf)
-        return F.when(flip, 1.0 - tail).otherwise(tail)
-
-    a, b, x = a.cast("double"), b.cast("double"), x.cast("double")
-    flip = x > (a + 1.0) / (a + b + 2.0)
-    packed = F.struct(
-        F.when(flip, b).otherwise(a).alias("a"),
-        F.when(flip, a).otherwise(b).alias("b"),
-        F.when(flip, 1.0 - x).otherwise(x).alias("x"),
-        flip.alias("flip"),
-    )
-    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(let(packed, body))
+    The one special function that goes to Arrow batches: its continued fraction needs tens of steps per
+    row, which numpy takes over a whole batch at once. It runs on reduced rows only.
+    """
+    return _betainc_udf(a.cast("double"), b.cast("double"), x.cast("double"))
 
 
 def student_t_two_sided(t: Column, df: Column) -> Column:
     """Two-sided tail of Student's t; null when df is not positive."""
-    return F.when(df > 0, betainc(df / 2.0, F.lit(0.5), df / (df + t * t)))
+    return betainc(df / 2.0, F.lit(0.5), df / (df + t * t))
+
+
+@F.pandas_udf(DoubleType())
+def _t_quantile_udf(q: pd.Series, df: pd.Series) -> pd.Series:
+    q, df = q.to_numpy(float), df.to_numpy(float)
+    lo, hi = np.zeros_like(q), np.full_like(q, 1e4)
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        upper = 0.5 * _betainc_array(df / 2, np.full_like(df, 0.5), df / (df + mid * mid))
+        lo, hi = np.where(upper > 1 - q, mid, lo), np.where(upper > 1 - q, hi, mid)
+    return pd.Series((lo + hi) / 2)
+
+
+def student_t_quantile(q: Column, df: Column) -> Column:
+    """Quantile of Student's t for q of at least one half, by bisection."""
+    return _t_quantile_udf(q.cast("double"), df.cast("double"))
 
 
 def chi2_sf(x: Column, k: Column) -> Column:
@@ -181,26 +208,4 @@ def hypergeom_sf(hits: Column, drawn: Column, marked: Column, total: Column) ->
 
 def beta_cdf_int(x: Column, a: Column, b: Column) -> Column:
     """Beta(a, b) distribution function for whole a, b: the binomial tail P(Bin(a+b-1, x) >= a)."""
-
-    def body(s: Column) -> Column:
-        x, a, n = s["x"], s["a"], s["n"]
-        first = F.exp(
-            ln_factorial(n) - ln_factorial(a) - ln_factorial(n - a) + a * F.ln(x) + (n - a) * F.ln(1.0 - x)
-        )
-        return F.least(
-            F.lit(1.0),
-            F.aggregate(
-                F.sequence(a, n),
-                F.struct(first.alias("t"), F.lit(0.0).alias("s")),
-                lambda acc, j: F.struct(
-                    (acc["t"] * (n - j) / (j + 1.0) * x / (1.0 - x)).alias("t"),
-                    (acc["s"] + acc["t"]).alias("s"),
-                ),
-                lambda acc: acc["s"],
-            ),
-        )
-
-    packed = F.struct(
-        x.cast("double").alias("x"), a.cast("long").alias("a"), (a + b - 1).cast("long").alias("n")
-    )
-    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(let(packed, body))
+    return betainc(a, b, x)

@@ -16,11 +16,11 @@ from lociframe.functions.ordering import (
     ordinal_rank,
     ranked_counts,
 )
+from lociframe.session import cut_lineage
 from lociframe.functions.special import (
     beta_cdf_int,
     betainc,
     chi2_sf,
-    let,
     normal_two_sided,
     student_t_two_sided,
 )
@@ -55,8 +55,7 @@ def welch(moments: DataFrame) -> DataFrame:
     t = F.when(se2 == 0, 0.0).otherwise(F.col("delta") / F.sqrt(se2))
     df = F.when(se2 > 0, se2 * se2 / (qa * qa / (F.col("n_ref") - 1) + qb * qb / (F.col("n_alt") - 1)))
     out = moments.where((F.col("n_ref") >= 2) & (F.col("n_alt") >= 2)).withColumn("t", t).withColumn("df", df)
-    p = F.when(F.col("df").isNull(), 1.0).otherwise(student_t_two_sided(F.col("t"), F.col("df")))
-    return out.withColumn("pvalue", p)
+    return out.withColumn("pvalue", F.coalesce(student_t_two_sided(F.col("t"), F.col("df")), F.lit(1.0)))
 
 
 def differential_test(
@@ -100,7 +99,7 @@ def marker_tests(lm: DataFrame, clusters: DataFrame) -> DataFrame:
 
     Ranks are taken once per feature; each cluster only needs its rank sum and value sum.
     """
-    rows = lm.join(clusters.select("sample", "cluster"), "sample")
+    rows = cut_lineage(lm.join(clusters.select("sample", "cluster"), "sample"))
     ranked = ranked_counts(rows, ["feature"], "value").withColumn("mid", mid_rank())
     c = F.col("cnt")
     per_feature = ranked.groupBy("feature").agg(
@@ -138,6 +137,7 @@ def bonferroni(df: DataFrame, p: str, out: str = "padj") -> DataFrame:
 def kruskal(rows: DataFrame, value: str, group: str, keys: Sequence[str] = ()) -> DataFrame:
     """Kruskal-Wallis H with mid-ranks and tie correction, df = groups - 1."""
     keys = list(keys)
+    rows = cut_lineage(rows.select(*keys, group, value))
     ranked = ranked_counts(rows, keys, value).withColumn("mid", mid_rank())
     c = F.col("cnt")
     totals = ranked.groupBy(*keys).agg(
@@ -224,24 +224,12 @@ def pairwise_rank_test(rows: DataFrame, value: str, group: str, comparison: str
 def mann_whitney_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mann-Whitney from rows (keys, value, is_alt, k) that stand for k equal values."""
     keys = list(keys)
-    from lociframe.functions.ordering import order_bucket
-
-    cells = counts.groupBy(*keys, "value").agg(
-        F.sum("k").alias("cnt"), F.sum(F.when(F.col("is_alt"), F.col("k")).otherwise(0)).alias("c_alt")
-    ).withColumn("bucket", order_bucket(F.col("value"))).repartition(*keys, "bucket")
-    offsets = cells.groupBy(*keys, "bucket").agg(F.sum("cnt").alias("m")).withColumn(
-        "before", F.coalesce(F.sum("m").over(
-            W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ).drop("m")
-    local = F.sum("cnt").over(W.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    ranked = ranked_counts(counts, keys, "value", weight="k",
+                           sums={"c_alt": F.sum(F.when(F.col("is_alt"), F.col("k")).otherwise(0))})
     c = F.col("cnt")
-    agg = (
-        cells.withColumn("local", local).join(offsets, [*keys, "bucket"])
-        .withColumn("cum", F.col("before") + F.col("local"))
-        .groupBy(*keys).agg(
-            F.sum("c_alt").alias("n_alt"), F.sum(c - F.col("c_alt")).alias("n_ref"),
-            F.sum(F.col("c_alt") * mid_rank()).alias("rank_sum"), F.sum((c * c * c - c).cast("double")).alias("ties"),
-        )
+    agg = ranked.groupBy(*keys).agg(
+        F.sum("c_alt").alias("n_alt"), F.sum(c - F.col("c_alt")).alias("n_ref"),
+        F.sum(F.col("c_alt") * mid_rank()).alias("rank_sum"), F.sum((c * c * c - c).cast("double")).alias("ties"),
     )
     n1, n2 = F.col("n_alt"), F.col("n_ref")
     n = n1 + n2
@@ -363,6 +351,7 @@ def rra_scores(guides: DataFrame, alpha: float | None = None) -> DataFrame:
     Normalised tie-averaged ranks of all guides; per gene the smallest Beta(i, k-i+1) probability of its
     i-th smallest rank. With ``alpha`` only ranks up to alpha count (score 1 when none).
     """
+    guides = cut_lineage(guides)
     ranked = ranked_counts(guides, [], "lfc")
     n = F.col("n")
     table = ranked.select(
