@@ -312,9 +312,10 @@ o AS (SELECT *, row_number() OVER (PARTITION BY gene, arm ORDER BY r, feature) A
 s AS (SELECT gene, arm, max(k) AS num_sgrna, min({TAIL}) AS score FROM o GROUP BY gene, arm), d AS ({bh('SELECT * FROM s', 'score', 'fdr', 'arm')})"""
 
 
-@query("rra_scores", f"{RRA} SELECT gene, arm, num_sgrna, round(score, 6) AS score, round(fdr, 6) AS fdr FROM d")
+@query("rra_scores", f"{RRA} SELECT gene, arm, num_sgrna, round(score, 8) AS score, round(fdr, 8) AS fdr FROM d")
 def _(spark, sf):
-    return r6(S.rra_scores(guides(spark, sf)), "score", "fdr")
+    out = S.rra_scores(guides(spark, sf))
+    return out.withColumn("score", F.round("score", 8)).withColumn("fdr", F.round("fdr", 8))
 
 
 @query("screen_hits", f"""{RRA} SELECT gene, arm, num_sgrna, round(score, 6) AS score FROM d WHERE gene IN (SELECT gene FROM d WHERE fdr < 0.95)""")
