@@ -76,6 +76,32 @@ def ranked_counts(
     )
 
 
+def running_sums(table: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], parts: int = 256) -> DataFrame:
+    """Running totals along ``order`` inside each key, for a table with one row per (keys, order).
+
+    Adds ``<name>_run`` (up to and with the row) and ``<name>_all`` (whole key) for each name in ``sums``.
+    """
+    keys, sums = list(keys), list(sums)
+    rows = table.withColumn("bucket", order_bucket(F.col(order), parts)).repartition(*keys, "bucket")
+    inside = W.partitionBy(*keys, "bucket").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    placed = rows.select("*", *[F.sum(c).over(inside).alias(f"{c}_in") for c in sums])
+    everything = F.struct(order, *[c for c in placed.columns if c not in {*keys, "bucket", order}])
+    whole = _whole(keys)
+    before = whole.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "bucket").agg(F.max(everything).alias("last")).select(
+        *keys, "bucket", *[F.col(f"last.{c}_in").alias(f"{c}_sum") for c in sums]
+    ).select(
+        *keys, "bucket",
+        *[F.coalesce(F.sum(f"{c}_sum").over(before), F.lit(0)).alias(f"{c}_before") for c in sums],
+        *[F.sum(f"{c}_sum").over(whole).alias(f"{c}_all") for c in sums],
+    )
+    out = placed.join(totals, [*keys, "bucket"])
+    return out.select(
+        *table.columns, *[(F.col(f"{c}_before") + F.col(f"{c}_in")).alias(f"{c}_run") for c in sums],
+        *[f"{c}_all" for c in sums],
+    )
+
+
 def mid_rank(cum: str = "cum", cnt: str = "cnt") -> Column:
     return F.col(cum) - (F.col(cnt) - 1) / 2.0
 
