@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociframe.functions.special import let
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -173,11 +175,19 @@ def digest_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 128-residue protein per document over the twenty amino acids (each hex pair picks one)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     digests = F.concat(*[F.md5(F.concat(F.lit(f"p{i}:"), F.col("text"))) for i in range(8)])
-    letters = "ACDEFGHIKLMNPQRSTVWY"
-    pick = F.transform(
-        F.sequence(F.lit(0), F.lit(127)),
-        lambda i: F.substring(
-            F.lit(letters), (F.conv(F.substring(digests, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % 20) + 1, F.lit(1)
-        ),
-    )
-    return docs.select(F.col("doc_id").alias("protein"), F.array_join(pick, "").alias("seq"))
+    letters = F.array(*[F.lit(c) for c in "ACDEFGHIKLMNPQRSTVWY"])
+
+    def spell(d):
+        pairs = F.regexp_extract_all(d, F.lit(".."), F.lit(0))
+        return F.array_join(F.transform(pairs, lambda h: F.get(letters, F.conv(h, 16, 10).cast("int") % 20)), "")
+
+    return docs.select(F.col("doc_id").alias("protein"), let(digests, spell).alias("seq"))
+
+
+
+DIGEST_PROTEINS = (
+    "SELECT doc_id AS protein, list_aggregate(list_transform(range(0, 128), lambda i: substr('ACDEFGHIKLMNPQRSTVWY', "
+    "CAST(CAST('0x' || substr(d, i * 2 + 1, 2) AS INTEGER) % 20 + 1 AS BIGINT), 1)), 'string_agg', '') AS seq FROM (SELECT doc_id, "
+    + " || ".join(f"md5('p{i}:' || text)" for i in range(8))
+    + " AS d FROM documents)"
+)
