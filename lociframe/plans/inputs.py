@@ -98,10 +98,15 @@ max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS event, sum(l_quantity) AS
 FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey"""
 
 
+def event_second():
+    """Second of the event since 1970, whatever the session time zone is."""
+    return F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+
+
 def event_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chrom = user, start = second of the event, end = start + 60 * value + 1."""
     ev = table(spark, sf_dir, "events")
-    start = F.unix_timestamp("ts")
+    start = event_second()
     return ev.select(
         F.col("user_id").alias("chrom"),
         start.alias("start"),

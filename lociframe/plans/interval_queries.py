@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lociframe.operators import intervals as I
-from lociframe.plans.inputs import EVENT_INTERVALS, event_intervals, table
+from lociframe.plans.inputs import EVENT_INTERVALS, event_intervals, event_second, table
 from lociframe.plans.matrix_queries import r6
 from lociframe.plans.registry import query
 
@@ -69,7 +69,7 @@ GENES = """SELECT user_id AS chrom, CAST(floor(epoch(ts)) AS BIGINT) AS "start",
 
 def genes(spark, sf):
     ev = table(spark, sf, "events").where("event_type = 'purchase'")
-    s = F.unix_timestamp("ts")
+    s = event_second()
     return ev.select(F.col("user_id").alias("chrom"), s.alias("start"), (s + F.floor(F.col("value") * 600) + 1).alias("end"),
                      F.col("event_id").alias("gene"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("strand"))
 
