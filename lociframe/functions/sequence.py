@@ -85,6 +85,12 @@ def iupac_regex(pam: str) -> str:
     return "".join(f"[{IUPAC_CODES[c]}]" if c in IUPAC_CODES else c for c in pam.upper())
 
 
+def iupac_regex_reverse(pam: str) -> str:
+    """Pattern of the reverse complement of a PAM."""
+    pair = {"A": "T", "C": "G", "G": "C", "T": "A"}
+    return "".join("[" + "".join(pair[b] for b in IUPAC_CODES.get(c, c)) + "]" for c in reversed(pam.upper()))
+
+
 def count_char(seq: Column, letter: str) -> Column:
     return F.length(seq) - F.length(F.replace(seq, F.lit(letter), F.lit("")))
 

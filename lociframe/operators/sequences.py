@@ -33,24 +33,30 @@ def windows(df: DataFrame, width: int, seq: str = "seq") -> DataFrame:
         *keep, "n", (F.col("k") * PIECE + F.col("i")).alias("at"), F.substr("piece", F.col("i") + 1, F.lit(width)).alias("window"))
 
 
-def both_strands(wins: DataFrame, spacer_len: int, pam_len: int) -> DataFrame:
-    """Spacer, PAM and spacer start on the forward frame for both readings of each window."""
-    rc = Q.reverse_complement(F.col("window"))
-    sides = F.array(
-        F.struct(F.lit("+").alias("strand"), F.col("at").alias("position"), F.col("window").alias("w")),
-        F.struct(F.lit("-").alias("strand"), (F.col("at") + pam_len).alias("position"), rc.alias("w")),
-    )
+def both_strands(wins: DataFrame, spacer_len: int, pam: str) -> DataFrame:
+    """Sites of both strands: spacer, PAM and spacer start on the forward frame.
+
+    The PAM of the reverse strand is looked for as its reverse complement at the front of the window, so
+    only the few windows that have one are turned round.
+    """
+    n, w = len(pam), F.col("window")
+    rc = Q.reverse_complement(w)
+    plus = F.substring(w, spacer_len + 1, n).rlike(f"^{Q.iupac_regex(pam)}$")
+    minus = F.substring(w, 1, n).rlike(f"^{Q.iupac_regex_reverse(pam)}$")
+    sides = F.array_compact(F.array(
+        F.when(plus, F.struct(F.lit("+").alias("strand"), F.col("at").alias("position"), w.alias("w"))),
+        F.when(minus, F.struct(F.lit("-").alias("strand"), (F.col("at") + n).alias("position"), rc.alias("w"))),
+    ))
     keep = [c for c in wins.columns if c != "window"]
-    out = wins.select(*keep, F.explode(sides).alias("s"))
+    out = wins.where(plus | minus).select(*keep, F.explode(sides).alias("s"))
     return out.select(*keep, "s.strand", "s.position", F.substring("s.w", 1, spacer_len).alias("spacer"),
-                      F.substring("s.w", spacer_len + 1, pam_len).alias("pam"))
+                      F.substring("s.w", spacer_len + 1, n).alias("pam"))
 
 
 def find_sites(df: DataFrame, pam: str = "NGG", spacer_len: int = 20, clean: bool = True) -> DataFrame:
     """All spacers next to a PAM on both strands, also overlapping ones; no N, optionally no problem motifs."""
-    sites = both_strands(windows(df, spacer_len + len(pam)), spacer_len, len(pam)).drop("at", "n")
-    ok = F.col("pam").rlike(f"^{Q.iupac_regex(pam)}$") & ~F.contains(F.col("spacer"), F.lit("N"))
-    sites = sites.where(ok)
+    sites = both_strands(windows(df, spacer_len + len(pam)), spacer_len, pam).drop("at", "n")
+    sites = sites.where(~F.contains(F.col("spacer"), F.lit("N")))
     return sites.where(~Q.is_problematic(F.col("spacer"))) if clean else sites
 
 
@@ -134,12 +140,12 @@ def base_editor_scan(exons: DataFrame, pam: str = "NGG", window: tuple[int, int]
     """
     pam_len = len(pam)
     wins = windows(exons, 20 + pam_len)
-    sites = both_strands(wins, 20, pam_len)
+    sites = both_strands(wins, 20, pam)
     own = F.when(F.col("strand") == "+", F.col("at")).otherwise(F.col("n") - F.col("at") - (20 + pam_len))
     pos = Q.window_positions(F.col("spacer"), window[0], window[1], target)
     out = (
         sites.where(own < F.col("n") - 23)
-        .where(F.col("pam").rlike(f"^{Q.iupac_regex(pam)}$") & F.col("spacer").rlike("^[ACGT]+$"))
+        .where(F.col("spacer").rlike("^[ACGT]+$"))
         .withColumn("positions", pos).where(F.size("positions") > 0)
         .withColumn("bystander_count", F.size("positions") - 1)
         .where(F.col("bystander_count") <= (max_bystander if allow_bystander else 0))
@@ -163,11 +169,13 @@ def first_by_sequence(guides: DataFrame) -> DataFrame:
 
 
 def dual_editor_scan(exons: DataFrame, pam: str = "NGG", window: tuple[int, int] = (4, 8)) -> DataFrame:
-    """Spacers that both editor types can use: found in the C scan and in the A scan."""
+    """Spacers that both editor types can use, first site of each: those of the C scan with an A in the window.
+
+    Both scans accept a site by the same rules but for the base, so one scan gives their intersection.
+    """
     c = base_editor_scan(exons, pam, window, "C")
-    a = base_editor_scan(exons, pam, window, "A")
-    both = c.select("sgrna_seq").intersect(a.select("sgrna_seq"))
-    return first_by_sequence(c.join(both, "sgrna_seq", "left_semi")).withColumn("target_base", F.lit("CA"))
+    has_a = F.size(Q.window_positions(F.col("sgrna_seq"), window[0], window[1], "A")) > 0
+    return first_by_sequence(c.where(has_a)).withColumn("target_base", F.lit("CA"))
 
 
 def near_codon(guides: DataFrame, cds_start: Column | int, aa_position: int, buffer: int = 23) -> DataFrame:
