@@ -10,11 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.functions.ordering import ordinal_rank
-from lociframe.session import cut_lineage
+from lociframe.session import cut_lineage, spread
 
 MOMENTS = "n double, sx double, sy double, sxx double, syy double, sxy double"
 
@@ -48,10 +48,10 @@ def column_moments(lm: DataFrame, row: str = "feature", col: str = "sample", val
         F.max(F.when(F.col("__b") == F.col("ba"), F.struct("idx", "val"))).alias("left"),
         F.max(F.when(F.col("__b") == F.col("bb"), F.struct("idx", "val"))).alias("right"),
     ).where("left is not null and right is not null")
-    salted = paired.select(
+    salted = spread(paired.select(
         "ba", "bb", F.pmod(F.xxhash64(row), F.lit(salts)).alias("salt"), F.col("left.idx").alias("ia"),
         F.col("left.val").alias("va"), F.col("right.idx").alias("ib"), F.col("right.val").alias("vb"),
-    ).repartition("ba", "bb", "salt").sortWithinPartitions("ba", "bb")
+    ), "ba", "bb", "salt").sortWithinPartitions("ba", "bb")
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush(key: tuple[int, int], sums: np.ndarray) -> pd.DataFrame:
@@ -80,11 +80,17 @@ def column_moments(lm: DataFrame, row: str = "feature", col: str = "sample", val
 
     partial = salted.mapInPandas(multiply, f"ia long, ib long, {MOMENTS}")
     total = partial.groupBy("ia", "ib").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    return (
-        total.join(place.select(F.col("__i").alias("ia"), F.col(col).alias("a")), "ia")
-        .join(place.select(F.col("__i").alias("ib"), F.col(col).alias("b")), "ib")
-        .select("a", "b", F.col("n").cast("long").alias("n"), "sx", "sy", "sxx", "syy", "sxy")
-    )
+    named = total.join(place.select(F.col("__i").alias("ia"), F.col(col).alias("p")), "ia").join(
+        place.select(F.col("__i").alias("ib"), F.col(col).alias("q")), "ib")
+    # Names of text columns are placed by hash, so a pair may have to be turned round.
+    turn = F.col("p") > F.col("q")
+
+    def side(x: str, y: str) -> Column:
+        return F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x)
+
+    return named.select(
+        F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.col("n").cast("long").alias("n"),
+        side("sx", "sy"), side("sy", "sx"), side("sxx", "syy"), side("syy", "sxx"), "sxy")
 
 
 def _dense(idx: pd.Series, val: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +127,7 @@ def point_blocks(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     right = tiles.select(F.col("tile").alias("other"), F.col("id").alias("idb"), F.col("vec").alias("vb"),
                          *([F.col("extra").alias("xb")] if extra else []))
-    pairs = left.join(right, "other").repartition("tile", "other")
+    pairs = spread(left.join(right, "other"), "tile", "other")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

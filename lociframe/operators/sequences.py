@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import sequence as Q
 from lociframe.functions.ordering import ordinal_rank
-from lociframe.session import cut_lineage
+from lociframe.session import cut_lineage, spread
 
 PIECE = 1024
 
@@ -26,8 +26,8 @@ def windows(df: DataFrame, width: int, seq: str = "seq") -> DataFrame:
         df.select(*keep, F.length(seq).alias("n"), parts.alias("parts"))
         .select(*keep, "n", F.posexplode(joined).alias("k", "piece"))
         .where(F.length("piece") >= width)
-        .repartition(*keep, "k")
     )
+    pieces = spread(pieces, *keep, "k")
     at = F.explode(F.sequence(F.lit(0), F.least(F.lit(PIECE - 1), F.length("piece") - width)))
     return pieces.withColumn("i", at).select(
         *keep, "n", (F.col("k") * PIECE + F.col("i")).alias("at"), F.substr("piece", F.col("i") + 1, F.lit(width)).alias("window"))
