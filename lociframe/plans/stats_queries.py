@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lociframe.functions.ordering import bh_adjust
+from lociframe.functions.ordering import bh_adjust, exact_quantiles
 from lociframe.operators import matrix as M
 from lociframe.operators import stats as S
 from lociframe.plans.inputs import (
@@ -321,3 +321,10 @@ def _(spark, sf):
 @query("screen_hits", f"""{RRA} SELECT gene, arm, num_sgrna, round(score, 6) AS score FROM d WHERE gene IN (SELECT gene FROM d WHERE fdr < 0.95)""")
 def _(spark, sf):
     return r6(S.screen_hits(S.rra_scores(guides(spark, sf)), 0.95).drop("fdr"), "score")
+
+
+@query("group_quantiles", f"SELECT grp, " + ", ".join(f"round(quantile_cont(price, {q}), 4) AS q{int(q * 100)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + f" FROM ({LINES}) GROUP BY grp")
+def _(spark, sf):
+    probs = {f"q{int(q * 100)}": q for q in (0.05, 0.25, 0.5, 0.75, 0.95)}
+    out = exact_quantiles(brand_lines(spark, sf), ["grp"], "price", probs)
+    return out.select("grp", *[F.round(c, 4).alias(c) for c in probs])
