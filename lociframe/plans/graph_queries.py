@@ -96,7 +96,7 @@ def _(spark, sf):
     return r6(G.sampled_betweenness(e, src.join(dst, "pair")), "betweenness")
 
 
-@query("partner_rows", "SELECT DISTINCT p_name AS protein_a, p_brand AS protein_b, CAST(p_size AS DOUBLE) AS score, 0.0 AS score_coexp, CAST(p_size AS DOUBLE) / 2 AS score_exp, 0.0 AS score_db, 0.0 AS score_textmine FROM part")
+@query("partner_rows", "SELECT DISTINCT p_name AS protein_a, p_brand AS protein_b, CAST(p_size AS DOUBLE) AS score, CAST(0 AS DOUBLE) AS score_coexp, CAST(p_size AS DOUBLE) / 2 AS score_exp, CAST(0 AS DOUBLE) AS score_db, CAST(0 AS DOUBLE) AS score_textmine FROM part")
 def _(spark, sf):
     s = F.col("p_size").cast("double")
     none = F.lit(None).cast("double")
@@ -233,7 +233,7 @@ def predictions(spark, sf):
                      F.col("l_extendedprice").alias("score"), (flag == "R").alias("is_positive"))
 
 
-@query("confusion_matrix", f"WITH {PRED} SELECT label, prediction, count(*) AS count FROM p GROUP BY 1, 2")
+@query("confusion_matrix", f"WITH {PRED} SELECT CAST(label AS DOUBLE) AS label, CAST(prediction AS DOUBLE) AS prediction, count(*) AS count FROM p GROUP BY 1, 2")
 def _(spark, sf):
     return K.confusion_matrix(predictions(spark, sf))
 

@@ -118,8 +118,8 @@ def covariates(spark, sf):
 
 @query("prepare_covariates", f"""WITH s AS ({ORDER_SURVIVAL}), j AS (SELECT s.*, c_mktsegment AS segment FROM s JOIN customer ON custkey = c_custkey),
 z AS (SELECT id, segment, (price - avg(price) OVER ()) / (stddev_pop(price) OVER () + 1e-10) AS p, (units - avg(units) OVER ()) / (stddev_pop(units) OVER () + 1e-10) AS u FROM j)
-SELECT id, round(p, 6) AS price_z, round(u, 6) AS units_z, CASE WHEN segment = 'BUILDING' THEN 1.0 ELSE 0.0 END AS segment_BUILDING, CASE WHEN segment = 'FURNITURE' THEN 1.0 ELSE 0.0 END AS segment_FURNITURE,
-CASE WHEN segment = 'HOUSEHOLD' THEN 1.0 ELSE 0.0 END AS segment_HOUSEHOLD, CASE WHEN segment = 'MACHINERY' THEN 1.0 ELSE 0.0 END AS segment_MACHINERY, round(p * u, 6) AS interaction FROM z""")
+SELECT id, round(p, 6) AS price_z, round(u, 6) AS units_z, CAST(CASE WHEN segment = 'BUILDING' THEN 1 ELSE 0 END AS DOUBLE) AS segment_BUILDING, CAST(CASE WHEN segment = 'FURNITURE' THEN 1 ELSE 0 END AS DOUBLE) AS segment_FURNITURE,
+CAST(CASE WHEN segment = 'HOUSEHOLD' THEN 1 ELSE 0 END AS DOUBLE) AS segment_HOUSEHOLD, CAST(CASE WHEN segment = 'MACHINERY' THEN 1 ELSE 0 END AS DOUBLE) AS segment_MACHINERY, round(p * u, 6) AS interaction FROM z""")
 def _(spark, sf):
     df, names = covariates(spark, sf)
     out = df.select("id", *[f"`{n}`" for n in names]).withColumnRenamed("price:units", "interaction")
