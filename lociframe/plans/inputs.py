@@ -196,3 +196,31 @@ DIGEST_PROTEINS = (
     + " || ".join(f"md5('p{i}:' || text)" for i in range(8))
     + " AS d FROM documents)"
 )
+
+
+def brand_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature = brand, sample = customer, value = units bought."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return (
+        li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(F.col("p_brand").alias("feature"), F.col("o_custkey").alias("sample")).agg(F.sum("l_quantity").alias("value"))
+    )
+
+
+BRAND_MATRIX = """SELECT p_brand AS feature, o_custkey AS sample, sum(l_quantity) AS value FROM lineitem
+JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"""
+
+
+def customer_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample = customer, grp = control for region 0, treatment for the others, batch = nation."""
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    return cust.join(nat, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("sample"), F.when(F.col("n_regionkey") == 0, "control").otherwise("treatment").alias("grp"),
+        F.col("c_nationkey").alias("batch"))
+
+
+CUSTOMER_META = """SELECT c_custkey AS sample, CASE n_regionkey WHEN 0 THEN 'control' ELSE 'treatment' END AS grp,
+c_nationkey AS batch FROM customer JOIN nation ON c_nationkey = n_nationkey"""

@@ -8,9 +8,13 @@ from lociframe.functions.ordering import bh_adjust, exact_quantiles
 from lociframe.operators import matrix as M
 from lociframe.operators import stats as S
 from lociframe.plans.inputs import (
+    BRAND_MATRIX,
+    CUSTOMER_META,
     KIND_MATRIX,
     PART_MATRIX,
     SUPPLIER_META,
+    brand_matrix,
+    customer_meta,
     kind_matrix,
     part_matrix,
     supplier_meta,
@@ -328,3 +332,12 @@ def _(spark, sf):
     probs = {f"q{int(q * 100)}": q for q in (0.05, 0.25, 0.5, 0.75, 0.95)}
     out = exact_quantiles(brand_lines(spark, sf), ["grp"], "price", probs)
     return out.select("grp", *[F.round(c, 4).alias(c) for c in probs])
+
+
+@query("differential_by_customer", f"""{DIFF_SQL.replace(PART_MATRIX, BRAND_MATRIX).replace(SUPPLIER_META, CUSTOMER_META)} SELECT feature, n_ref, n_alt, round(mean_ref, 6) AS mean_ref, round(mean_alt, 6) AS mean_alt,
+round(delta, 6) AS delta, round(t, 6) AS t, round(df, 5) AS df FROM d""")
+def _(spark, sf):
+    """Flagship: matrix, log2 CPM, groups, Welch test, adjusted p, with every customer as a sample."""
+    out = S.differential_test(M.cpm(brand_matrix(spark, sf), log2=True), customer_meta(spark, sf), "control")
+    out = r6(out, "mean_ref", "mean_alt", "delta", "t").withColumn("df", F.round("df", 5))
+    return out.select("feature", "n_ref", "n_alt", "mean_ref", "mean_alt", "delta", "t", "df")
