@@ -7,12 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociframe.functions.ordering import ordinal_rank
 from lociframe.operators.graph import connected_components
-from lociframe.session import cut_lineage
+from lociframe.session import cut_lineage, spread
 
 # Three-letter to one-letter residue names.
 THREE_TO_ONE = {
@@ -83,14 +82,33 @@ def structure_label(code: Column) -> Column:
     return F.when(code == "H", "Helix").when(code == "E", "Strand").otherwise("Coil")
 
 
-def nearest_pocket(points: DataFrame, pocket_rows: DataFrame, near: float = 8.0) -> DataFrame:
+def _tiles(rows: DataFrame, fields: list[str], name: str, tile: int) -> DataFrame:
+    """Rows of each structure packed to arrays of about ``tile`` rows."""
+    parts = rows.groupBy("structure").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
+    placed = rows.join(parts, "structure").withColumn("t", F.pmod(F.xxhash64(*fields), F.col("parts")))
+    packed = placed.groupBy("structure", "t").agg(F.collect_list(F.struct(*fields)).alias("m"))
+    return packed.select("structure", F.col("t").alias(f"{name}_tile"), *[F.col(f"m.{f}").alias(f"{name}_{f}") for f in fields])
+
+
+def nearest_pocket(points: DataFrame, pocket_rows: DataFrame, near: float = 8.0, tile: int = 512) -> DataFrame:
     """Distance of each point (structure, vid, x, y, z) to the nearest pocket residue of its structure.
 
-    Pocket residues of a structure are looked at per point; a minimum is kept while they stream by.
+    Points and pocket residues meet as pairs of tiles. A pair of tiles returns one minimum per point, so
+    a structure with very many residues is spread over tasks and its single pairs are never rows.
     """
-    q = pocket_rows.select("structure", *[F.col(c).alias(f"p{c}") for c in "xyz"])
-    d2 = sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "xyz"), F.lit(0.0))
-    best = points.join(q, "structure").groupBy("vid").agg(F.sqrt(F.min(d2)).alias("pocket_distance"))
+    a = _tiles(points.select("structure", "vid", "x", "y", "z"), ["vid", "x", "y", "z"], "a", tile)
+    b = _tiles(pocket_rows.select("structure", "x", "y", "z"), ["x", "y", "z"], "b", tile)
+    pairs = spread(a.join(b, "structure"), "structure", "a_tile", "b_tile")
+
+    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                p = np.column_stack([np.asarray(v, dtype=float) for v in (r.a_x, r.a_y, r.a_z)])
+                q = np.column_stack([np.asarray(v, dtype=float) for v in (r.b_x, r.b_y, r.b_z)])
+                d2 = ((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2).min(axis=1)
+                yield pd.DataFrame({"vid": np.asarray(r.a_vid), "d": np.sqrt(d2)})
+
+    best = pairs.mapInPandas(smallest, f"vid {dict(points.dtypes)['vid']}, d double").groupBy("vid").agg(F.min("d").alias("pocket_distance"))
     return points.join(best, "vid", "left").withColumn("near_pocket", F.coalesce(F.col("pocket_distance") < near, F.lit(False)))
 
 
