@@ -244,8 +244,6 @@ def flatten_protein_record(df: DataFrame, rec: str = "rec") -> DataFrame:
     texts = F.flatten(F.transform(of("FUNCTION"), lambda c: F.coalesce(F.transform(c["texts"], lambda t: t["value"]), F.array().cast("array<string>"))))
     places = F.flatten(F.transform(of("SUBCELLULAR LOCATION"), lambda c: F.coalesce(
         F.transform(c["subcellularLocations"], lambda s: F.trim(s["location"]["value"])), F.array().cast("array<string>"))))
-    ill = F.transform(of("DISEASE"), lambda c: F.coalesce(
-        F.split_part(T.normalize_space(c["disease"]["description"]), F.lit("."), F.lit(1)), c["disease"]["acronym"], c["disease"]["diseaseId"]))
     ill = F.transform(of("DISEASE"), lambda c: F.when(
         F.coalesce(c["disease"]["description"], F.lit("")) != "", F.split_part(T.normalize_space(c["disease"]["description"]), F.lit("."), F.lit(1))
     ).otherwise(F.coalesce(c["disease"]["acronym"], c["disease"]["diseaseId"])))

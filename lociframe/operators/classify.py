@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.functions.ordering import mid_rank, ordinal_rank, ranked_counts
+from lociframe.functions.ordering import mid_rank, ordinal_rank, ranked_counts, running_sums
 from lociframe.session import cut_lineage
 
 
@@ -88,8 +88,6 @@ def classification_report(pred: DataFrame) -> DataFrame:
 def roc_curve(pred: DataFrame, score: str = "score", positive: str = "is_positive") -> DataFrame:
     """False and true positive rates at each distinct score, from the highest down."""
     r = ranked_counts(pred, [], score, sums={"pos": F.sum(F.col(positive).cast("long"))})
-    from lociframe.functions.ordering import running_sums
-
     run = running_sums(r.select(score, "cnt", "pos"), [], score, ["cnt", "pos"])
     tp = F.col("pos_all") - F.col("pos_run") + F.col("pos")
     seen = F.col("cnt_all") - F.col("cnt_run") + F.col("cnt")

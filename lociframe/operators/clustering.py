@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociframe.functions.ordering import ordinal_rank
 from lociframe.operators.blocks import column_moments, point_blocks
 from lociframe.operators.graph import connected_components
 from lociframe.session import cut_lineage

@@ -10,16 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociframe.functions.ordering import (
-    average_rank,
-    exact_median,
-    exact_quantiles,
-    ordinal_rank,
-    ranked_counts,
-)
+from lociframe.functions.ordering import exact_median, ordinal_rank, ranked_counts
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
@@ -369,5 +362,3 @@ def empirical_cdf(lm: DataFrame, key: str = "sample") -> DataFrame:
     """Cumulative fraction of rows at or below each distinct value."""
     return ranked_counts(lm, [key], "value").select(key, "value", (F.col("cum") / F.col("n")).alias("cdf"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from lociframe.functions.ordering import (
     bh_adjust,
     exact_median,
-    exact_quantiles,
     mid_rank,
     ordinal_rank,
     ranked_counts,

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from lociframe.functions import text as T
 from lociframe.operators import annotate as A
 from lociframe.plans.inputs import table
-from lociframe.plans.literature_queries import SPACE
 from lociframe.plans.matrix_queries import r6
 from lociframe.plans.registry import query
 

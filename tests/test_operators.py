@@ -1,6 +1,5 @@
 """Operators against brute force and hand-made tables."""
 
-import itertools
 import math
 import random
 
