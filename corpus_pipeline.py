@@ -42,7 +42,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256 and the ids of each document."""
     path = public_tokenizers.path(VOCABULARY)
-    encoded = byte_bpe.decode_ids(byte_bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN), path)
+    encoded = byte_bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, decoded=True)
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 

@@ -23,12 +23,15 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pieces kept in each of the two generations of a worker's cache.
-CACHE = 350_000
+CACHE = 200_000
 #: Characters of text that are split and encoded together, and the longest piece, in bytes, of the joint computation.
 CHUNK = 1_000_000
 LONGEST_JOINT = 64
@@ -394,17 +397,34 @@ class Encoder:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
 
-def encode_texts(df: DataFrame, vocabulary_path: str, pattern: str, column: str = "text") -> DataFrame:
-    """All columns of df with `ids`, the token ids of the column; a column of that name is replaced."""
+def encode_texts(df: DataFrame, vocabulary_path: str, pattern: str, column: str = "text", decoded: bool = False) -> DataFrame:
+    """All columns of df with `ids`, the token ids of the column, and if asked with `decoded`, the bytes of these ids.
+
+    Columns of those names are replaced. Batches are worked and returned in slices of CHUNK characters or one row.
+    """
     tables = df.sparkSession.sparkContext.broadcast(build_tables(read_ranks(vocabulary_path)))
+    added = {"ids": T.ArrayType(T.IntegerType()), **({"decoded": T.BinaryType()} if decoded else {})}
+    kept = [f for f in df.schema.fields if f.name not in added and f.name != "__text"]
+    schema = T.StructType([*kept, *(T.StructField(name, kind) for name, kind in added.items())])
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(tables.value), pattern)
-        for texts in batches:
-            yield pd.Series(encoder.encode_all(list(texts)), dtype=object)
-
-    return df.withColumn("ids", encode(F.coalesce(F.col(column), F.lit(""))))
+        for batch in batches:
+            texts = batch.column("__text")
+            rest = batch.drop_columns(["__text"])
+            sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK, side="right")))
+                ids = encoder.encode_all([t or "" for t in texts.slice(at, end - at).to_pylist()])
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                columns = [*rest.slice(at, end - at).columns, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))]
+                if decoded:
+                    columns.append(pa.array([encoder.decode(x.tolist()) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+                at = end
+
+    return df.withColumn("__text", F.col(column).cast("string")).select(*(f.name for f in kept), "__text").mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, vocabulary_path: str, column: str = "ids") -> DataFrame:

@@ -87,8 +87,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_byte_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    encoded = byte_bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode_ids(encoded, path))
+    encoded = byte_bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, decoded=True)
+    return byte_bpe.digests(encoded)
 
 
 @_query("op7_virtual_slots")
