@@ -13,10 +13,12 @@ on the whole bags (similarity 0.8 or more):
 
 1. Texts of equal words are one node from the start, however many copies there are.
 2. In each band bucket every node is compared with the bucket's smallest one: a star, not all pairs.
-3. A bucket whose nodes then lie in one class is done. Nodes of the others are bucketed again by pairs of bands (finer
-   keys that need two bands to agree) and compared with each such bucket's smallest node.
-4. What still shares a finer bucket and lies in several classes is compared class against class until nothing is left
-   to compare; similarities to the star's middle rule most of it out (distances obey the triangle inequality).
+3. A bucket whose nodes then lie in one class is done. Nodes of the others are bucketed again by every two of their
+   open buckets (finer keys that need two bands to agree), and compared across classes with LEADERS of each finer
+   bucket. Finer buckets of up to LEADERS + 1 nodes are so compared completely.
+
+What is left out are pairs that never meet a common leader; it takes a family of near copies whose similarities lie
+around the limit itself, as README.md says with figures.
 
 Classes are the connected components of the verified links, named by their smallest doc_id.
 
@@ -40,6 +42,8 @@ from lociframe.llm.common import table_cut, whole_text
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 8
+#: Nodes of each finer bucket that all its others are compared with.
+LEADERS = 4
 K = BANDS * ROWS
 #: Top of the weight grid: more copies of one shingle in a document count as this many in the signature (not in the check).
 TOP = 1 << 20
@@ -220,15 +224,25 @@ def _bucket(*key: Column) -> Column:
     return F.xxhash64(*key).alias("bucket")
 
 
-def _stars(members: DataFrame, min_classes: bool) -> DataFrame:
-    """Pairs of each bucket's smallest node with its other nodes: a, b. members: bucket, node, n (and class)."""
-    spans = [F.min(F.struct("node", "n", *(["class"] if min_classes else []))).alias("head"), F.count(F.lit(1)).alias("size")]
-    heads = members.groupBy("bucket").agg(*spans).filter("size > 1")
+def _stars(members: DataFrame, leaders: int = 0) -> DataFrame:
+    """Pairs of a bucket's leaders with its other nodes: a, b. members: bucket, node, n, and class if there are leaders.
+
+    Without a number the leader is the smallest node. With one there are so many, each the smallest by another hash,
+    and nodes of one class are not paired.
+    """
+    if not leaders:
+        heads = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    else:
+        firsts = [F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n", "class")).alias(f"h{i}") for i in range(leaders)]
+        heads = (members.groupBy("bucket").agg(*firsts, F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
+                 .select("bucket", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(leaders))))).alias("head")))
+        heads = heads.select("bucket", F.struct("head.node", "head.n", "head.class").alias("head")).distinct()
     pairs = members.join(heads, "bucket").filter(F.col("node") != F.col("head.node"))
-    if min_classes:
+    if leaders:
         pairs = pairs.filter(F.col("class") != F.col("head.class"))
     # similar bags have similar sizes
-    return pairs.filter(F.least("n", "head.n") >= SIMILARITY * F.greatest("n", "head.n")).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = pairs.filter(F.least("n", "head.n") >= SIMILARITY * F.greatest("n", "head.n"))
+    return pairs.select(F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -279,31 +293,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """All links needed for the classes, verified: a, b."""
+    """Verified links that join the classes: a, b."""
     node_texts = texts.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
     members = nodes.select("node", "n", F.posexplode("bands").alias("band", "key")).select(_bucket("band", "key"), "node", "n", "band")
-    found = table_cut(_verified(table_cut(_stars(members, False), "star-pairs"), node_texts), "links")
-
+    found = table_cut(_verified(table_cut(_stars(members), "star-pairs"), node_texts), "links")
     classes = table_cut(components(found), "classes")
     open_members = table_cut(_unsettled(members, classes, nodes), "open")
     if open_members.isEmpty():
         return found
-    # finer buckets of the unsettled: two bands that agree
-    own = open_members.select("bucket", "node", "n", "class", "band").join(nodes.select("node", "bands"), "node")
-    finer = own.select("node", "n", "class", "bucket", "band", F.posexplode("bands").alias("other", "key")).filter("other <> band").select(
-        _bucket("bucket", "other", "key"), "node", "n", "class")
-    more = table_cut(_verified(table_cut(_stars(finer, True), "finer-pairs"), node_texts), "finer-links")
-    found = table_cut(found.unionByName(more).distinct(), "links")
-    # what still shares a finer bucket across classes, each pair once
-    classes = table_cut(components(found), "classes")
-    rest = table_cut(_unsettled(finer.drop("class"), classes, nodes), "rest")
-    if rest.isEmpty():
-        return found
-    a, b = (rest.select("bucket", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("class").alias(f"class_{x}")) for x in "ab")
-    pairs = (a.join(b, "bucket").filter("a < b and class_a <> class_b").filter(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b"))
-             .select("a", "b").distinct())
-    last = _verified(table_cut(pairs, "last-pairs"), node_texts)
-    return table_cut(found.unionByName(last).distinct(), "links")
+    # finer buckets of the unsettled: two of a node's open buckets, at most BANDS of them
+    own = open_members.groupBy("node", "n", "class").agg(F.collect_list(F.struct("band", "bucket")).alias("own"))
+    pairs_of = F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: y["band"] > x["band"]), lambda y: F.xxhash64(x["bucket"], y["bucket"]))))
+    finer = own.select("node", "n", "class", F.explode(pairs_of).alias("bucket"))
+    more = table_cut(_verified(table_cut(_stars(finer, LEADERS), "finer-pairs"), node_texts), "finer-links")
+    return table_cut(found.unionByName(more).distinct(), "links")
 
 
 def _unsettled(members: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
