@@ -23,7 +23,7 @@ around the limit itself, as README.md says with figures.
 Classes are the connected components of the verified links, named by their smallest doc_id.
 
 Nulls: a null or wordless text is linked to nothing and is its own class. Rows of one doc_id are one document: they
-share a class. A null doc_id counts as a negative number made from the text. An empty table gives no rows. Other
+share a class. A null doc_id counts as a number from 2^62 on, made from the text. An empty table gives no rows. Other
 columns are not looked at.
 """
 
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import table_cut, whole_text
+from lociframe.llm.common import free_name, table_cut, whole_text
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -160,10 +160,14 @@ def bands_of(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.
     return h.view(np.int64)
 
 
+def _number() -> Column:
+    """The id; for null a number from 2^62 on, made from the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(whole_text()), 2))
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """__id (never null) and text."""
-    made = -1 - F.shiftrightunsigned(F.xxhash64(whole_text()), 1)
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), made).alias("__id"), F.col("text").cast("string").alias("text"))
+    return docs.select(_number().alias("__id"), F.col("text").cast("string").alias("text"))
 
 
 def signature_table(docs: DataFrame) -> DataFrame:
@@ -320,7 +324,7 @@ def _unsettled(members: DataFrame, classes: DataFrame, nodes: DataFrame) -> Data
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class: all columns of the class's smallest doc_id, of its texts the smallest; one row if it repeats."""
-    classes = near_duplicates(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("__keep")).distinct()
-    made = -1 - F.shiftrightunsigned(F.xxhash64(whole_text()), 1)
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), made)).join(classes, F.col("__id") == F.col("__keep"), "left_semi")
-    return rows.dropDuplicates(["__id"]).drop("__id")
+    own, keep = free_name(docs, "__id"), free_name(docs, "__keep")
+    classes = near_duplicates(docs).filter("doc_id = class_id").select(F.col("doc_id").alias(keep)).distinct()
+    rows = docs.withColumn(own, _number())
+    return rows.join(classes, F.col(own) == F.col(keep), "left_semi").dropDuplicates([own]).drop(own)

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lociframe.llm.common import free_name
+
 #: Pieces kept in each of the two generations of a worker's cache.
 CACHE = 200_000
 #: Characters of text that are split and encoded together, and the longest piece, in bytes, of the joint computation.
@@ -404,14 +406,15 @@ def encode_texts(df: DataFrame, vocabulary_path: str, pattern: str, column: str
     """
     tables = df.sparkSession.sparkContext.broadcast(build_tables(read_ranks(vocabulary_path)))
     added = {"ids": T.ArrayType(T.IntegerType()), **({"decoded": T.BinaryType()} if decoded else {})}
-    kept = [f for f in df.schema.fields if f.name not in added and f.name != "__text"]
+    own = free_name(df, "__text")
+    kept = [f for f in df.schema.fields if f.name not in added]
     schema = T.StructType([*kept, *(T.StructField(name, kind) for name, kind in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(tables.value), pattern)
         for batch in batches:
-            texts = batch.column("__text")
-            rest = batch.drop_columns(["__text"])
+            texts = batch.column(own)
+            rest = batch.drop_columns([own])
             sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
             at = 0
             while at < batch.num_rows:
@@ -424,7 +427,7 @@ def encode_texts(df: DataFrame, vocabulary_path: str, pattern: str, column: str
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
                 at = end
 
-    return df.withColumn("__text", F.col(column).cast("string")).select(*(f.name for f in kept), "__text").mapInArrow(run, schema)
+    return df.withColumn(own, F.col(column).cast("string")).select(*(f.name for f in kept), own).mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, vocabulary_path: str, column: str = "ids") -> DataFrame:

@@ -34,3 +34,11 @@ def whole_text(name: str = "text") -> Column:
 def row_key() -> list[Column]:
     """What tells documents apart: the id, and a hash of the text where an id is repeated."""
     return [F.col("doc_id").alias("__id"), F.xxhash64(whole_text()).alias("__hash")]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

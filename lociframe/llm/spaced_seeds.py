@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import row_key, table_cut, whole_text
+from lociframe.llm.common import free_name, row_key, table_cut, whole_text
 
 #: Masks over SPAN words, with six places that count in each.
 MASKS = ("1101001011", "1011100101", "1110010011")
@@ -110,5 +110,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The clean rows, with all columns as they were."""
     found = contaminated(docs, benchmark).select(F.col("__id").alias("c_id"), F.col("__hash").alias("c_hash"))
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__hash": F.xxhash64(whole_text())})
-    return keyed.join(found, F.col("__id").eqNullSafe(F.col("c_id")) & (F.col("__hash") == F.col("c_hash")), "left_anti").drop("__id", "__hash")
+    own, digest = free_name(docs, "__id"), free_name(docs, "__hash")
+    keyed = docs.withColumns({own: F.col("doc_id"), digest: F.xxhash64(whole_text())})
+    found = found.withColumnsRenamed({"c_id": (c_id := free_name(keyed, "c_id")), "c_hash": (c_hash := free_name(keyed, "c_hash"))})
+    return keyed.join(found, F.col(own).eqNullSafe(F.col(c_id)) & (F.col(digest) == F.col(c_hash)), "left_anti").drop(own, digest)
