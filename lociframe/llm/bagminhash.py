@@ -314,10 +314,13 @@ def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of the buckets whose nodes lie in more than one class, with the class."""
-    many = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
+    """Members of the buckets whose nodes lie in more than one class, with the class.
+
+    A bucket's smallest node, and buckets of two, are left out: there every pair has been compared.
+    """
+    many = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).filter("size > 2").select("bucket", "first")
     named = nodes.select("node").join(classes, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
-    shared = members.join(many, "bucket", "left_semi").join(named, "node")
+    shared = members.join(many, "bucket").filter("node <> first").drop("first").join(named, "node")
     split = shared.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("bucket")
     return shared.join(split, "bucket", "left_semi")
 
