@@ -40,8 +40,24 @@ def normal_cdf(z: Column) -> Column:
     return 0.5 * (1.0 + erf(z / math.sqrt(2.0)))
 
 
+def erfc(x: Column) -> Column:
+    """1 - erf(x) for x >= 0 without the difference: the product form, and from 5 on a continued fraction."""
+
+    def body(v: Column) -> Column:
+        t = 1.0 / (1.0 + ERF_P * v)
+        poly = F.lit(ERF_A[4])
+        for a in reversed(ERF_A[:4]):
+            poly = poly * t + a
+        below = v
+        for i in range(16, 0, -1):
+            below = v + (i / 2.0) / below
+        return F.exp(-v * v) * F.when(v < 5.0, poly * t).otherwise(1.0 / (math.sqrt(math.pi) * below))
+
+    return let(x.cast("double"), body)
+
+
 def normal_two_sided(z: Column) -> Column:
-    return F.least(F.lit(1.0), 2.0 * (1.0 - normal_cdf(F.abs(z))))
+    return F.least(F.lit(1.0), erfc(F.abs(z) / math.sqrt(2.0)))
 
 
 def lgamma(z: Column) -> Column:
@@ -140,32 +156,15 @@ def student_t_quantile(q: Column, df: Column) -> Column:
 
 
 def chi2_sf(x: Column, k: Column) -> Column:
-    """Upper tail of chi-square for whole degrees of freedom k, by the finite sums in x/2."""
+    """Upper tail of chi-square for whole degrees of freedom k, by the finite sums in y = x/2 with terms from their logs."""
 
     def body(s: Column) -> Column:
         y, k = s["y"], s["k"]
         half = F.floor(k / 2).cast("int")
-        even_sum = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(half - 1, F.lit(1))),
-            F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
-            lambda acc, i: let(
-                acc["t"] * y / i,
-                lambda t: F.struct(t.alias("t"), (acc["s"] + F.when(i < half, t).otherwise(0.0)).alias("s")),
-            ),
-            lambda acc: acc["s"],
-        )
-        first = F.sqrt(y) / (0.5 * math.sqrt(math.pi))
-        odd_sum = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(half, F.lit(1))),
-            F.struct(first.alias("t"), F.lit(0.0).alias("s")),
-            lambda acc, i: F.struct(
-                (acc["t"] * y / (i + 0.5)).alias("t"),
-                (acc["s"] + F.when(i <= half, acc["t"]).otherwise(0.0)).alias("s"),
-            ),
-            lambda acc: acc["s"],
-        )
-        odd = (1.0 - erf(F.sqrt(y))) + F.exp(-y) * odd_sum
-        return F.when(k % 2 == 0, F.exp(-y) * even_sum).otherwise(odd)
+        shift = F.when(k % 2 == 0, 1.0).otherwise(0.5)  # powers 0, 1, ... of y, or 1/2, 3/2, ...
+        terms = F.when(half < 1, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), half))
+        total = F.aggregate(terms, F.lit(0.0), lambda acc, i: acc + F.exp((i - shift) * F.ln(y) - y - lgamma(i - shift + 1.0)))
+        return total + F.when(k % 2 == 0, 0.0).otherwise(erfc(F.sqrt(y)))
 
     packed = F.struct((x.cast("double") / 2.0).alias("y"), k.cast("int").alias("k"))
     return F.when(k < 1, F.lit(None).cast("double")).when(x <= 0, F.lit(1.0)).otherwise(
@@ -176,28 +175,34 @@ def chi2_sf(x: Column, k: Column) -> Column:
 def hypergeom_sf(hits: Column, drawn: Column, marked: Column, total: Column) -> Column:
     """P(X >= hits) for ``drawn`` items out of ``total`` of which ``marked`` are marked.
 
-    One log-space start term, then the ratio of neighbouring terms.
+    The tail that doesn't hold the mode is summed, from its largest term (from its log) by ratios of neighbours, as far
+    as terms count: some standard deviations, whatever the sizes.
     """
 
     def body(s: Column) -> Column:
         a, n, k, t = s["a"], s["n"], s["k"], s["t"]
-        lo = F.greatest(a, n + k - t, F.lit(0))
-        hi = F.least(n, k)
+        least, most = F.greatest(n + k - t, F.lit(0)), F.least(n, k)
+        share = k / t
+        reach = F.ceil(12.0 * F.sqrt(n * share * (1.0 - share))) + 60
+        mode = F.floor((n + 1.0) * (k + 1.0) / (t + 2.0))
+        upper = a > mode
 
         def choose(u: Column, v: Column) -> Column:
             return ln_factorial(u) - ln_factorial(v) - ln_factorial(u - v)
 
-        first = F.exp(choose(k, lo) + choose(t - k, n - lo) - choose(t, n))
-        total_p = F.aggregate(
-            F.sequence(lo, hi),
-            F.struct(first.alias("t"), F.lit(0.0).alias("s")),
-            lambda acc, i: F.struct(
-                (acc["t"] * (k - i) * (n - i) / ((i + 1.0) * (t - k - n + i + 1.0))).alias("t"),
-                (acc["s"] + acc["t"]).alias("s"),
-            ),
-            lambda acc: acc["s"],
-        )
-        return F.when(hi < lo, F.lit(0.0)).otherwise(F.least(F.lit(1.0), total_p))
+        start = F.when(upper, a).otherwise(a - 1)
+        first = F.exp(choose(k, start) + choose(t - k, n - start) - choose(t, n))
+        steps = F.least(reach, F.when(upper, most - start).otherwise(start - least))
+
+        def following(acc: Column, j: Column) -> Column:
+            i = F.when(upper, start + j).otherwise(start - j)
+            up = (k - i) * (n - i) / ((i + 1.0) * (t - k - n + i + 1.0))
+            down = i * (t - k - n + i) / ((k - i + 1.0) * (n - i + 1.0))
+            return F.struct((acc["t"] * F.when(upper, up).otherwise(down)).alias("t"), (acc["s"] + acc["t"]).alias("s"))
+
+        tail = F.aggregate(F.sequence(F.lit(0).cast("long"), steps), F.struct(first.alias("t"), F.lit(0.0).alias("s")), following, lambda acc: acc["s"])
+        return F.when(a > most, F.lit(0.0)).when(a <= least, F.lit(1.0)).otherwise(
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(upper, tail).otherwise(1.0 - tail))))
 
     packed = F.struct(
         hits.cast("long").alias("a"), drawn.cast("long").alias("n"),

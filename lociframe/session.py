@@ -16,6 +16,7 @@ def local_session(cores: int | str = "*", app: str = "lociframe", shuffle_partit
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -23,11 +24,15 @@ def local_session(cores: int | str = "*", app: str = "lociframe", shuffle_partit
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; make a local one only where none is set."""
+    """Use the shared folder named by spark.checkpoint.dir; where none is set, make one on a local master, else fail."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lociframe-ckpt-"))
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            configured = tempfile.mkdtemp(prefix="lociframe-ckpt-")
+        sc.setCheckpointDir(configured)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
