@@ -73,15 +73,15 @@ def clustering_coefficient(edges: DataFrame) -> DataFrame:
         F.when(k < 2, 0.0).otherwise(2 * F.coalesce("t", F.lit(0)) / (k * (k - 1))).alias("clustering"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node of the component as its name.
 
     Alternates two star rewritings: neighbours larger than a node move to its smallest neighbour, then
-    smaller ones do. The number of rounds grows with the logarithm of the longest path.
+    smaller ones do, until nothing changes. The number of rounds grows with the logarithm of the longest path.
     """
     nodes = both_ways(edges).select(F.col("src").alias("node")).distinct()
     cur = cut_lineage(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct())
-    for _ in range(max_rounds):
+    while True:
         sym = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sym.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = sym.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -97,19 +97,27 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return nodes.join(cur.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def label_propagation(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Synchronous majority vote of neighbours from unique labels; ties go to the smallest label."""
+def label_propagation(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Synchronous majority vote of neighbours from unique labels; ties go to the smallest label.
+
+    Without a number of rounds the vote goes on until it settles. It can also come to swing between two states; each
+    node then takes the smaller of its two labels.
+    """
     sym = cut_lineage(both_ways(edges))
     labels = cut_lineage(sym.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
+    before = None
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         votes = sym.join(labels.toDF("dst", "label"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("c"))
         best = votes.groupBy("src").agg(F.min(F.struct((-F.col("c")).alias("k"), "label")).alias("b")).select(
             F.col("src").alias("node"), F.col("b.label").alias("label"))
         nxt = cut_lineage(best)
         if nxt.exceptAll(labels).isEmpty():
-            labels = nxt
-            break
-        labels = nxt
+            return nxt
+        if before is not None and nxt.exceptAll(before).isEmpty():
+            return nxt.join(labels.withColumnRenamed("label", "__other"), "node").select("node", F.least("label", "__other").alias("label"))
+        before, labels = labels, nxt
     return labels
 
 
@@ -125,7 +133,7 @@ def merge_small_communities(labels: DataFrame, edges: DataFrame, min_size: int =
     return labels.join(best, "node", "left").select("node", F.coalesce("b.label", "label").alias("label"))
 
 
-def sampled_betweenness(edges: DataFrame, pairs: DataFrame, max_depth: int = 50) -> DataFrame:
+def sampled_betweenness(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Share of the given pairs (pair, source, target) whose one shortest path passes through a node.
 
     All searches advance together, one join per step; a node keeps its smallest parent. The paths are
@@ -137,7 +145,9 @@ def sampled_betweenness(edges: DataFrame, pairs: DataFrame, max_depth: int = 50)
     seen = cut_lineage(pairs.select("pair", F.col("source").alias("node"), F.lit(0).alias("dist"), F.col("source").alias("parent")))
     front = seen
     open_pairs = pairs
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         step = front.join(sym.toDF("node", "nxt"), "node").groupBy("pair", F.col("nxt").alias("node")).agg(F.min("node").alias("parent"))
         front = cut_lineage(step.join(seen.select("pair", "node"), ["pair", "node"], "left_anti").select(
             "pair", "node", F.lit(depth).alias("dist"), "parent"))
@@ -149,7 +159,7 @@ def sampled_betweenness(edges: DataFrame, pairs: DataFrame, max_depth: int = 50)
             break
     walk = seen.join(pairs, "pair").where(F.col("node") == F.col("target")).select("pair", F.col("parent").alias("node"), "source")
     inner = None
-    for _ in range(max_depth):
+    while True:
         walk = cut_lineage(walk.where(F.col("node") != F.col("source")))
         if walk.isEmpty():
             break

@@ -6,6 +6,7 @@ event rescans the rows after it, and the running sums stay distributed over time
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -188,7 +189,8 @@ def _risk_terms(base: DataFrame, p: int, beta: Sequence[float]) -> DataFrame:
 def cox_fit(df: DataFrame, names: Sequence[str], max_iter: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Breslow partial likelihood by Newton steps; returns β and its covariance.
 
-    Each step is one Spark job that returns a single row of p + p(p+1)/2 numbers.
+    Each step is one Spark job that returns a single row of p + p(p+1)/2 numbers. A singular information matrix gives
+    a covariance of NaN; a fit that hasn't settled after ``max_iter`` steps gives a warning.
     """
     p = len(names)
     base = cut_lineage(df.where("time is not null and event is not null").select(
@@ -212,10 +214,12 @@ def cox_fit(df: DataFrame, names: Sequence[str], max_iter: int = 20) -> tuple[np
         if np.linalg.norm(g) < 1e-6 or np.max(np.abs(step)) < 1e-6:
             break
         beta = beta + step
+    else:
+        warnings.warn(f"the fit has not settled after {max_iter} steps", stacklevel=2)
     try:
         cov = np.linalg.inv(hess)
     except np.linalg.LinAlgError:
-        cov = np.eye(p) * 1e10
+        cov = np.full((p, p), np.nan)
     return beta, cov
 
 
