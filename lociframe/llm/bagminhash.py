@@ -239,11 +239,11 @@ def _stars(members: DataFrame, leaders: int = 0) -> DataFrame:
     else:
         firsts = [F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n", "class")).alias(f"h{i}") for i in range(leaders)]
         heads = (members.groupBy("bucket").agg(*firsts, F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
-                 .select("bucket", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(leaders))))).alias("head")))
-        heads = heads.select("bucket", F.struct("head.node", "head.n", "head.class").alias("head")).distinct()
+                 .select("bucket", F.array_distinct(F.array(*(F.struct(*(f"h{i}.{c}" for c in ("node", "n", "class"))) for i in range(leaders)))).alias("heads"))
+                 .select("bucket", F.col("heads.node").alias("peers"), F.explode("heads").alias("head")))
     pairs = members.join(heads, "bucket").filter(F.col("node") != F.col("head.node"))
-    if leaders:
-        pairs = pairs.filter(F.col("class") != F.col("head.class"))
+    if leaders:  # two leaders of one bucket are paired once, not from either side
+        pairs = pairs.filter((F.col("class") != F.col("head.class")) & ((F.col("node") < F.col("head.node")) | ~F.array_contains("peers", F.col("node"))))
     # similar bags have similar sizes
     pairs = pairs.filter(F.least("n", "head.n") >= SIMILARITY * F.greatest("n", "head.n"))
     return pairs.select(F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b")).distinct()
