@@ -160,11 +160,11 @@ def _(spark, sf):
     return out.select("doc_id", "full_name", "aliases", "ensembl_id", "location", "molecular_function", "biological_process", "pathway_summary")
 
 
-@query("choose_hit", """WITH h AS (SELECT c_mktsegment AS gene, CASE WHEN c_custkey % 500 = 3 THEN lower(c_mktsegment) ELSE c_name END AS symbol, CASE WHEN c_custkey % 90 = 1 THEN c_mktsegment ELSE 'x' END AS al, c_acctbal AS s FROM customer WHERE c_custkey % 500 <> 3 OR c_mktsegment <> 'MACHINERY')
+@query("choose_hit", """WITH h AS (SELECT c_mktsegment AS gene, CASE WHEN c_custkey % 500 = 3 AND c_mktsegment <> 'MACHINERY' THEN lower(c_mktsegment) ELSE c_name END AS symbol, CASE WHEN c_custkey % 90 = 1 THEN c_mktsegment ELSE 'x' END AS al, c_acctbal AS s FROM customer)
 SELECT gene, symbol, CASE WHEN upper(symbol) = gene THEN 'exact_symbol' WHEN al = gene THEN 'alias_match' ELSE 'best_match' END AS mapping_status FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY CASE WHEN upper(symbol) = gene THEN 1 ELSE 0 END DESC, CASE WHEN al = gene THEN 1 ELSE 0 END DESC, s DESC, symbol) AS i FROM h) WHERE i = 1""")
 def _(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey % 500 <> 3 or c_mktsegment <> 'MACHINERY'")
-    hits = c.select(F.col("c_mktsegment").alias("gene"), F.when(F.col("c_custkey") % 500 == 3, F.lower("c_mktsegment")).otherwise(F.col("c_name")).alias("symbol"),
+    c = table(spark, sf, "customer")
+    hits = c.select(F.col("c_mktsegment").alias("gene"), F.when((F.col("c_custkey") % 500 == 3) & (F.col("c_mktsegment") != "MACHINERY"), F.lower("c_mktsegment")).otherwise(F.col("c_name")).alias("symbol"),
                     F.array(F.when(F.col("c_custkey") % 90 == 1, F.lower("c_mktsegment")).otherwise("x")).alias("alias"), F.col("c_acctbal").alias("hit_score"))
     return A.choose_hit(hits).select("gene", "symbol", "mapping_status")
 

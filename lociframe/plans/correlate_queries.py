@@ -130,12 +130,12 @@ def _(spark, sf):
 
 
 @query("loess_curve", """WITH p AS (SELECT l_quantity AS px, count(*) AS c, sum(l_discount * 100) AS sy FROM lineitem GROUP BY 1), s AS (SELECT min(px) AS lo, max(px) AS hi, sum(c) AS n FROM p),
-g AS (SELECT i, lo + (hi - lo) * i / 49 AS x, greatest(3, floor(n * 0.3)) AS k FROM s, range(0, 50) t(i)),
+g AS (SELECT i, lo + (hi - lo) * i / 99 AS x, greatest(3, floor(n * 0.3)) AS k FROM s, range(0, 100) t(i)),
 d AS (SELECT i, x, k, px, c, sy, abs(px - x) AS d FROM g, p), m AS (SELECT i, d, sum(sum(c)) OVER (PARTITION BY i ORDER BY d) AS cum, any_value(k) AS k FROM d GROUP BY i, d),
 h AS (SELECT i, min(d) AS h FROM m WHERE cum >= k GROUP BY i), w AS (SELECT d.i, d.x, c, px - x AS px, sy, pow(1 - pow(CASE WHEN h > 0 THEN d / h ELSE 0 END, 3), 3) AS w FROM d JOIN h ON d.i = h.i WHERE d <= h),
 q AS (SELECT i, x, sum(w * c) AS sw, sum(w * c * px) AS swx, sum(w * sy) AS swy, sum(w * c * px * px) AS swxx, sum(w * px * sy) AS swxy FROM w GROUP BY i, x)
 SELECT CAST(i AS INTEGER) AS i, round(x, 6) AS x, round((swxx * swy - swx * swxy) / (sw * swxx - swx * swx), 5) AS fit FROM q""")
 def _(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("disc", F.col("l_discount") * 100)
-    out = C.loess(li, "l_quantity", "disc", 0.3, 50)
+    out = C.loess(li, "l_quantity", "disc", 0.3, 100)
     return out.select("i", F.round("x", 6).alias("x"), F.round("fit", 5).alias("fit"))

@@ -337,11 +337,11 @@ def _(spark, sf):
 
 
 @query("columns_to_residues", f"""WITH {MSA}, {CONS}, f AS (SELECT family, arg_min(seq, name) AS seq FROM m GROUP BY 1), p AS (SELECT family, i AS col, row_number() OVER (PARTITION BY family ORDER BY i) - 1 AS ordinal FROM f, LATERAL (SELECT unnest(range(0, 32)) AS i) WHERE substr(seq, i + 1, 1) <> '-')
-SELECT p.family, 'A' AS chain, ordinal + 10 AS resseq, 'ALA' AS resname, round(s, 4) AS conservation_score FROM p JOIN cs ON cs.family = p.family AND cs.col = p.col WHERE ordinal < 20""")
+SELECT p.family, 'A' AS chain, ordinal + 10 AS resseq, 'ALA' AS resname, round(s, 4) AS conservation_score FROM p JOIN cs ON cs.family = p.family AND cs.col = p.col""")
 def _(spark, sf):
     m = msa(spark, sf)
     first = m.groupBy("family").agg(F.min_by("seq", "name").alias("seq"))
-    res = first.select("family", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("ordinal")).select(
+    res = first.select("family", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("ordinal")).select(
         "family", "ordinal", F.lit("A").alias("chain"), (F.col("ordinal") + 10).cast("long").alias("resseq"), F.lit("ALA").alias("resname"))
     return R.map_columns_to_residues(first, R.column_conservation(m), res).drop("grade")
 

@@ -121,7 +121,7 @@ def _(spark, sf):
 
 @query("regulator_merge", f"""WITH l AS (SELECT upper(p_type) AS tf, (p_size % 50 + 1) / 100.0 AS p, p_brand AS library, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS i FROM part),
 lists AS (SELECT tf, avg(p) AS mean_p, string_agg(DISTINCT library, ';' ORDER BY library) AS sources FROM l WHERE i <= 50 GROUP BY tf),
-lib AS (SELECT DISTINCT upper(p_name) AS set_id, p_size AS item FROM part UNION SELECT DISTINCT upper(p_type), p_size FROM part WHERE p_partkey % 100 = 0), qr AS (SELECT DISTINCT p_size AS item FROM part WHERE p_retailprice > 950),
+lib AS (SELECT DISTINCT upper(p_name) AS set_id, p_size AS item FROM part UNION SELECT DISTINCT upper(p_type), p_size FROM part), qr AS (SELECT DISTINCT p_size AS item FROM part WHERE p_retailprice > 950),
 z AS (SELECT set_id AS tf, count(*) AS size, count(*) FILTER (WHERE item IN (SELECT item FROM qr)) AS hits FROM lib GROUP BY 1 HAVING hits > 0), n AS (SELECT count(*) AS n FROM qr),
 e AS (SELECT tf, hits, size, n, {tail('hits', 'n', 'size', '1000')} AS rp FROM z, n),
 m AS (SELECT coalesce(lists.tf, e.tf) AS tf, least(coalesce(mean_p, 1.0), coalesce(rp, 1.0)) AS pvalue, coalesce(hits, 0) AS overlap_count, coalesce(sources, '') AS sources, mean_p IS NOT NULL AS from_lists, rp IS NOT NULL AS from_regulons
@@ -135,7 +135,7 @@ def _(spark, sf):
         F.sort_array(F.collect_list(F.struct("i", F.col("p_type").alias("tf"), ((F.col("p_size") % 50 + 1) / 100.0).alias("p")))).alias("ranking"))
     lists = S.evidence_lists(best.select("library", F.transform("ranking", lambda r: F.struct(r["tf"].alias("tf"), r["p"].alias("p"))).alias("ranking")))
     regulons = part.select(F.upper("p_name").alias("tf"), F.col("p_size").alias("target")).unionByName(
-        part.where("p_partkey % 100 = 0").select(F.upper("p_type").alias("tf"), F.col("p_size").alias("target"))).distinct()
+        part.select(F.upper("p_type").alias("tf"), F.col("p_size").alias("target"))).distinct()
     q = part.where("p_retailprice > 950").select(F.col("p_size").alias("item"))
     out = S.merge_regulators(lists, regulons, q, 1000).drop("odds_ratio")
     return r6(out, "pvalue", "fdr")

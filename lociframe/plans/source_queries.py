@@ -21,13 +21,13 @@ from lociframe.sources import tables as S
 from lociframe.streaming import jobs as J
 
 def wide(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity > 45")
+    li = table(spark, sf, "lineitem")
     agg = [F.sum(F.when(F.col("l_suppkey") % 3 == i, F.col("l_quantity"))).alias(f"s{i}") for i in range(3)]
     w = li.groupBy(F.col("l_partkey").alias("id")).agg(*agg)
     return w.select("id", *[F.coalesce(F.col(f"s{i}").cast("string"), F.lit("NA")).alias(f"s{i}") for i in range(3)])
 
 
-@query("melt_matrix", "WITH w AS (SELECT l_partkey AS feature, 's' || CAST(l_suppkey % 3 AS VARCHAR) AS sample, sum(l_quantity) AS value FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2), f AS (SELECT DISTINCT feature FROM w), s AS (SELECT 's' || CAST(i AS VARCHAR) AS sample FROM range(0, 3) t(i)) SELECT f.feature, s.sample, w.value FROM f CROSS JOIN s LEFT JOIN w ON w.feature = f.feature AND w.sample = s.sample")
+@query("melt_matrix", "WITH w AS (SELECT l_partkey AS feature, 's' || CAST(l_suppkey % 3 AS VARCHAR) AS sample, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2), f AS (SELECT DISTINCT feature FROM w), s AS (SELECT 's' || CAST(i AS VARCHAR) AS sample FROM range(0, 3) t(i)) SELECT f.feature, s.sample, w.value FROM f CROSS JOIN s LEFT JOIN w ON w.feature = f.feature AND w.sample = s.sample")
 def _(spark, sf):
     return S.melt(wide(spark, sf))
 
@@ -37,12 +37,10 @@ def _(spark, sf):
     return r6(S.to_beta(part_matrix(spark, sf).withColumn("value", F.col("value") - 40)), "value")
 
 
-@query("screen_counts", "SELECT CAST(l_partkey AS VARCHAR) AS guide, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1")
+@query("screen_counts", "SELECT CAST(l_partkey AS VARCHAR) AS guide, 'g' || CAST(l_partkey AS VARCHAR) AS gene, " + ", ".join(f"coalesce(sum(l_quantity) FILTER (WHERE l_suppkey % 3 = {i}), 0.0) AS s{i}" for i in range(3)) + " FROM lineitem GROUP BY l_partkey")
 def _(spark, sf):
     w = wide(spark, sf).select(F.col("id").cast("string").alias("sgRNA"), F.concat(F.lit("g"), "id").alias("Gene"), "s0", "s1", "s2")
-    out = S.screen_counts(w)
-    n = table(spark, sf, "lineitem").where("l_quantity > 45").groupBy(F.col("l_partkey").cast("string").alias("guide")).agg(F.count(F.lit(1)).alias("n"))
-    return out.join(n, "guide").select("guide", "n")
+    return S.screen_counts(w)
 
 
 @query("sample_metadata", "SELECT s_suppkey AS sample, CAST(s_nationkey AS VARCHAR) AS grp FROM supplier")
@@ -122,10 +120,13 @@ def _(spark, sf):
     return S.default_entries(raw, "Brand#3").select("p_partkey")
 
 
-@query("tissue_pivot", "SELECT p_brand AS gene, coalesce(avg(p_retailprice) FILTER (WHERE p_type = 'ECONOMY'), 0) AS \"ECONOMY\", coalesce(avg(p_retailprice) FILTER (WHERE p_type = 'PROMO'), 0) AS \"PROMO\" FROM part GROUP BY 1")
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+@query("tissue_pivot", "SELECT p_brand AS gene, " + ", ".join(f"coalesce(avg(p_retailprice) FILTER (WHERE p_type = '{t}'), 0) AS \"{t}\"" for t in PART_TYPES) + " FROM part GROUP BY 1")
 def _(spark, sf):
     raw = table(spark, sf, "part").select(F.col("p_brand").alias("gene"), F.col("p_type").alias("tissue"), F.col("p_retailprice").alias("value"))
-    return S.tissue_pivot(raw, ["ECONOMY", "PROMO"])
+    return S.tissue_pivot(raw, PART_TYPES)
 
 
 @query("first_values_wide", "SELECT l_partkey AS feature, " + ", ".join(f'arg_min(l_quantity, l_orderkey * 100 + l_linenumber) FILTER (WHERE l_returnflag = \'{c}\') AS "{c}"' for c in "ANR") + " FROM lineitem GROUP BY 1")

@@ -63,11 +63,11 @@ def _(spark, sf):
     return r6(S.group_moments(rows), "mean_ref", "var_ref", "mean_alt", "var_alt", "delta")
 
 
-@query("missing_samples", f"""SELECT sample, grp, batch FROM ({SUPPLIER_META}) m WHERE sample NOT IN (SELECT l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 1 AND l_discount > 0.08)""")
+@query("missing_samples", f"""SELECT sample, grp, batch FROM ({SUPPLIER_META}) m WHERE sample NOT IN (SELECT l_suppkey * 2 FROM lineitem)""")
 def _(spark, sf):
-    part = table(spark, sf, "part").where("p_size = 1")
-    li = table(spark, sf, "lineitem").where("l_discount > 0.08").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    lm = li.select(F.col("p_partkey").alias("feature"), F.col("l_suppkey").alias("sample"), F.col("l_quantity").alias("value"))
+    # Samples of twice the supplier's key: every supplier of an odd key is missing.
+    li = table(spark, sf, "lineitem")
+    lm = li.select(F.col("l_partkey").alias("feature"), (F.col("l_suppkey") * 2).alias("sample"), F.col("l_quantity").alias("value"))
     return S.missing_samples(lm, supplier_meta(spark, sf))
 
 
