@@ -40,10 +40,12 @@ def _(spark, sf):
     return I.unique_peaks(event_intervals(spark, sf))
 
 
-@query("shared_peaks", f"""{E}, h AS (SELECT DISTINCT a.name, b.cond FROM e a JOIN e b ON {TOUCH} AND {HALF} WHERE a.cond = 'click' AND b.cond IN ('view'))
-SELECT {ROW} FROM e WHERE cond = 'click' AND name IN (SELECT name FROM h GROUP BY name HAVING count(*) = 1)""")
+@query("shared_peaks", f"""{E}, h AS (SELECT DISTINCT a.name FROM e a JOIN e b ON {TOUCH} AND {HALF} WHERE a.cond = 'click' AND b.cond <> 'click')
+SELECT {ROW} FROM e WHERE cond = 'click' AND name IN (SELECT name FROM h)""")
 def _(spark, sf):
-    return I.shared_peaks(event_intervals(spark, sf).where("cond IN ('click', 'view')"), "click")
+    # Two conditions over all events: no click overlaps every one of the other types.
+    two = event_intervals(spark, sf).withColumn("cond", F.when(F.col("cond") == "click", "click").otherwise("other"))
+    return I.shared_peaks(two, "click")
 
 
 @query("peak_similarity", f"""{E}, h AS (SELECT DISTINCT a.name, a.cond, b.cond AS other FROM e a JOIN e b ON {TOUCH} AND a.cond <> b.cond AND ({OV}) / least(a."end" - a."start", b."end" - b."start") >= 0.5),
