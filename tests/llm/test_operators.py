@@ -181,6 +181,16 @@ def test_scores(docs, empty):
     assert counts.sum() == 0 and pseudo_likelihood.score_texts(empty, weights, counts).count() == 0
 
 
+def test_sum_of_changes(spark):
+    """Levels of partial sums over more partitions than one level takes give the plain sums."""
+    import numpy as np
+
+    rows = [(b, i, np.full(3, b + i, np.float32).tobytes()) for b in range(2) for i in range(1, 12)]
+    changes = spark.createDataFrame(rows, pseudo_likelihood.CHANGE).repartition(11)
+    got = {r["block"]: (r["seen"], np.frombuffer(r["change"], np.float32).tolist()) for r in pseudo_likelihood.sum_changes(changes, fan_in=2).collect()}
+    assert got == {b: (66, [66.0 + 11 * b] * 3) for b in range(2)}
+
+
 def test_pages_and_licenses(spark, docs, empty):
     pages = spark.createDataFrame([(1, "u", "<p>Some text, here it is.</p>", 1), (2, None, None, 1), (None, "v", "", 1)], "page_id long, url string, html string, text int")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.main_text(pages).collect()}
