@@ -257,7 +257,7 @@ def flatten_protein_record(df: DataFrame, rec: str = "rec") -> DataFrame:
         "protein_name": F.coalesce(r["proteinDescription"]["recommendedName"]["fullName"]["value"], F.lit("")), "protein_length": r["sequence"]["length"],
         "function_text": T.shorten(join_unique(texts), 600), "places": join_unique(places, 5), "diseases": join_unique(ill, 5),
         "keyword_text": join_unique(F.transform(r["keywords"], lambda k: F.trim(k["name"])), 8), "domains": join_unique(names),
-        "domain_spans": join_unique(spans), "domain_class": join_unique(F.flatten(F.transform(names, T.domain_classes))),
+        "domain_spans": join_unique(spans), "domain_class": join_unique(F.flatten(F.transform(names, lambda d: T.domain_classes(d)))),
     })
     cls = T.protein_class(F.concat_ws(" ", "keyword_text", "domain_class"))
     return out.withColumn("__c", cls).withColumn("protein_class", F.col("__c.protein_class")).withColumn(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -110,7 +112,7 @@ def as_vectors(points: DataFrame) -> DataFrame:
     return points.withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
 
 
-def kmeans(points: DataFrame, k: int, seed: int = 42, restarts: int = 3, max_iter: int = 100) -> tuple[DataFrame, float]:
+def kmeans(points: DataFrame, k: int, seed: int = 42, restarts: int = 10, max_iter: int = 100) -> tuple[DataFrame, float]:
     """Labels of the best of several seeded runs, and its inertia."""
     data = cut_lineage(as_vectors(points))
     best = None
@@ -126,25 +128,28 @@ def kmeans_summary(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).withColumn("inertia", F.lit(inertia))
 
 
-def choose_k(points: DataFrame, ks: list[int], seed: int = 42, exact: bool = False) -> DataFrame:
-    """Inertia and mean silhouette for each k (one row per k).
+def choose_k(points: DataFrame, ks: Sequence[int] = range(2, 11), seed: int = 42, exact: bool = False,
+             restarts: int = 10) -> DataFrame:
+    """Inertia and mean silhouette of the best of the runs for each k (one row per k); `best` marks the largest silhouette.
 
     The exact silhouette compares all points; otherwise the squared-distance form is used, which only needs
     cluster moments.
     """
     rows = []
     for k in ks:
-        labelled, inertia = kmeans(points, k, seed, restarts=1)
+        labelled, inertia = kmeans(points, k, seed, restarts)
         if exact:
             score = silhouette(labelled, "cluster").agg(F.avg("silhouette")).first()[0]
         else:
             ev = ClusteringEvaluator(predictionCol="cluster", featuresCol="features", metricName="silhouette")
             score = ev.evaluate(as_vectors(labelled))
         rows.append((k, inertia, float(score)))
-    return points.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    top = max(rows, key=lambda r: (r[2], -r[0]))[0] if rows else None
+    rows = [(*r, r[0] == top) for r in rows]
+    return points.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, best boolean")
 
 
-def consensus(points: DataFrame, k: int, iterations: int = 20, fraction: float = 0.8, seed: int = 42) -> DataFrame:
+def consensus(points: DataFrame, k: int, iterations: int = 100, fraction: float = 0.8, seed: int = 42) -> DataFrame:
     """Share of the runs on seeded subsamples in which two points (a < b) fall in one cluster."""
     data = cut_lineage(as_vectors(points))
     runs = None

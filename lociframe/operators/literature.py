@@ -116,11 +116,10 @@ def summarize_papers(df: DataFrame) -> DataFrame:
     out = df.withColumn("__s", s)
     first = F.get("__s", F.lit(0))
     rest = F.array_join(F.slice("__s", 2, 2), " ")
-    generic = F.concat(F.lit("This paper appears to present a potentially high-impact contribution in bioinformatics or computational biology published in "),
-                       F.col("journal"), F.lit("."))
+    unknown = F.lit("(no abstract)")
     return (
-        out.withColumn("why_it_matters", F.coalesce(first, generic))
-        .withColumn("major_discoveries", F.when(first.isNull(), "Abstract unavailable.").when(F.size("__s") > 1, rest).otherwise(first))
+        out.withColumn("why_it_matters", F.coalesce(first, F.concat_ws(" ", unknown, "journal")))
+        .withColumn("major_discoveries", F.when(first.isNull(), unknown).when(F.size("__s") > 1, rest).otherwise(first))
         .withColumn("significance", T.significance_text(F.lower(F.concat_ws(" ", "title", "abstract")), F.array_join("matched_field_keywords", "; ")))
         .drop("__s")
     )

@@ -86,8 +86,8 @@ def _(spark, sf):
     e = basket_edges(spark, sf)
     nodes = G.degrees(e).select("node")
     key = F.xxhash64(F.lit(42), "node")
-    ends = nodes.orderBy(key).limit(40)
-    # Twenty pairs of the nodes first in a seeded order; the sample is the operator's own.
+    ends = nodes.orderBy(key).limit(200)
+    # A hundred pairs of the nodes first in a seeded order; the sample is the operator's own.
     from lociframe.functions.ordering import ordinal_rank
 
     placed = ordinal_rank(ends.withColumn("h", key.cast("double")), [], "h", "node", "i").drop("h")
@@ -165,12 +165,12 @@ def _(spark, sf):
 
 @query("choose_k")
 def _(spark, sf):
-    return C.choose_k(points(spark, sf), [2, 3, 4])
+    return C.choose_k(points(spark, sf), restarts=1)
 
 
 @query("consensus_matrix")
 def _(spark, sf):
-    return C.consensus(points(spark, sf), 4, 5)
+    return C.consensus(points(spark, sf), 4, 20)
 
 
 @query("pca_explained")
@@ -258,7 +258,7 @@ def _(spark, sf):
 
 @query("cross_validate_logistic")
 def _(spark, sf):
-    return K.cross_validate(labelled(spark, sf), "logistic", 3)
+    return K.cross_validate(labelled(spark, sf), "logistic")
 
 
 @query("classifier_importance")

@@ -101,3 +101,16 @@ def test_p_label(spark):
     assert one(spark, T.p_label(F.lit(1.234e-5))) == "p = 1.2e-05"
     assert one(spark, T.p_label(F.lit(0.03))) == "p = 0.0300"
     assert one(spark, T.stars(F.lit(0.004))) == "**"
+
+
+def test_rule_tables(spark):
+    assert one(spark, T.domain_classes(F.lit("Zinc finger and Tudor KINASE"))) == ["reader", "kinase", "transcription factor"]
+    assert one(spark, T.domain_classes(F.lit("nothing"))) == []
+    got = one(spark, T.protein_class(F.lit("Receptor tyrosine kinase")))
+    assert (got["protein_class"], got["druggability"]) == ("kinase", "potentially_druggable")
+    got = one(spark, T.protein_class(F.lit("chromatin")))
+    assert (got["protein_class"], got["druggability"]) == ("chromatin regulator", "")
+    got = one(spark, T.protein_class(F.lit("")))
+    assert (got["protein_class"], got["druggability"]) == ("other", "")
+    assert one(spark, T.significance_text(F.lit("an atlas of tools"), F.lit("atlas"))) == "terms: atlas; atlas; new program"
+    assert one(spark, T.significance_text(F.lit("plain"), F.lit(""))) == "no rule applies"
