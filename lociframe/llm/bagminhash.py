@@ -13,12 +13,11 @@ on the whole bags (similarity 0.8 or more):
 
 1. Texts of equal words are one node from the start, however many copies there are.
 2. In each band bucket every node is compared with the bucket's smallest one: a star, not all pairs.
-3. A bucket whose nodes then lie in one class is done. Nodes of the others are bucketed again by every two of their
-   open buckets (finer keys that need two bands to agree), and compared across classes with LEADERS of each finer
-   bucket. Finer buckets of up to LEADERS + 1 nodes are so compared completely.
+3. A bucket whose nodes then lie in one class is done. In the others every two nodes of different classes are compared:
+   small buckets by pairs, larger ones cut into tiles, where a task owns two tiles and counts what all their bags share
+   as a matrix product.
 
-What is left out are pairs that never meet a common leader; it takes a family of near copies whose similarities lie
-around the limit itself, as README.md says with figures.
+So every two documents that share a band are compared or already lie in one class, whatever the size of the bucket.
 
 Classes are the connected components of the verified links, named by their smallest doc_id.
 
@@ -42,8 +41,12 @@ from lociframe.llm.common import free_name, table_cut, whole_text
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 8
-#: Nodes of each finer bucket that all its others are compared with.
-LEADERS = 4
+#: Buckets of so many nodes are compared by pairs, larger ones by tiles.
+SMALL = 8
+#: Nodes and shingles of a tile, on average.
+TILE, TILE_SHINGLES = 1024, 1_000_000
+#: Shingles in one step of a matrix product.
+COLUMNS = 4096
 K = BANDS * ROWS
 #: Top of the weight grid: more copies of one shingle in a document count as this many in the signature (not in the check).
 TOP = 1 << 20
@@ -228,22 +231,10 @@ def _bucket(*key: Column) -> Column:
     return F.xxhash64(*key).alias("bucket")
 
 
-def _stars(members: DataFrame, leaders: int = 0) -> DataFrame:
-    """Pairs of a bucket's leaders with its other nodes: a, b. members: bucket, node, n, and class if there are leaders.
-
-    Without a number the leader is the smallest node. With one there are so many, each the smallest by another hash,
-    and nodes of one class are not paired.
-    """
-    if not leaders:
-        heads = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    else:
-        firsts = [F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n", "class")).alias(f"h{i}") for i in range(leaders)]
-        heads = (members.groupBy("bucket").agg(*firsts, F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
-                 .select("bucket", F.array_distinct(F.array(*(F.struct(*(f"h{i}.{c}" for c in ("node", "n", "class"))) for i in range(leaders)))).alias("heads"))
-                 .select("bucket", F.col("heads.node").alias("peers"), F.explode("heads").alias("head")))
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs of a bucket's smallest node with its other nodes: a, b. members: bucket, node, n."""
+    heads = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     pairs = members.join(heads, "bucket").filter(F.col("node") != F.col("head.node"))
-    if leaders:  # two leaders of one bucket are paired once, not from either side
-        pairs = pairs.filter((F.col("class") != F.col("head.class")) & ((F.col("node") < F.col("head.node")) | ~F.array_contains("peers", F.col("node"))))
     # similar bags have similar sizes
     pairs = pairs.filter(F.least("n", "head.n") >= SIMILARITY * F.greatest("n", "head.n"))
     return pairs.select(F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b")).distinct()
@@ -305,14 +296,102 @@ def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     open_members = table_cut(_unsettled(members, classes, nodes), "open")
     if open_members.isEmpty():
         return found
-    # finer buckets of the unsettled: two of a node's open buckets, at most BANDS of them
-    own = open_members.groupBy("node", "n", "class").agg(F.collect_list(F.struct("band", "bucket")).alias("own"))
-    pairs_of = F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: y["band"] > x["band"]), lambda y: F.xxhash64(x["bucket"], y["bucket"]))))
-    finer = own.select("node", "n", "class", F.explode(pairs_of).alias("bucket"))
-    more = table_cut(_verified(table_cut(_stars(finer, LEADERS), "finer-pairs"), node_texts), "finer-links")
+    sizes = open_members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    few = _verified(table_cut(_small_pairs(open_members, sizes), "small-pairs"), node_texts)
+    many = _tile_links(open_members, sizes, node_texts)
+    more = table_cut(few.unionByName(many), "more-links")
     return table_cut(found.unionByName(more).distinct(), "links")
 
 
+def _small_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs of different classes in the buckets of up to SMALL nodes: a, b."""
+    held = members.join(sizes.filter(F.col("size") <= SMALL).select("bucket"), "bucket").groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "class")).alias("own"))
+    fits = lambda x, y: (x["node"] < y["node"]) & (x["class"] != y["class"]) & (F.least(x["n"], y["n"]) >= SIMILARITY * F.greatest(x["n"], y["n"]))
+    pairs = F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: fits(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    return held.select(F.explode(pairs).alias("pair")).select("pair.a", "pair.b").distinct()
+
+
+def _tile_links(members: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the classes of the buckets of more than SMALL nodes: a, b.
+
+    A bucket of m tiles has m (m + 1) / 2 pairs of tiles, and a node takes part in m of them. A pair of tiles returns the
+    links that join its classes, without those between classes that it has joined already.
+    """
+    tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES), F.lit(1))
+    placed = (members.join(sizes.filter(F.col("size") > SMALL).select("bucket", tiles.cast("int").alias("tiles")), "bucket")
+              .withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")))
+    one = placed.filter("tiles = 1").select("bucket", F.lit(0).alias("s"), F.lit(0).alias("t"), "tile", "node", "class")
+    cut = placed.filter("tiles > 1").select("bucket", "tile", "node", "class", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("peer")).select(
+        "bucket", F.least("tile", "peer").alias("s"), F.greatest("tile", "peer").alias("t"), "tile", "node", "class")
+    placed = table_cut(one.unionByName(cut), "tiles")
+    bags = table_cut(bag_table(texts.join(placed.select("node").distinct(), "node", "left_semi")), "tile-bags")
+    return placed.join(bags, "node").groupBy("bucket", "s", "t").applyInPandas(_join_tiles, "a long, b long").distinct()
+
+
+def _join_tiles(pdf: pd.DataFrame) -> pd.DataFrame:
+    """a, b: verified links of two tiles (or within one) that join their classes."""
+    pdf = pdf.sort_values("node")
+    if pdf["s"].iloc[0] == pdf["t"].iloc[0]:
+        left = right = pdf
+    else:
+        left, right = pdf[pdf["tile"] == pdf["s"]], pdf[pdf["tile"] == pdf["t"]]
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    i, j = similar_pairs(list(left["bag"]), list(right["bag"]), left["class"].to_numpy(), right["class"].to_numpy())
+    return pd.DataFrame(_joining(left["node"].to_numpy()[i], right["node"].to_numpy()[j], left["class"].to_numpy()[i], right["class"].to_numpy()[j]), columns=["a", "b"], dtype=np.int64)
+
+
+def similar_pairs(left: list, right: list, left_class: np.ndarray, right_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of different classes with a weighted Jaccard similarity of SIMILARITY or more."""
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    wanted = (left_class[:, None] != right_class[None, :]) & (np.minimum.outer(*sizes) >= SIMILARITY * np.maximum.outer(*sizes))
+    rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+    if not len(rows):
+        return rows, rows
+    bags = [[side[k] for k in at] for side, at in ((left, rows), (right, columns))]
+    flat = [np.concatenate(b) for b in bags]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    cells = []  # element number and row of what both sides have, by element
+    for b, f in zip(bags, flat):
+        at = np.searchsorted(both, f)
+        on = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == f) if len(both) else np.zeros(len(f), bool)
+        element, row = at[on], np.repeat(np.arange(len(b)), [len(x) for x in b])[on]
+        order = np.argsort(element, kind="stable")
+        cells.append((element[order], row[order]))
+    shared = np.zeros((len(rows), len(columns)), np.int64)
+    for start in range(0, len(both), COLUMNS):
+        dense = []
+        for (element, row), b in zip(cells, bags):
+            lo, hi = np.searchsorted(element, [start, start + COLUMNS])
+            m = np.zeros((len(b), min(COLUMNS, len(both) - start)), np.float32)
+            m[row[lo:hi], element[lo:hi] - start] = 1
+            dense.append(m)
+        shared += np.rint(dense[0] @ dense[1].T).astype(np.int64)
+    either = np.add.outer(sizes[0][rows], sizes[1][columns]) - shared
+    i, j = np.nonzero(wanted[np.ix_(rows, columns)] & (shared >= SIMILARITY * either))
+    return rows[i], columns[j]
+
+
+def _joining(a: np.ndarray, b: np.ndarray, class_a: np.ndarray, class_b: np.ndarray) -> list[tuple[int, int]]:
+    """The links (smaller node first) that join classes not joined by links before them."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    out = []
+    # one link for each pair of classes is enough
+    _, first = np.unique(np.stack([np.minimum(class_a, class_b), np.maximum(class_a, class_b)]), axis=1, return_index=True) if len(a) else (None, [])
+    for k in first:
+        x, y = top(int(class_a[k])), top(int(class_b[k]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((min(int(a[k]), int(b[k])), max(int(a[k]), int(b[k]))))
+    return out
+
+
 def _unsettled(members: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Members of the buckets whose nodes lie in more than one class, with the class.
 

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,32 @@ def test_near_duplicate_family(spark):
     assert got == {i: find(i) for i in texts}
 
 
+@pytest.mark.parametrize("tile", [bagminhash.TILE, 7])
+def test_every_pair_of_a_bucket(spark, monkeypatch, tile):
+    """Fifteen similar pairs of texts that share one band only, and three that share another: every pair is met."""
+    monkeypatch.setattr(bagminhash, "TILE", tile)
+    texts, bands = {}, {}
+    for i in range(36):
+        words = [f"f{i // 2}w{k}" for k in range(100)]
+        words[50] += "ab"[i % 2]
+        texts[i] = " ".join(words)
+        bands[i] = [7 if i < 30 else -i - 1, -i - 1 if i < 30 else 8]
+    nodes = spark.createDataFrame([(i, 96, bands[i]) for i in texts], "node long, n long, bands array<long>")
+    links = bagminhash._links(nodes, spark.createDataFrame(list(texts.items()), "node long, text string"))
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(i, i + 1) for i in range(0, 36, 2)}
+
+
+def test_similar_pairs(monkeypatch):
+    monkeypatch.setattr(bagminhash, "COLUMNS", 16)
+    rng = np.random.default_rng(5)
+    bags = [np.unique(rng.choice(40 + 60 * (i % 3), 35)) for i in range(50)] + [np.arange(1000 + i, 1020 + i) for i in range(6)]
+    classes = np.array([i % 11 for i in range(len(bags))])
+    i, j = bagminhash.similar_pairs(bags[:30] + bags[50:53], bags[30:50] + bags[53:], np.r_[classes[:30], classes[50:53]], np.r_[classes[30:50], classes[53:]])
+    left, right = [*range(30), *range(50, 53)], [*range(30, 50), *range(53, 56)]
+    want = {(a, b) for a in left for b in right if classes[a] != classes[b] and len({*bags[a]} & {*bags[b]}) >= 0.8 * len({*bags[a]} | {*bags[b]})}
+    assert {(left[x], right[y]) for x, y in zip(i, j)} == want and want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)] + [(200, 200 + i) for i in range(1, 30)]
     got = {r["node"]: r["class"] for r in bagminhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
