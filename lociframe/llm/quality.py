@@ -2,16 +2,18 @@
 
 Each document's histogram of character classes, and its histogram of the language's most common words, is compared
 with the language's reference by the Jensen-Shannon distance (base 2, so 0 to 1). References are counted over all
-documents of the language; languages below 1 % of all words, and rows without one, use the reference of the whole
-table, so there are at most 100 references. A distance counts only from a minimum length on: short histograms are
-noise. On top stand the base rules on short and repetitive texts.
+documents of the language, whatever its share of the table, and joined on the language. A language with less text
+than MIN_REFERENCE_CHARS or MIN_REFERENCE_WORDS has no such reference, and its rows no such distance: no language is
+judged by another one. A distance counts only from a minimum length on: short histograms are noise. On top stand the
+base rules on short and repetitive texts.
 
-Nulls: a null text has no words and fails; a null language uses the common reference. An empty text fails. Repeated
-rows get equal verdicts. Other columns are not looked at.
+Nulls: a null text has no words and fails; a null language has no reference. An empty text fails. Repeated rows get
+equal verdicts. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,8 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lociframe.llm.common import free_name, table_cut
+
 COMMON_WORDS = 100
-MIN_SHARE = 0.01
+MIN_REFERENCE_CHARS = 10_000
+MIN_REFERENCE_WORDS = 1_000
 MIN_WORDS_BASE = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
@@ -140,39 +145,46 @@ def language_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
 
 
-def references(docs: DataFrame, common: int = COMMON_WORDS, min_share: float = MIN_SHARE) -> dict:
-    """Reference histograms: {lang: (class counts, {word: count}, words in all)}; None is the whole table's.
+def references(docs: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
+    """lang, ref: the reference of each language with enough text, as JSON: chars [{term, n}], words [{term, n}], total."""
+    counts = table_cut(language_counts(docs.filter(F.col("lang").isNotNull())), "language-counts")
+    sizes = counts.groupBy("lang").agg(F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("chars"), F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("total"))
+    best = W.partitionBy("lang").orderBy(F.desc("n"), "term")
+    top = counts.filter("kind = 1").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= common).drop("place")
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("term", "n"))))
+    refs = top.unionByName(counts.filter("kind = 0")).groupBy("lang").agg(listed(0).alias("char_list"), listed(1).alias("word_list")).join(sizes, "lang")
+    parts = F.struct(F.when(F.col("chars") >= MIN_REFERENCE_CHARS, F.col("char_list")).alias("chars"), F.when(F.col("total") >= MIN_REFERENCE_WORDS, F.col("word_list")).alias("words"), "total")
+    return table_cut(refs.filter((F.col("chars") >= MIN_REFERENCE_CHARS) | (F.col("total") >= MIN_REFERENCE_WORDS)).select("lang", F.to_json(parts).alias("ref")), "references")
 
-    Only languages with `min_share` of all words are gathered: at most 1 / min_share + 1 references of `common` words.
-    """
-    from lociframe.llm.common import table_cut
 
-    counts = table_cut(language_counts(docs), "language-counts")
-    sizes = counts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("words"))
-    whole = sizes.agg(F.sum("words")).first()[0] or 0
-    large = [r["lang"] for r in sizes.filter((F.col("words") >= whole * min_share) & F.col("lang").isNotNull()).select("lang").collect()]
-    by_lang = counts.filter(F.col("lang").isin(large)).select(F.lit(True).alias("own"), "lang", "kind", "term", "n")
-    total = counts.groupBy("kind", "term").agg(F.sum("n").alias("n")).select(F.lit(False).alias("own"), F.lit(None).cast("string").alias("lang"), "kind", "term", "n")
-    both = by_lang.unionByName(total)
-    best = W.partitionBy("lang").orderBy(F.desc("n"), "term")
-    top = both.filter("kind = 1").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= common).drop("place")
-    out: dict = {}
-    for r in top.unionByName(both.filter("kind = 0")).unionByName(
-            sizes.filter(F.col("lang").isin(large)).select(F.lit(True).alias("own"), "lang", F.lit(2).alias("kind"), F.lit("").alias("term"), F.col("words").alias("n"))).collect():
-        ref = out.setdefault(r["lang"], [np.zeros(len(CLASSES)), {}, 0])
-        if r["kind"] == 0:
-            ref[0][CLASSES.index(r["term"])] = r["n"]
-        elif r["kind"] == 1:
-            ref[1][r["term"]] = r["n"]
-        else:
-            ref[2] = r["n"]
-    if None in out:
-        out[None][2] = whole
-    return {k: tuple(v) for k, v in out.items()}
+class References:
+    """References from their JSON: class counts or None, {word: count} or None, words in all. Keeps those met, up to a limit."""
+
+    def __init__(self, limit: int = 200):
+        self.known: dict[str, tuple] = {}
+        self.limit = limit
 
+    def __call__(self, ref: str | None) -> tuple | None:
+        if not isinstance(ref, str):
+            return None
+        if ref not in self.known:
+            if len(self.known) >= self.limit:
+                self.known.clear()
+            x, chars = json.loads(ref), np.zeros(len(CLASSES))
+            for c in x.get("chars", []):
+                chars[CLASSES.index(c["term"])] = c["n"]
+            self.known[ref] = (chars if "chars" in x else None, {w["term"]: w["n"] for w in x["words"]} if "words" in x else None, x.get("total", 0))
+        return self.known[ref]
 
-def judge(text: str | None, lang: str | None, refs: dict, table: np.ndarray, limits: Limits = Limits()) -> tuple:
-    """The measures and verdict of one text, in the order of RESULT without the id."""
+
+def _with_reference(docs: DataFrame, refs: DataFrame, name: str) -> DataFrame:
+    """The rows with their language's reference in the column `name`, null if it has none."""
+    key = free_name(docs, "__lang")
+    return docs.join(refs.select(F.col("lang").alias(key), F.col("ref").alias(name)), F.col("lang").cast("string") == F.col(key), "left").drop(key)
+
+
+def judge(text: str | None, ref: tuple | None, table: np.ndarray, limits: Limits = Limits()) -> tuple:
+    """The measures and verdict of one text by its language's reference, in the order of RESULT without the id."""
     text = text or ""
     words = WORD.findall(text)
     n = len(words)
@@ -180,13 +192,11 @@ def judge(text: str | None, lang: str | None, refs: dict, table: np.ndarray, lim
     repeat = repeated_words(words)
     failed = n < MIN_WORDS_BASE or 100 * repeat > REPEAT_PERCENT * n
     char_d = word_d = None
-    ref = refs.get(lang) or refs.get(None)
     if ref is not None:
-        classes = char_classes(text, table)
-        if len(text) >= limits.min_chars:
-            char_d = js_distance(classes.astype(float), ref[0])
-        own = LETTERS.findall(text.lower())
-        if len(own) >= limits.min_words:
+        if ref[0] is not None and len(text) >= limits.min_chars:
+            char_d = js_distance(char_classes(text, table).astype(float), ref[0])
+        own = LETTERS.findall(text.lower()) if ref[1] is not None else []
+        if ref[1] is not None and len(own) >= limits.min_words:
             counts = Counter(w for w in own if w in ref[1])
             names = list(ref[1])
             p = np.array([counts[w] for w in names] + [len(own) - sum(counts.values())], dtype=float)
@@ -196,32 +206,33 @@ def judge(text: str | None, lang: str | None, refs: dict, table: np.ndarray, lim
     return n, sum(map(len, words)), symbols, repeated_lines(text), repeat, failed, kept, char_d, word_d
 
 
-def quality_rules(docs: DataFrame, limits: Limits = Limits(), refs: dict | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, limits: Limits = Limits(), refs: DataFrame | None = None) -> DataFrame:
     """One row for each document, as RESULT says."""
     refs = references(docs) if refs is None else refs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = _class_table()
+        table, known = _class_table(), References()
         names = [c.split()[0] for c in RESULT.split(", ")]
         for batch in batches:
-            rows = [judge(t if isinstance(t, str) else None, x if isinstance(x, str) else None, refs, table, limits) for t, x in zip(batch["text"], batch["lang"])]
+            rows = [judge(t if isinstance(t, str) else None, known(x), table, limits) for t, x in zip(batch["text"], batch["ref"])]
             out = pd.DataFrame(rows, columns=names[1:])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").values)
             for c in ("char_distance", "word_distance"):
                 out[c] = out[c].astype("float64")
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).mapInPandas(run, RESULT)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    return _with_reference(rows, refs, "ref").select("doc_id", "text", "ref").mapInPandas(run, RESULT)
 
 
 def keep(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows that the rules keep, with all columns as they were: the verdict is a column of the same pass."""
-    refs = references(docs)
+    name = free_name(docs, "__ref")
 
     @F.pandas_udf("boolean")
     def verdict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        table = _class_table()
-        for texts, langs in batches:
-            yield pd.Series([judge(t if isinstance(t, str) else None, x if isinstance(x, str) else None, refs, table, limits)[6] for t, x in zip(texts, langs)], dtype=bool)
+        table, known = _class_table(), References()
+        for texts, refs in batches:
+            yield pd.Series([judge(t if isinstance(t, str) else None, known(x), table, limits)[6] for t, x in zip(texts, refs)], dtype=bool)
 
-    return docs.filter(verdict(F.col("text"), F.col("lang").cast("string")))
+    return _with_reference(docs, references(docs), name).filter(verdict(F.col("text"), F.col(name))).drop(name)

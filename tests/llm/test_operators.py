@@ -52,6 +52,22 @@ def test_quality(docs, empty):
     assert quality.quality_rules(empty).count() == 0 and quality.keep(empty).count() == 0
 
 
+def test_quality_of_rare_languages(spark):
+    """Clean texts of languages far below 1 % of all words are kept, and other languages' rows change no verdict."""
+    rng = np.random.default_rng(3)
+    letters = {"en": "abcdefghijklmnop", "ru": "абвгдежзиклмнопр", "zh": "天地人你我他上下山水火木金土日月"}
+    text = lambda lang, n: " ".join("".join(rng.choice([*letters[lang]], 4)) for _ in range(n))
+    few = [(i, text("ru" if i % 2 else "zh", 100), "ru" if i % 2 else "zh") for i in range(60)] + [(100, text("ru", 100), "tt"), (101, text("zh", 100), None), (102, "#&7 " * 20 + text("ru", 20), "ru")]
+    many = [(i, text("en", 20_000), "en") for i in range(1000, 1040)]
+    alone, all_rows = (spark.createDataFrame(x, "doc_id long, text string, lang string") for x in (few, few + many))
+    got = {r["doc_id"]: r for r in quality.quality_rules(all_rows).collect()}
+    assert all(got[i]["kept"] and got[i]["char_distance"] < 0.1 and got[i]["word_distance"] is not None for i in range(60))
+    assert all(got[i]["kept"] and got[i]["char_distance"] is None and got[i]["word_distance"] is None for i in (100, 101))
+    assert not got[102]["kept"] and got[102]["char_distance"] > 0.22
+    assert {i: got[i] for i, *_ in few} == {r["doc_id"]: r for r in quality.quality_rules(alone).collect()}
+    assert {r["doc_id"] for r in quality.keep(all_rows).collect()} == {i for i, r in got.items() if r["kept"]}
+
+
 def test_near_duplicates(docs, empty):
     got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(docs).collect()}
     assert got[0] == got[1] == got[2] == 0 and got[5] == got[11] == 5 and got[3] == 3 and got[4] == 4 and got[10] == 10
