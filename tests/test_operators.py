@@ -243,3 +243,21 @@ def test_loess_matches_direct_fit(spark):
         w = np.where(d <= h, (1 - np.minimum(d / h, 1) ** 3) ** 3, 0)
         a = np.column_stack([np.ones(150), x - at])
         assert g == pytest.approx(np.linalg.solve(a.T @ (a * w[:, None]), a.T @ (w * y))[0], abs=1e-8)
+
+
+def test_connected_components_of_all_lines(spark, tmp_path):
+    """The query over the whole table equals brute force, also for lines of small quantities."""
+    from lociframe.plans import QUERIES
+
+    lines = [(k, k * 7 % 23 if k % 3 else k % 5, k % 2, 1, float(k % 50)) for k in range(90)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["node"]: r["component"] for r in QUERIES["connected_components_whole"](spark, str(tmp_path)).collect()}
+    label = {k: k for k, *_ in lines}
+    groups = {}
+    for k, part, supplier, *_ in lines:
+        groups.setdefault((part, supplier), []).append(k)
+    for _ in lines:
+        for own in groups.values():
+            least = min(label[k] for k in own)
+            label.update({k: least for k in own})
+    assert got == {k: label[k] for own in groups.values() if len(own) > 1 for k in own}
