@@ -51,16 +51,19 @@ def slot_totals(df: DataFrame, key: Column, size: Column, slots: int = SLOTS) ->
 def rebalance(slot_map: DataFrame, totals: DataFrame) -> DataFrame:
     """Next version by bytes: shards above the mean give slots away up to their excess, shards below take them.
 
-    A shard above the mean gives its largest slots first as long as they fit in its excess; the slots given, laid end
+    A shard above the mean goes through its slots from the largest and gives each that fits in what is left of its
+    excess, so a slot larger than the excess stays and smaller ones go; the slots given, laid end
     to end, fall into the shards' gaps laid end to end. Slots that stay are not touched.
     """
     held = slot_map.join(totals, "vslot", "left").fillna(0, ["slot_bytes"])
     load = held.groupBy("shard").agg(F.sum("slot_bytes").alias("load"))
     mean = load.agg(F.avg("load").alias("mean"))
     load = load.join(mean, F.lit(True)).withColumn("excess", F.col("load") - F.col("mean"))
-    running = W.partitionBy("shard").orderBy(F.desc("slot_bytes"), "vslot")
-    moved = (held.join(load, "shard").filter("excess > 0")
-             .withColumn("upto", F.sum("slot_bytes").over(running)).filter("slot_bytes > 0 and upto <= excess"))
+    own = F.array_sort(F.collect_list(F.struct((-F.col("slot_bytes")).alias("less"), "vslot", "slot_bytes")))
+    given = (held.join(load, "shard").filter("slot_bytes > 0 and slot_bytes <= excess").groupBy("shard").agg(own.alias("own"), F.first("excess").alias("left"))
+             .select(F.aggregate("own", F.struct("left", F.slice("own", 1, 0).alias("given")), lambda x, y: F.when(
+                 y["slot_bytes"] <= x["left"], F.struct((x["left"] - y["slot_bytes"]).alias("left"), F.concat(x["given"], F.array(y)).alias("given"))).otherwise(x)).alias("x")))
+    moved = given.select(F.explode("x.given").alias("y")).select("y.vslot", "y.slot_bytes")
     at = W.orderBy("vslot")  # at most one row for each slot
     moved = moved.select("vslot", "slot_bytes", (F.sum("slot_bytes").over(at) - F.col("slot_bytes") / 2).alias("mid"))
     order = W.orderBy("shard")

@@ -200,6 +200,15 @@ def test_slot_map_versions(spark, tmp_path):
     assert slots.load_map(spark, path).first()["version"] == 2 and max(load(slots.load_map(spark, path))) <= 600 and slots.load_map(spark, path).count() == 64
 
 
+def test_rebalance_with_a_hot_slot(spark):
+    """A slot larger than its shard's excess stays, and the shard gives the smaller ones that fit: 20 and 6 of 27, not 8."""
+    sizes = [60, 20, 8, 6] + [11, 11, 11, 7] + [40, 11, 10, 6]
+    held = spark.createDataFrame([(1, i, i // 4) for i in range(12)], "version int, vslot int, shard int")
+    totals = spark.createDataFrame([(i, n, 1) for i, n in enumerate(sizes)], "vslot int, slot_bytes long, slot_rows long")
+    got = {r["vslot"]: r["shard"] for r in slots.rebalance(held, totals).collect()}
+    assert got == {i: 1 if i in (1, 3) else i // 4 for i in range(12)}
+
+
 def test_rollup(spark, docs, tmp_path):
     table = rollup.TokenRollup(spark, str(tmp_path / "rollup"))
     feed = rollup.changes(docs.dropDuplicates(["doc_id"]), "insert")
