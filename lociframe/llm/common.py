@@ -26,6 +26,14 @@ def table_cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(table: DataFrame) -> None:
+    """Delete the folders of a table that table_cut made and nothing reads any more."""
+    hadoop = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        folder = hadoop(path)
+        folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(name), F.lit(""))

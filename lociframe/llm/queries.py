@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import bagminhash, byte_bpe, html_text, licenses, pseudo_likelihood, quality, rollup, semi_crf, slots, spaced_seeds
+from lociframe.llm import (
+    bagminhash, byte_bpe, hadamard_clusters, html_text, infill, licenses, pseudo_likelihood, quality, rollup, secrets_cnn, semi_crf, slots, spaced_seeds,
+)
 from lociframe.llm.common import shared_path, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +34,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _span_digests(found: DataFrame, kinds: list[str]) -> DataFrame:
+    """Counts of base spans by kind, the hash of the base spans, and all spans, from the arrays `base` and `spans`."""
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(of_kind(k) for k in kinds), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 @_query("op1_html_extraction")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(_table(spark, sf_dir, "pages"))
@@ -116,10 +125,84 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op10_semi_crf_pii")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = semi_crf.find_spans(_table(spark, sf_dir, "documents"))
-    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(of_kind(k) for k in semi_crf.KINDS), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    return _span_digests(semi_crf.find_spans(_table(spark, sf_dir, "documents")), semi_crf.KINDS)
+
+
+CLUSTER_SQL = """
+with kept as (
+  select vec_id, [floor(x::double * 256)::bigint for x in embedding] as v
+  from embeddings
+  where len(embedding) = 64 and len([x for x in embedding if x is not null and isfinite(x)]) = 64
+),
+c0 as (
+  select c, v from (select v, (row_number() over (order by sha256('2:' || vec_id::varchar) nulls last, v) - 1)::int as c from kept) where c < 40
+)
+""" + "".join(f"""
+, a{r} as (
+  select vec_id, v, min({{'d': d, 'c': c}}) as best
+  from (select k.vec_id, k.v, c.c, list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(k.v, c.v)])::bigint as d from kept k cross join c{r} c)
+  group by vec_id, v
+)
+, m{r} as (
+  select c, list(m order by i) as v
+  from (select best.c as c, i, floor_mean(sum(v[i])::bigint, count(*)) as m from a{r} cross join (select unnest(range(1, 65)) as i) group by best.c, i)
+  group by c
+)
+, c{r + 1} as (select c.c, coalesce(m.v, c.v) as v from c{r} c left join m{r} m using (c))
+""".replace("floor_mean(sum(v[i])::bigint, count(*))", "(sum(v[i])::bigint - ((sum(v[i])::bigint % count(*)) + count(*)) % count(*)) // count(*)") for r in range(5)) + """
+, final as (
+  select vec_id, min({'d': d, 'c': c}) as best
+  from (select k.vec_id, k.v, c.c, list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(k.v, c.v)])::bigint as d from kept k cross join c5 c)
+  group by vec_id, v
+)
+select vec_id, best.c as cluster, best.d as distance, (sum(best.d) over (partition by best.c))::bigint as cluster_inertia,
+       (sum(best.d) over ())::bigint as inertia, sha256(array_to_string(c5.v, ',')) as centroid_sha256
+from final join c5 on c5.c = best.c
+"""
+
+
+@_query("op11_hadamard_clusters", CLUSTER_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hadamard_clusters.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+INFILL_SQL = """
+with h as (
+  select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as x,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u
+  from documents
+),
+g as (
+  select doc_id, t, u, len(u)::bigint as n, ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2, ('0x' || x[17:24])::bigint as h3,
+         ('0x' || x[25:32])::bigint as h4
+  from h
+),
+cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+         case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+              when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from g
+),
+parts as (
+  select *, coalesce(array_to_string(u[1:a], ''), '') as p, coalesce(array_to_string(u[a + 1:b], ''), '') as m, coalesce(array_to_string(u[b + 1:n], ''), '') as s
+  from cut
+)
+select doc_id, n, form, case when form <> 'plain' then length(p)::bigint end as prefix_chars, case when form <> 'plain' then length(m)::bigint end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(t) as restored_sha256
+from parts
+"""
+
+
+@_query("op12_displacement_infill", INFILL_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.infill(_table(spark, sf_dir, "documents"), restored=True)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@_query("op13_secrets_cnn")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(secrets_cnn.find_secrets(_table(spark, sf_dir, "documents")), secrets_cnn.BASE_KINDS)
 
 
 @_query("pipeline")
