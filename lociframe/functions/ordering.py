@@ -1,41 +1,193 @@
-"""Order statistics that stay distributed when one key, or one value, holds most of the rows.
+"""Order statistics over sampled ranges, which stay even when one key, or one value, holds most of the rows.
 
-A window ordered over a whole key puts that key into one task. Here rows are first reduced to
-distinct values with counts, the values of a key are cut into order-preserving buckets that depend
-only on the value, the running counts are taken inside each bucket, and the totals of the earlier
-buckets (a few rows per key) are added.
+A window ordered over a whole key puts that key into one task. Here rows are dealt by `repartitionByRange` over (keys,
+value, tie): Spark samples them and cuts their total order into ranges of about equal size, wherever a key or a value
+begins or ends. The sorted ranges are checkpointed in the shared folder, and each is scanned in its order. What a scan
+can't know is the carry from range to range: the first and the last group of each range come to the driver, a few
+numbers for each range whatever the rows, and go with the next scan to the rows of groups that cross a border. Nothing
+is joined, and no row moves again.
 
-Functions that read their input twice cut its lineage first (a checkpoint in the shared folder), so
-the work above them, often a scan of everything, runs once and not once per branch.
+A task holds its range as Arrow columns. The number of ranges is that of shuffle partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lociframe.session import cut_lineage
+from lociframe.session import ensure_checkpoint_dir
 
+RANGE = "__range"
 
-def order_bucket(value: Column, parts: int = 256) -> Column:
-    """Order-preserving bucket of a number: its binary exponent, cut into ``parts`` equal slices."""
-    x = value.cast("double")
-    mag = F.abs(x)
-    exp = F.floor(F.log2(mag))
-    slot = (exp + 1100) * parts + F.floor((mag / F.pow(F.lit(2.0), exp) - 1.0) * parts)
-    return F.when(x == 0, F.lit(0)).when(x > 0, slot).otherwise(-slot).cast("long")
 
+def sorted_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Rows in checkpointed partitions that are ranges of their order, with the number of the range."""
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return rows.withColumn(RANGE, F.spark_partition_id()).checkpoint()
 
-def _whole(keys: Sequence[str]):
-    return W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+
+def _whole_ranges(batches: Iterator[pa.RecordBatch]) -> tuple[int, pa.Table] | None:
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return None
+    table = pa.Table.from_batches(parts)
+    return table.column(RANGE)[0].as_py(), table.drop_columns([RANGE])
+
+
+def collect_ranges(ranges: DataFrame, cols: Sequence[str], summary: Callable[[int, pa.Table], Any]) -> dict[int, Any]:
+    """The summary of each range that has rows, from some columns, by the number of the range and in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (whole := _whole_ranges(batches)) is not None:
+            yield pa.RecordBatch.from_pydict({"r": pa.array([whole[0]], pa.int32()), "s": pa.array([pickle.dumps(summary(*whole))], pa.binary())})
+
+    rows = ranges.select(RANGE, *dict.fromkeys(cols)).mapInArrow(run, "r int, s binary").collect()
+    return {r["r"]: pickle.loads(r["s"]) for r in sorted(rows, key=lambda r: r["r"])}
+
+
+def map_ranges(ranges: DataFrame, added: Sequence[T.StructField], work: Callable[[int, pa.Table], list[pa.Array]]) -> DataFrame:
+    """Rows with the added columns that `work` makes of each range."""
+    fields = [f for f in ranges.schema.fields if f.name != RANGE]
+    names = [f.name for f in [*fields, *added]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (whole := _whole_ranges(batches)) is not None:
+            yield from pa.Table.from_arrays([*whole[1].columns, *work(*whole)], names=names).to_batches(max_chunksize=10_000)
+
+    return ranges.mapInArrow(run, T.StructType([*fields, *added]))
+
+
+# ---- scans
+
+
+@dataclass(frozen=True)
+class Level:
+    """What is wanted along the order inside the groups of some leading columns of the order.
+
+    ``sums`` maps a name to a summed column, or to None for the number of rows: ``<name>_run``, up to and with the row,
+    and ``<name>_all``, of the whole group. ``lags`` maps a name to a column whose value in the preceding row is wanted.
+    """
+
+    keys: tuple[str, ...]
+    sums: dict[str, str | None] = field(default_factory=dict)
+    lags: dict[str, str] = field(default_factory=dict)
+
+
+def _plain(value: Any) -> Any:
+    return "nan" if isinstance(value, float) and value != value else value
+
+
+def group_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """First rows of the runs of equal keys; null equals null, and what is not a number itself."""
+    fresh = np.zeros(len(table), bool)
+    fresh[0] = True
+    for key in keys:
+        column = pa.concat_arrays(table.column(key).chunks)
+        a, b = column.slice(1), column.slice(0, len(column) - 1)
+        other = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        other = other | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
+        if pa.types.is_floating(column.type):
+            both = pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False)
+            other = other & ~both.to_numpy(zero_copy_only=False)
+        fresh[1:] |= other
+    return np.flatnonzero(fresh)
+
+
+def _numbers(table: pa.Table, source: str | None) -> np.ndarray:
+    if source is None:
+        return np.ones(len(table), np.int64)
+    column = pc.fill_null(table.column(source), 0)
+    whole = pa.types.is_integer(column.type)
+    return column.cast(pa.int64() if whole else pa.float64()).to_numpy().astype(np.int64 if whole else np.longdouble)
+
+
+def _edge(table: pa.Table, level: Level) -> dict[str, Any]:
+    """Keys and sums of the first and the last group of a range, whether they are one, and the last row's lag columns."""
+    starts = group_starts(table, level.keys)
+    n, end = len(table), starts[1] if len(starts) > 1 else len(table)
+    key = lambda i: tuple(_plain(table.column(k)[i].as_py()) for k in level.keys)
+    values = [_numbers(table, s) for s in level.sums.values()]
+    return {"first": key(0), "last": key(n - 1), "single": len(starts) == 1, "head": [v[:end].sum() for v in values],
+            "tail": [v[starts[-1]:].sum() for v in values], "row": [table.column(s)[n - 1].as_py() for s in level.lags.values()]}
+
+
+def _carries(edges: Sequence[dict]) -> list[dict]:
+    """For each range in order: what ranges before it hold of its first group, and those behind it of its last one."""
+    before, behind, rows = [], [], []
+    for i, e in enumerate(edges):
+        prev = edges[i - 1] if i and edges[i - 1]["last"] == e["first"] else None
+        before.append([t + b if prev["single"] else t for t, b in zip(prev["tail"], before[-1])] if prev else [0] * len(e["head"]))
+        rows.append(prev["row"] if prev else None)
+    for i in range(len(edges) - 1, -1, -1):
+        after = edges[i + 1] if i + 1 < len(edges) and edges[i + 1]["first"] == edges[i]["last"] else None
+        behind.append([h + b if after["single"] else h for h, b in zip(after["head"], behind[-1])] if after else [0] * len(edges[i]["head"]))
+    return [{"before": b, "behind": a, "row": r} for b, a, r in zip(before, behind[::-1], rows)]
+
+
+def carries(ranges: DataFrame, levels: Sequence[Level]) -> dict[int, list[dict]]:
+    """The carry of each level for each range."""
+    cols = [c for level in levels for c in [*level.keys, *(s for s in level.sums.values() if s), *level.lags.values()]]
+    edges = collect_ranges(ranges, cols, lambda _, table: [_edge(table, level) for level in levels])
+    each = [_carries([e[k] for e in edges.values()]) for k in range(len(levels))]
+    return {r: [c[i] for c in each] for i, r in enumerate(edges)}
+
+
+def running(values: np.ndarray, starts: np.ndarray, before: Any, behind: Any) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums inside the groups and the groups' totals at each row, with the carry of the border groups."""
+    sizes = np.diff(np.append(starts, len(values)))
+    whole = np.cumsum(values)
+    base = np.concatenate([[0], whole[starts[1:] - 1]]).astype(whole.dtype)
+    total = np.add.reduceat(values, starts)
+    base[0] -= before
+    total[0] += before
+    total[-1] += behind
+    return whole - np.repeat(base, sizes), np.repeat(total, sizes)
+
+
+def scan(ranges: DataFrame, levels: Sequence[Level]) -> DataFrame:
+    """Rows with the running values of all levels."""
+    carry = carries(ranges, levels)
+    kinds = {f.name: f.dataType for f in ranges.schema.fields}
+    whole = lambda s: s is None or isinstance(kinds[s], (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    added = [f for level in levels for f in (
+        *(T.StructField(f"{name}_{end}", T.LongType() if whole(s) else T.DoubleType()) for name, s in level.sums.items() for end in ("run", "all")),
+        *(T.StructField(name, kinds[s]) for name, s in level.lags.items()))]
+
+    def work(number: int, table: pa.Table) -> list[pa.Array]:
+        out = []
+        for level, c in zip(levels, carry[number]):
+            starts = group_starts(table, level.keys)
+            for s, before, behind in zip(level.sums.values(), c["before"], c["behind"]):
+                out += [pa.array(x if x.dtype == np.int64 else x.astype(np.float64)) for x in running(_numbers(table, s), starts, before, behind)]
+            fresh = np.zeros(len(table), bool)
+            fresh[starts] = True
+            for k, s in enumerate(level.lags.values()):
+                column = pa.concat_arrays(table.column(s).chunks)
+                first = pa.array([c["row"][k] if c["row"] else None], column.type)
+                moved = pa.concat_arrays([first, column.slice(0, len(column) - 1)])
+                fresh[0] = False
+                out.append(pc.if_else(pa.array(fresh), pa.scalar(None, column.type), moved))
+        return out
+
+    return map_ranges(ranges, added, work)
+
+
+# ---- ranks, quantiles, adjusted p-values
 
 
 def ranked_counts(
-    df: DataFrame, keys: Sequence[str], value: str, parts: int = 256, sums: dict[str, Column] | None = None,
-    weight: str | None = None,
+    df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None, weight: str | None = None,
 ) -> DataFrame:
     """Distinct values of ``value`` per key with ``cnt``, ``cum`` (rows up to and with it) and ``n``.
 
@@ -43,75 +195,34 @@ def ranked_counts(
     a row stands for that many equal rows.
     """
     keys = list(keys)
-    extra = [c.alias(k) for k, c in (sums or {}).items()]
-    distinct = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("cnt"), *extra)
-        .withColumn("bucket", order_bucket(F.col(value), parts))
-        .repartition(*keys, "bucket")
-    )
-    local = F.sum("cnt").over(W.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    placed = distinct.withColumn("local", local)
-    # The maximum is taken over a struct of every column, so that this branch reads exactly the columns
-    # of the other one and Spark runs the shuffle below both of them only once.
-    everything = F.struct("local", value, *list(sums or {}))
-    whole = _whole(keys)
-    offsets = (
-        placed.groupBy(*keys, "bucket")
-        .agg(F.max(everything).alias("last"))
-        .select(*keys, "bucket", F.col("last.local").alias("in_bucket"))
-        .withColumn(
-            "before",
-            F.coalesce(F.sum("in_bucket").over(whole.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-        )
-        .withColumn("n", F.sum("in_bucket").over(whole))
-        .drop("in_bucket")
-    )
-    return (
-        placed.join(offsets, [*keys, "bucket"])
-        .withColumn("cum", F.col("before") + F.col("local"))
-        .withColumn("cum", F.col("cum").cast("long"))
-        .drop("before", "local")
-    )
-
-
-def running_sums(table: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], parts: int = 256) -> DataFrame:
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("cnt"), *[c.alias(k) for k, c in (sums or {}).items()])
+    placed = scan(sorted_ranges(distinct, [F.col(c) for c in [*keys, value]]), [Level(tuple(keys), {"cum": "cnt"})])
+    return placed.withColumnsRenamed({"cum_run": "cum", "cum_all": "n"})
+
+
+def running_sums(table: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:
     """Running totals along ``order`` inside each key, for a table with one row per (keys, order).
 
     Adds ``<name>_run`` (up to and with the row) and ``<name>_all`` (whole key) for each name in ``sums``.
     """
-    keys, sums = list(keys), list(sums)
-    rows = table.withColumn("bucket", order_bucket(F.col(order), parts)).repartition(*keys, "bucket")
-    inside = W.partitionBy(*keys, "bucket").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    placed = rows.select("*", *[F.sum(c).over(inside).alias(f"{c}_in") for c in sums])
-    everything = F.struct(order, *[c for c in placed.columns if c not in {*keys, "bucket", order}])
-    whole = _whole(keys)
-    before = whole.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = placed.groupBy(*keys, "bucket").agg(F.max(everything).alias("last")).select(
-        *keys, "bucket", *[F.col(f"last.{c}_in").alias(f"{c}_sum") for c in sums]
-    ).select(
-        *keys, "bucket",
-        *[F.coalesce(F.sum(f"{c}_sum").over(before), F.lit(0)).alias(f"{c}_before") for c in sums],
-        *[F.sum(f"{c}_sum").over(whole).alias(f"{c}_all") for c in sums],
-    )
-    out = placed.join(totals, [*keys, "bucket"])
-    return out.select(
-        *table.columns, *[(F.col(f"{c}_before") + F.col(f"{c}_in")).alias(f"{c}_run") for c in sums],
-        *[f"{c}_all" for c in sums],
-    )
+    out = scan(sorted_ranges(table, [F.col(c) for c in [*keys, order]]), [Level(tuple(keys), {c: c for c in sums})])
+    return out.select(*table.columns, *[f"{c}_run" for c in sums], *[f"{c}_all" for c in sums])
+
+
+def previous_value(df: DataFrame, keys: Sequence[str], order: str, out: str = "previous") -> DataFrame:
+    """Rows with the preceding value of ``order`` in their key."""
+    return scan(sorted_ranges(df, [F.col(c) for c in [*keys, order]]), [Level(tuple(keys), {}, {out: order})])
 
 
 def mid_rank(cum: str = "cum", cnt: str = "cnt") -> Column:
     return F.col(cum) - (F.col(cnt) - 1) / 2.0
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], parts: int = 256
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation per key, one column per name in ``probs``."""
     keys = list(keys)
-    ranked = ranked_counts(df, keys, value, parts)
+    ranked = ranked_counts(df, keys, value)
     prev = F.col("cum") - F.col("cnt")
     aggs: list[Column] = []
     for name, p in probs.items():
@@ -132,71 +243,67 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
     return exact_quantiles(df, keys, value, {name: 0.5})
 
 
-def bh_adjust(df: DataFrame, p: str, out: str = "padj", family: Sequence[str] = (), parts: int = 256) -> DataFrame:
-    """Benjamini-Hochberg: p·n/rank with a running minimum from the largest p, capped at 1."""
-    family = list(family)
-    df = cut_lineage(df)
-    ranked = ranked_counts(df, family, p, parts).withColumn("raw", F.col(p) * F.col("n") / F.col("cum"))
-    bucket_min = ranked.groupBy(*family, "bucket").agg(F.min("raw").alias("low"))
-    later = bucket_min.withColumn(
-        "later", F.min("low").over(_whole(family).orderBy("bucket").rowsBetween(1, W.unboundedFollowing))
-    ).drop("low")
-    here = F.min("raw").over(
-        W.partitionBy(*family, "bucket").orderBy(p).rowsBetween(0, W.unboundedFollowing)
-    )
-    table = (
-        ranked.withColumn("here", here)
-        .join(later, [*family, "bucket"])
-        .select(*family, p, F.least(F.lit(1.0), F.col("here"), F.col("later")).alias(out))
-    )
-    return df.join(table, [*family, p], "left")
+def _row_tie(df: DataFrame) -> list[Column]:
+    """Splits rows that are equal in all that is ordered: by a hash of the row, and equal rows by where they come from."""
+    return [F.xxhash64(*[F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]), F.spark_partition_id()]
+
+
+def _with_tie(df: DataFrame) -> DataFrame:
+    return df.withColumns(dict(zip(("__tie_hash", "__tie_part"), _row_tie(df))))
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
-    """Rows with their tie-averaged rank of ``value`` inside each key."""
-    keys = list(keys)
-    df = cut_lineage(df)
-    table = ranked_counts(df, keys, value).select(*keys, value, mid_rank().alias(out))
-    return df.join(table, [*keys, value], "left")
+    """Rows with their tie-averaged rank of ``value`` inside each key; a null value has no rank."""
+    rows = _with_tie(df).withColumn("__held", F.col(value).isNotNull().cast("int"))
+    ranges = sorted_ranges(rows, [F.col(c) for c in [*keys, value, "__tie_hash", "__tie_part"]])
+    placed = scan(ranges, [Level(tuple(keys), {"__i": "__held"}), Level((*keys, value), {"__j": None})])
+    rank = F.when(F.col("__held") == 1, F.col("__i_run") - F.col("__j_run") + (F.col("__j_all") + 1) / 2.0)
+    return placed.select(*df.columns, rank.alias(out))
 
 
-def ordinal_rank(
-    df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str = "rank", descending: bool = False,
-    parts: int = 256,
-) -> DataFrame:
-    """1-based order of ``value`` inside each key, ties by the unique column ``tie``.
+def ordinal_rank(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str = "rank", descending: bool = False) -> DataFrame:
+    """1-based order of ``value`` inside each key, ties by the unique column ``tie``. Nulls are smallest."""
+    by = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
+    ranges = sorted_ranges(df, [*[F.col(k) for k in keys], by, F.col(tie)])
+    return scan(ranges, [Level(tuple(keys), {"__i": None})]).select(*df.columns, F.col("__i_run").alias(out))
+
+
+def bh_adjust(df: DataFrame, p: str, out: str = "padj", family: Sequence[str] = ()) -> DataFrame:
+    """Benjamini-Hochberg: p·n/rank with a running minimum from the largest p, capped at 1. A null p stays out.
 
-    Equal values are split once more by a bucket of the tie column when it is numeric.
+    Among equal p the last rank has the smallest p·n/rank, so the minimum from behind needs no ranks of ties. It is
+    carried like a sum: each range tells the least value of its first group.
     """
-    keys = list(keys)
-    numeric_tie = dict(df.dtypes)[tie] in {"bigint", "int", "double", "float", "smallint", "tinyint"}
-    sign = -1 if descending else 1
-    rows = (
-        cut_lineage(df).withColumn("__b", sign * order_bucket(F.col(value), parts))
-        .withColumn("__t", order_bucket(F.col(tie), parts) if numeric_tie else F.lit(0).cast("long"))
-        .withColumn("__v", sign * F.col(value))
-    )
-    # A bucket of the tie column only orders rows of one value, so it is keyed together with the value.
-    hot = (
-        rows.groupBy(*keys, "__b", "__v", "__t").agg(F.count(F.lit(1)).alias("__c"))
-        .repartition(*keys, "__b")
-    )
-    within = W.partitionBy(*keys, "__b").orderBy("__v", "__t").rowsBetween(W.unboundedPreceding, -1)
-    totals = (
-        hot.groupBy(*keys, "__b").agg(F.sum("__c").alias("__n"))
-        .withColumn("__before", F.coalesce(
-            F.sum("__n").over(_whole(keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .drop("__n")
-    )
-    start = (
-        hot.withColumn("__in", F.coalesce(F.sum("__c").over(within), F.lit(0)))
-        .join(totals, [*keys, "__b"])
-        .select(*keys, "__b", "__v", "__t", (F.col("__in") + F.col("__before")).alias("__start"))
-    )
-    local = F.row_number().over(W.partitionBy(*keys, "__b", "__v", "__t").orderBy(tie))
-    return (
-        rows.withColumn("__local", local)
-        .join(start, [*keys, "__b", "__v", "__t"])
-        .withColumn(out, F.col("__start") + F.col("__local"))
-        .drop("__b", "__t", "__v", "__local", "__start")
-    )
+    rows = _with_tie(df).withColumn("__held", F.col(p).isNotNull().cast("int"))
+    ranges = sorted_ranges(rows, [F.col(c) for c in [*family, p, "__tie_hash", "__tie_part"]])
+    level = Level(tuple(family), {"n": "__held"})
+    carry = carries(ranges, [level])
+
+    def raw(number: int, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        starts = group_starts(table, level.keys)
+        c = carry[number][0]
+        place, n = running(_numbers(table, "__held"), starts, c["before"][0], c["behind"][0])
+        values = pc.fill_null(table.column(p).cast(pa.float64()), np.inf).to_numpy()
+        return np.where(np.isinf(values), np.inf, values * n / np.maximum(place, 1)), starts
+
+    def least(number: int, table: pa.Table) -> dict[str, Any]:
+        value, starts = raw(number, table)
+        key = lambda i: tuple(_plain(table.column(k)[i].as_py()) for k in family)
+        return {"first": key(0), "last": key(len(table) - 1), "single": len(starts) == 1, "least": value[:starts[1] if len(starts) > 1 else None].min()}
+
+    edges = collect_ranges(ranges, [*family, p, "__held"], least)
+    behind, after = {}, None
+    for number, e in reversed(edges.items()):
+        same = after is not None and after["first"] == e["last"]
+        behind[number] = min(after["least"], after["behind"] if after["single"] else np.inf) if same else np.inf
+        after = {**e, "behind": behind[number]}
+
+    def work(number: int, table: pa.Table) -> list[pa.Array]:
+        value, starts = raw(number, table)
+        value[-1] = min(value[-1], behind[number])
+        for lo, hi in zip(starts, np.append(starts[1:], len(value))):
+            value[lo:hi] = np.minimum.accumulate(value[lo:hi][::-1])[::-1]
+        held = table.column("__held").to_numpy() == 1
+        return [pa.array(np.minimum(value, 1.0), mask=~held)]
+
+    return map_ranges(ranges, [T.StructField(out, T.DoubleType())], work).select(*df.columns, out)

@@ -1,7 +1,7 @@
 """Distribution functions as Column expressions.
 
-Normal, chi-square and hypergeometric tails are built from Spark's own expressions; their short sums
-run in ``aggregate``. The incomplete beta is the exception, see ``betainc``.
+Normal and chi-square tails are built from Spark's own expressions; their short sums run in ``aggregate``. The
+incomplete beta and the hypergeometric tail take tens to hundreds of steps and run over Arrow batches in numpy.
 """
 
 from __future__ import annotations
@@ -128,8 +128,8 @@ def _betainc_udf(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
 def betainc(a: Column, b: Column, x: Column) -> Column:
     """Regularised incomplete beta I_x(a, b).
 
-    The one special function that goes to Arrow batches: its continued fraction needs tens of steps per
-    row, which numpy takes over a whole batch at once. It runs on reduced rows only.
+    It goes to Arrow batches: its continued fraction needs tens of steps per row, which numpy takes over a whole batch
+    at once. It runs on reduced rows only.
     """
     return _betainc_udf(a.cast("double"), b.cast("double"), x.cast("double"))
 
@@ -172,43 +172,45 @@ def chi2_sf(x: Column, k: Column) -> Column:
     )
 
 
+def _hypergeom_array(a: np.ndarray, n: np.ndarray, k: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Upper tails of whole arrays, see hypergeom_sf."""
+    least, most = np.maximum(n + k - t, 0), np.minimum(n, k)
+    out = np.where(a > most, 0.0, 1.0)
+    live = np.flatnonzero((a <= most) & (a > least))
+    a, n, k, t, least, most = (v[live].astype(float) for v in (a, n, k, t, least, most))
+    upper = a > np.floor((n + 1) * (k + 1) / (t + 2))
+    i = np.where(upper, a, a - 1)
+    ln = lambda u: _lgamma_array(u + 1.0)
+    choose = lambda u, v: ln(u) - ln(v) - ln(u - v)
+    term = np.exp(choose(k, i) + choose(t - k, n - i) - choose(t, n))
+    total, steps = np.zeros_like(term), np.where(upper, most - i, i - least)
+    for _ in range(int(steps.max(initial=0)) + 1):
+        total += term
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(upper, (k - i) * (n - i) / ((i + 1) * (t - k - n + i + 1)), i * (t - k - n + i) / ((k - i + 1) * (n - i + 1)))
+        i, steps = np.where(upper, i + 1, i - 1), steps - 1
+        term = np.where(steps < 0, 0.0, term * ratio)
+        if np.all(term <= 1e-18 * total):
+            break
+    out[live] = np.clip(np.where(upper, total, 1 - total), 0.0, 1.0)
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def _hypergeom_udf(a: pd.Series, n: pd.Series, k: pd.Series, t: pd.Series) -> pd.Series:
+    known = (a.notna() & n.notna() & k.notna() & t.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[known] = _hypergeom_array(*(v.to_numpy(float)[known].astype(np.int64) for v in (a, n, k, t)))
+    return pd.Series(out).where(known)
+
+
 def hypergeom_sf(hits: Column, drawn: Column, marked: Column, total: Column) -> Column:
     """P(X >= hits) for ``drawn`` items out of ``total`` of which ``marked`` are marked.
 
     The tail that doesn't hold the mode is summed, from its largest term (from its log) by ratios of neighbours, as far
-    as terms count: some standard deviations, whatever the sizes.
+    as terms count. Like the incomplete beta it goes over whole Arrow batches of reduced rows.
     """
-
-    def body(s: Column) -> Column:
-        a, n, k, t = s["a"], s["n"], s["k"], s["t"]
-        least, most = F.greatest(n + k - t, F.lit(0)), F.least(n, k)
-        share = k / t
-        reach = F.ceil(12.0 * F.sqrt(n * share * (1.0 - share))) + 60
-        mode = F.floor((n + 1.0) * (k + 1.0) / (t + 2.0))
-        upper = a > mode
-
-        def choose(u: Column, v: Column) -> Column:
-            return ln_factorial(u) - ln_factorial(v) - ln_factorial(u - v)
-
-        start = F.when(upper, a).otherwise(a - 1)
-        first = F.exp(choose(k, start) + choose(t - k, n - start) - choose(t, n))
-        steps = F.least(reach, F.when(upper, most - start).otherwise(start - least))
-
-        def following(acc: Column, j: Column) -> Column:
-            i = F.when(upper, start + j).otherwise(start - j)
-            up = (k - i) * (n - i) / ((i + 1.0) * (t - k - n + i + 1.0))
-            down = i * (t - k - n + i) / ((k - i + 1.0) * (n - i + 1.0))
-            return F.struct((acc["t"] * F.when(upper, up).otherwise(down)).alias("t"), (acc["s"] + acc["t"]).alias("s"))
-
-        tail = F.aggregate(F.sequence(F.lit(0).cast("long"), steps), F.struct(first.alias("t"), F.lit(0.0).alias("s")), following, lambda acc: acc["s"])
-        return F.when(a > most, F.lit(0.0)).when(a <= least, F.lit(1.0)).otherwise(
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(upper, tail).otherwise(1.0 - tail))))
-
-    packed = F.struct(
-        hits.cast("long").alias("a"), drawn.cast("long").alias("n"),
-        marked.cast("long").alias("k"), total.cast("long").alias("t"),
-    )
-    return F.when(hits <= 0, F.lit(1.0)).otherwise(let(packed, body))
+    return _hypergeom_udf(*(c.cast("long") for c in (hits, drawn, marked, total)))
 
 
 def beta_cdf_int(x: Column, a: Column, b: Column) -> Column:

@@ -52,7 +52,7 @@ def build_classifier(model: str, select_k: int | None = None, seed: int = 42, tr
 def stratified_order(df: DataFrame, seed: int = 42, key: str = "id", label: str = "label") -> DataFrame:
     """Rows with a seeded order ``__i`` inside their class and its size ``__n``."""
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 13), 16, 10).cast("long")
-    out = ordinal_rank(df.withColumn("__h", h), [label], "__h", key, "__i", parts=4096).drop("__h")
+    out = ordinal_rank(df.withColumn("__h", h), [label], "__h", key, "__i").drop("__h")
     return out.join(df.groupBy(label).agg(F.count(F.lit(1)).alias("__n")), label)
 
 

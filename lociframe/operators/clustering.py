@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lociframe.operators.blocks import column_moments, point_blocks
 from lociframe.operators.graph import connected_components
+from lociframe.operators.kmeans import Model, best_fits, fit_models, labels, mean_silhouettes, prepared
 from lociframe.session import cut_lineage
 
 
@@ -113,14 +112,10 @@ def as_vectors(points: DataFrame) -> DataFrame:
 
 
 def kmeans(points: DataFrame, k: int, seed: int = 42, restarts: int = 10, max_iter: int = 100) -> tuple[DataFrame, float]:
-    """Labels of the best of several seeded runs, and its inertia."""
-    data = cut_lineage(as_vectors(points))
-    best = None
-    for r in range(restarts):
-        model = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(data)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best.transform(data).drop("features"), float(best.summary.trainingCost)
+    """Points with the cluster of the best of several seeded runs, and its inertia. All runs share the passes."""
+    data = prepared(points)
+    best = best_fits(fit_models(data, [Model(k, seed + r) for r in range(restarts)], max_iter=max_iter), lambda m: m.k)[k]
+    return points.join(labels(data, [best]).select("id", "cluster"), "id"), best.inertia
 
 
 def kmeans_summary(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -132,34 +127,33 @@ def choose_k(points: DataFrame, ks: Sequence[int] = range(2, 11), seed: int = 42
              restarts: int = 10) -> DataFrame:
     """Inertia and mean silhouette of the best of the runs for each k (one row per k); `best` marks the largest silhouette.
 
-    The exact silhouette compares all points; otherwise the squared-distance form is used, which only needs
-    cluster moments.
+    The runs of all k are fitted in one sequence of passes. The exact silhouette compares all points; otherwise the
+    squared-distance form is used, which only needs cluster moments.
     """
-    rows = []
-    for k in ks:
-        labelled, inertia = kmeans(points, k, seed, restarts)
-        if exact:
-            score = silhouette(labelled, "cluster").agg(F.avg("silhouette")).first()[0]
-        else:
-            ev = ClusteringEvaluator(predictionCol="cluster", featuresCol="features", metricName="silhouette")
-            score = ev.evaluate(as_vectors(labelled))
-        rows.append((k, inertia, float(score)))
+    data = prepared(points)
+    fits = best_fits(fit_models(data, [Model(k, seed + r) for k in ks for r in range(restarts)]), lambda m: m.k)
+    chosen = [fits[k] for k in ks]
+    if exact:
+        labelled = cut_lineage(labels(data, chosen))
+        scores = [silhouette(data.join(labelled.where(F.col("fit") == i), "id"), "cluster").agg(F.avg("silhouette")).first()[0] for i in range(len(chosen))]
+    else:
+        scores = mean_silhouettes(data, chosen)
+    rows = [(k, f.inertia, float(s)) for k, f, s in zip(ks, chosen, scores)]
     top = max(rows, key=lambda r: (r[2], -r[0]))[0] if rows else None
-    rows = [(*r, r[0] == top) for r in rows]
-    return points.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, best boolean")
-
-
-def consensus(points: DataFrame, k: int, iterations: int = 100, fraction: float = 0.8, seed: int = 42) -> DataFrame:
-    """Share of the runs on seeded subsamples in which two points (a < b) fall in one cluster."""
-    data = cut_lineage(as_vectors(points))
-    runs = None
-    for i in range(iterations):
-        u = F.pmod(F.xxhash64(F.lit(seed + i), "id"), F.lit(1_000_000)) / 1_000_000.0
-        sub = data.where(u < fraction)
-        model = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(sub)
-        part = model.transform(sub).select((F.col("cluster") + i * k).cast("long").alias("feature"), F.col("id").alias("sample"), F.lit(1.0).alias("value"))
-        runs = part if runs is None else runs.unionByName(part)
-    return column_moments(cut_lineage(runs)).select("a", "b", (F.col("n") / float(iterations)).alias("consensus"))
+    return points.sparkSession.createDataFrame([(*r, r[0] == top) for r in rows], "k int, inertia double, silhouette double, best boolean")
+
+
+def consensus(points: DataFrame, k: int, iterations: int = 100, fraction: float = 0.8, seed: int = 42, restarts: int = 10) -> DataFrame:
+    """Share of the runs on seeded subsamples in which two points (a < b) fall in one cluster.
+
+    A run is the best of the restarts on its subsample; all of them are fitted in one sequence of passes.
+    """
+    data = prepared(points)
+    models = [Model(k, seed + i * restarts + r, seed + i) for i in range(iterations) for r in range(restarts)]
+    fits = best_fits(fit_models(data, models, fraction), lambda m: m.sample)
+    found = labels(data, [fits[seed + i] for i in range(iterations)], fraction)
+    together = found.select((F.col("fit") * k + F.col("cluster")).cast("long").alias("feature"), F.col("id").alias("sample"), F.lit(1.0).alias("value"))
+    return column_moments(together).select("a", "b", (F.col("n") / float(iterations)).alias("consensus"))
 
 
 def pca(points: DataFrame, k: int = 10, whiten: bool = False) -> tuple[DataFrame, np.ndarray, np.ndarray]:

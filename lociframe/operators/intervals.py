@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociframe.functions.ordering import exact_quantiles, order_bucket, running_sums
+from lociframe.functions.ordering import exact_quantiles, previous_value, running_sums
 from lociframe.session import cut_lineage
 
 
@@ -166,17 +166,6 @@ def promoter_share(annotated: DataFrame) -> DataFrame:
     return annotated.agg(F.count_if(is_promoter).alias("promoter_peaks"), F.avg(is_promoter.cast("int")).alias("tss_enrichment"))
 
 
-def previous_value(df: DataFrame, keys: list[str], order: str, out: str = "previous") -> DataFrame:
-    """The preceding value of ``order`` in its key, for distinct (keys, order), bucket by bucket."""
-    rows = df.withColumn("__b", order_bucket(F.col(order))).repartition(*keys, "__b")
-    local = F.lag(order).over(W.partitionBy(*keys, "__b").orderBy(order))
-    placed = rows.withColumn("__local", local)
-    last = placed.groupBy(*keys, "__b").agg(F.max(F.struct(order, *[c for c in placed.columns if c not in {*keys, "__b", order}])).alias("m"))
-    last = last.select(*keys, "__b", F.col(f"m.{order}").alias("__hi"))
-    before = last.withColumn("__prev", F.lag("__hi").over(W.partitionBy(*keys).orderBy("__b"))).drop("__hi")
-    return placed.join(before, [*keys, "__b"]).withColumn(out, F.coalesce("__local", "__prev")).drop("__b", "__local", "__prev")
-
-
 def build_regions(sites: DataFrame, window: int = 1000, min_sites: int = 3) -> DataFrame:
     """Runs of sites (chrom, pos, delta, fdr) with gaps up to ``window``: bounds, size and means."""
     per = sites.groupBy("chrom", "pos").agg(

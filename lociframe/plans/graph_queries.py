@@ -174,12 +174,12 @@ def _(spark, sf):
 
 @query("choose_k")
 def _(spark, sf):
-    return C.choose_k(points(spark, sf), restarts=1)
+    return C.choose_k(points(spark, sf))
 
 
 @query("consensus_matrix")
 def _(spark, sf):
-    return C.consensus(points(spark, sf), 4, 20)
+    return C.consensus(points(spark, sf), 4)
 
 
 @query("pca_explained")

@@ -42,6 +42,11 @@ def _(spark, sf):
     return r6(S.jaccard_matrix(segment_sets(spark, sf)), "jaccard")
 
 
+@query("similar_sets", f"""{OVERLAP}, j AS (SELECT *, intersection / (size_a + size_b - intersection) AS j FROM o) SELECT a, b, size_a, size_b, intersection, round(j, 6) AS jaccard FROM j WHERE j >= 0.42""")
+def _(spark, sf):
+    return r6(S.similar_sets(segment_sets(spark, sf), 0.42), "jaccard")
+
+
 @query("shared_members", f"""WITH s AS ({SEGMENT_SETS}) SELECT x.set_id AS a, y.set_id AS b, x.item FROM s x JOIN s y ON x.item = y.item AND y.set_id = x.set_id + 1""")
 def _(spark, sf):
     sets = segment_sets(spark, sf)
@@ -156,22 +161,33 @@ def _(spark, sf):
     return S.dedup_by_abs(li)
 
 
-PERMS = 20
+PERMS = 1000
 
 
 def es_sql(src: str, keys: str) -> str:
-    return f"""SELECT {keys}, CASE WHEN max(up) >= -min(down) THEN max(up) ELSE min(down) END AS es, any_value(k) AS size FROM (SELECT {keys}, k, hit / aw - (place - j) / (n - k) AS up, (hit - weight) / aw - (place - j) / (n - k) AS down FROM (
-SELECT *, sum(weight) OVER (PARTITION BY {keys} ORDER BY place) AS hit, row_number() OVER (PARTITION BY {keys} ORDER BY place) AS j, sum(weight) OVER (PARTITION BY {keys}) AS aw, count(*) OVER (PARTITION BY {keys}) AS k FROM ({src}))) GROUP BY {keys}"""
+    return f"""SELECT {keys}, CASE WHEN max(up) >= -min(down) THEN max(up) ELSE min(down) END AS es, any_value(k) AS size FROM (SELECT {keys}, k, hit - (place - j) / (n - k) AS up, hit - share - (place - j) / (n - k) AS down FROM (
+SELECT *, sum(share) OVER (PARTITION BY {keys} ORDER BY place) AS hit FROM (SELECT *, CASE WHEN aw > 0 THEN weight / aw ELSE 1.0 / k END AS share FROM (
+SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY place) AS j, sum(weight) OVER (PARTITION BY {keys}) AS aw, count(*) OVER (PARTITION BY {keys}) AS k FROM ({src}))))) GROUP BY {keys}"""
+
+
+def beyond(side: str, op: str) -> str:
+    """GSEA's q on one side of zero: share of the pooled null over the share of the sets."""
+    return (f"least(1.0, (SELECT sum(w) FILTER (WHERE x {op} s.nes) / sum(w) FROM pool WHERE x {side} 0) / "
+            f"((SELECT count(*) FILTER (WHERE t.nes {op} s.nes) / count(*) FROM s t WHERE t.nes {side} 0)))")
 
 
-GSEA = f"""WITH r AS ({RANKED}), b AS (SELECT item, score, row_number() OVER (ORDER BY score DESC, item) AS place, count(*) OVER () AS n FROM r),
+GSEA = f"""WITH r AS ({RANKED}), b AS (SELECT item, abs(score) AS weight, row_number() OVER (ORDER BY score DESC, item) AS place, count(*) OVER () AS n FROM r),
 lib AS (SELECT p_name || '/' || p_brand AS set_id, p_partkey AS item FROM part WHERE p_partkey IN (SELECT item FROM b)), ok AS (SELECT set_id FROM lib GROUP BY 1 HAVING count(*) BETWEEN 3 AND 500),
-m AS (SELECT * FROM lib WHERE set_id IN (SELECT set_id FROM ok)), o AS ({es_sql('SELECT set_id, place, abs(score) AS weight, n FROM m JOIN b ON m.item = b.item', 'set_id')}),
-h AS (SELECT item, perm, row_number() OVER (PARTITION BY perm ORDER BY CAST('0x' || substr(md5('123:' || CAST(perm AS VARCHAR) || ':' || CAST(item AS VARCHAR)), 1, 13) AS BIGINT), item) AS place FROM b, range(1, {PERMS + 1}) t(perm)),
-u AS ({es_sql('SELECT set_id, perm, h.place, abs(b.score) AS weight, n FROM m JOIN h ON m.item = h.item JOIN b ON b.place = h.place', 'set_id, perm')}),
-s AS (SELECT o.set_id, any_value(o.size) AS size, any_value(o.es) AS es, avg(abs(u.es)) FILTER (WHERE sign(u.es) = sign(o.es)) AS sc, count(*) FILTER (WHERE sign(u.es) = sign(o.es)) AS ns,
-count(*) FILTER (WHERE sign(u.es) = sign(o.es) AND abs(u.es) >= abs(o.es)) AS nb FROM o JOIN u ON o.set_id = u.set_id GROUP BY 1),
-q AS (SELECT set_id, size, es, coalesce(es / sc, 0) AS nes, coalesce(nb / nullif(ns, 0), 1) AS pvalue FROM s), d AS ({bh('SELECT * FROM q', 'pvalue', 'fdr')})"""
+m AS (SELECT * FROM lib WHERE set_id IN (SELECT set_id FROM ok)), o AS ({es_sql('SELECT set_id, place, weight, n FROM m JOIN b ON m.item = b.item', 'set_id')}),
+kz AS (SELECT max(size) AS k, (SELECT max(n) FROM b) AS n FROM o), sq AS (SELECT n, k, unnest(range(1, 2 * k + 65)) AS j FROM kz),
+dr AS (SELECT draw, k, place, min(j) AS j FROM (SELECT t.draw, k, j, CAST('0x' || substr(md5('123:' || CAST(t.draw AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 13) AS BIGINT) % n + 1 AS place FROM range(1, {PERMS + 1}) t(draw), sq) GROUP BY ALL),
+dj AS (SELECT draw, place, row_number() OVER (PARTITION BY draw ORDER BY j) AS i FROM dr QUALIFY i <= k),
+u AS ({es_sql('SELECT z.size AS z, draw, dj.place, weight, n FROM (SELECT DISTINCT size FROM o) z JOIN dj ON dj.i <= z.size JOIN b ON b.place = dj.place', 'z, draw')}),
+mz AS (SELECT size, avg(es) FILTER (WHERE es >= 0) AS up, avg(-es) FILTER (WHERE es < 0) AS down, count(*) FILTER (WHERE es >= 0) AS n_up, count(*) FILTER (WHERE es < 0) AS n_down FROM u GROUP BY 1),
+s AS (SELECT o.set_id, o.size, o.es, coalesce(o.es / CASE WHEN o.es >= 0 THEN up ELSE down END, 0) AS nes,
+coalesce((SELECT count(*) FROM u WHERE u.size = o.size AND (u.es >= 0) = (o.es >= 0) AND abs(u.es) >= abs(o.es)) / nullif(CASE WHEN o.es >= 0 THEN n_up ELSE n_down END, 0), 1) AS pvalue FROM o JOIN mz ON o.size = mz.size),
+w AS (SELECT size, count(*) AS w FROM o GROUP BY 1), pool AS (SELECT coalesce(u.es / CASE WHEN u.es >= 0 THEN up ELSE down END, 0) AS x, w FROM u JOIN mz ON u.size = mz.size JOIN w ON w.size = u.size),
+d AS (SELECT *, CASE WHEN nes >= 0 THEN {beyond('>=', '>=')} ELSE {beyond('<', '<=')} END AS fdr FROM s)"""
 
 
 def gsea(spark, sf):
@@ -179,7 +195,7 @@ def gsea(spark, sf):
     return S.preranked_enrichment(ranked_parts(spark, sf), lib, PERMS, 3, 500)
 
 
-@query("preranked_enrichment", f"{GSEA} SELECT set_id, size, round(es, 6) AS es, round(nes, 6) AS nes, round(pvalue, 6) AS pvalue, round(fdr, 6) AS fdr, CASE WHEN nes >= 0 THEN 'positive' ELSE 'negative' END AS direction FROM d")
+@query("preranked_enrichment", f"{GSEA} SELECT set_id, CAST(size AS INTEGER) AS size, round(es, 6) AS es, round(nes, 6) AS nes, round(pvalue, 6) AS pvalue, round(fdr, 6) AS fdr, CASE WHEN nes >= 0 THEN 'positive' ELSE 'negative' END AS direction FROM d")
 def _(spark, sf):
     return r6(gsea(spark, sf).drop("minus_log10_fdr"), "es", "nes", "pvalue", "fdr")
 
