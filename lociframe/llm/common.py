@@ -1,22 +1,11 @@
-"""Shared folder, table cuts and text column helpers of the operators here."""
+"""Table cuts and text column helpers of the operators here."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.session import ensure_checkpoint_dir
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        ensure_checkpoint_dir(spark)
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from lociframe.session import shared_path
 
 
 def table_cut(df: DataFrame, name: str) -> DataFrame:

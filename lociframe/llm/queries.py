@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lociframe.llm import (
     bagminhash, byte_bpe, hadamard_clusters, html_text, infill, licenses, pseudo_likelihood, quality, rollup, secrets_cnn, semi_crf, slots, spaced_seeds,
 )
-from lociframe.llm.common import shared_path, whole_text
+from lociframe.llm.common import shared_path, table_cut, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,13 +72,15 @@ from counted group by source, lang, tokenizer
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts all documents, revises those of low quality without their symbols, deletes the toxic ones, and commits a batch twice."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    # Tokens are counted in the scan, so that the joins move ids and numbers and no texts. An inner join with distinct
+    # ids stays above the counting, where a semi join would be pushed below it.
+    ids = lambda which: labels.filter(which).select("doc_id").distinct()
+    cleaned = docs.withColumn("text", F.regexp_replace(whole_text(), r"[#*$%&|<>]", ""))
     table = rollup.TokenRollup(spark)
     table.commit(0, rollup.changes(docs, "insert"))
-    low = docs.join(labels.filter("quality = 0").select("doc_id"), "doc_id", "left_semi")
-    revised = rollup.changes(low.withColumn("text", F.regexp_replace(whole_text(), r"[#*$%&|<>]", "")), "revise")
+    revised = table_cut(rollup.changes(cleaned, "revise").join(ids("quality = 0"), "doc_id"), "revised")
     table.commit(1, revised)
-    toxic = docs.join(labels.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    table.commit(2, rollup.changes(toxic, "delete"))
+    table.commit(2, rollup.changes(docs, "delete").join(ids("toxic = 1"), "doc_id"))
     table.commit(1, revised)
     return table.totals()
 

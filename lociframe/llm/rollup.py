@@ -3,9 +3,9 @@
 A change feed inserts, deletes and revises documents' counts in numbered batches. A commit turns its batch into signed
 rows: what stands for a touched document is taken back with a minus sign, what is new is added. The signed rows are
 the ledger; their sums by (source, lang, tokenizer) are the batch's totals, and the totals of all batches add up to
-the roll-up. Both are Parquet tables with one folder for each batch, written with dynamic partition overwrite: a batch
-that is committed again, after a crash or by mistake, reads only the batches before it and replaces its own folder,
-so that nothing is counted twice.
+the roll-up. Both are Parquet tables with one folder for each batch, which a commit overwrites as a whole: a batch that
+is committed again, after a crash or by mistake, reads only the batches before it and replaces its own folder, also
+when it has no rows now, so that nothing is counted twice.
 
 Nulls: a null source, language or text is a group of its own or has no tokens; a null id is an id like others.
 Repeated changes of a document in one batch: the last by `seq` counts, ties by the largest row. A delete of what is
@@ -65,12 +65,12 @@ class TokenRollup:
             back = (old.groupBy("doc_id", "tokenizer", "source", "lang").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
                     .filter("docs <> 0 or tokens <> 0").withColumns({"docs": -F.col("docs"), "tokens": -F.col("tokens")}))
             signed = back.unionByName(added)
-        self._write(signed.withColumn("batch_id", F.lit(batch_id)), "ledger")
+        self._write(signed, "ledger", batch_id)
         own = self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger").filter(F.col("batch_id") == batch_id)
-        self._write(own.groupBy("batch_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), "totals")
+        self._write(own.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), "totals", batch_id)
 
-    def _write(self, df: DataFrame, table: str) -> None:
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{self.path}/{table}"))
+    def _write(self, df: DataFrame, table: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{table}/batch_id={batch_id}")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens over all committed batches, without groups that were emptied."""
