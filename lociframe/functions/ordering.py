@@ -56,16 +56,21 @@ def collect_ranges(ranges: DataFrame, cols: Sequence[str], summary: Callable[[in
     return {r["r"]: pickle.loads(r["s"]) for r in sorted(rows, key=lambda r: r["r"])}
 
 
-def map_ranges(ranges: DataFrame, added: Sequence[T.StructField], work: Callable[[int, pa.Table], list[pa.Array]]) -> DataFrame:
-    """Rows with the added columns that `work` makes of each range."""
-    fields = [f for f in ranges.schema.fields if f.name != RANGE]
-    names = [f.name for f in [*fields, *added]]
+def emit_ranges(ranges: DataFrame, schema: T.StructType, work: Callable[[int, pa.Table], list[pa.Array]]) -> DataFrame:
+    """Rows that `work` makes of each range, as the columns of the schema."""
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (whole := _whole_ranges(batches)) is not None:
-            yield from pa.Table.from_arrays([*whole[1].columns, *work(*whole)], names=names).to_batches(max_chunksize=10_000)
+            yield from pa.Table.from_arrays(work(*whole), names=names).to_batches(max_chunksize=10_000)
+
+    return ranges.mapInArrow(run, schema)
 
-    return ranges.mapInArrow(run, T.StructType([*fields, *added]))
+
+def map_ranges(ranges: DataFrame, added: Sequence[T.StructField], work: Callable[[int, pa.Table], list[pa.Array]]) -> DataFrame:
+    """Rows with the added columns that `work` makes of each range."""
+    fields = [f for f in ranges.schema.fields if f.name != RANGE]
+    return emit_ranges(ranges, T.StructType([*fields, *added]), lambda number, table: [*table.columns, *work(number, table)])
 
 
 # ---- scans
@@ -183,6 +188,39 @@ def scan(ranges: DataFrame, levels: Sequence[Level]) -> DataFrame:
     return map_ranges(ranges, added, work)
 
 
+def running_max(ranges: DataFrame, keys: Sequence[str], value: str) -> Callable[[int, pa.Table], np.ndarray]:
+    """A function of (range, its table): the largest value, up to and with each row, of the rows of its keys.
+
+    A null value counts as least. What ranges before hold of a range's first group is carried.
+    """
+
+    def values(table: pa.Table) -> np.ndarray:
+        return pc.fill_null(table.column(value).cast(pa.float64()), -np.inf).to_numpy().copy()
+
+    def edge(_: int, table: pa.Table) -> dict[str, Any]:
+        starts, v = group_starts(table, keys), values(table)
+        key = lambda i: tuple(_plain(table.column(k)[i].as_py()) for k in keys)
+        return {"first": key(0), "last": key(len(table) - 1), "single": len(starts) == 1, "tail": v[starts[-1]:].max()}
+
+    carry, prev = {}, None
+    for number, e in collect_ranges(ranges, [*keys, value], edge).items():
+        same = prev is not None and prev["last"] == e["first"]
+        carry[number] = prev["most"] if same else -np.inf
+        prev = {**e, "most": max(e["tail"], carry[number]) if e["single"] else e["tail"]}
+
+    def run(number: int, table: pa.Table) -> np.ndarray:
+        v = values(table)
+        v[0] = max(v[0], carry[number])
+        # Places in the sorted values, raised by the group, so that one running maximum restarts at each group.
+        levels, place = np.unique(v, return_inverse=True)
+        group = np.zeros(len(v), np.int64)
+        group[group_starts(table, keys)[1:]] = 1
+        group = np.cumsum(group)
+        return levels[np.maximum.accumulate(place + group * len(levels)) - group * len(levels)]
+
+    return run
+
+
 # ---- ranks, quantiles, adjusted p-values
 
 

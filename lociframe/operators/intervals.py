@@ -8,11 +8,14 @@ its bins. A pair that meets in two bins is kept in the bin of the later start.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lociframe.functions.ordering import exact_quantiles, previous_value, running_sums
+from lociframe.functions.ordering import emit_ranges, exact_quantiles, previous_value, running_max, running_sums, sorted_ranges
 from lociframe.session import cut_lineage
 
 
@@ -68,7 +71,96 @@ OVER_HALF_OF_LEFT = "overlap / len_a > 0.5"
 HALF_OF_SHORTER = "overlap / least(len_a, len_b) >= 0.5"
 
 
+# ---- is there a match: no pairs ------------------------------------------------------------------
+
+def _length_level(length: Column) -> Column:
+    """Whole binary logarithm of a positive whole length."""
+    return F.length(F.bin(length.cast("long"))) - 1
+
+
+def _row(t, at, pos, kind: int, v=None, tau=None) -> Column:
+    as_double = lambda x: (F.lit(None) if x is None else x if isinstance(x, Column) else F.lit(float(x))).cast("double")
+    return F.struct((t if isinstance(t, Column) else F.lit(t)).cast("int").alias("t"), (at if isinstance(at, Column) else F.lit(at)).cast("long").alias("bin"),
+                    as_double(pos).alias("pos"), F.lit(kind).alias("kind"), as_double(v).alias("v"), as_double(tau).alias("tau"))
+
+
+def _bin_at(x: Column, level: Column) -> Column:
+    """Bin of width 2^(level - 1)."""
+    return F.floor(x / F.pow(F.lit(2.0), level - 1))
+
+
+def _window(level: Column, lo: Column, hi: Column, kind: int, tau: Column) -> Column:
+    """Probes of a window that is longer than a bin: the end of its first bin, the whole bins between, the start of its
+    last bin."""
+    first, last = _bin_at(lo, level), _bin_at(hi, level)
+    bins = F.transform(F.sequence(first + 1, last), lambda b: _row(2 * level, b, F.when(b == last, hi.cast("double")).otherwise(float("inf")), kind, tau=tau))
+    return F.concat(F.array(_row(2 * level + 1, first, -lo, kind, tau=tau)), bins)
+
+
+def _reach_rows(left: DataFrame, right: DataFrame, rule: str, key: str) -> DataFrame:
+    """Points of the right side with a value v, and probes of the left side with what v must exceed (tau), such that a
+    left interval has a match if the largest v before one of its probes, in its bin, does.
+
+    Over half of the left interval a, of length n: b starts before a and ends beyond start + n/2; or b ends after a and
+    starts before end - n/2; or b lies inside a and is longer than n/2, so that its length is of a's binary order or
+    the one below, and the longest start in (start, end - n/2) tells. At least half of the shorter: b covers a's middle,
+    or b is no longer than a and its own middle lies in a, so that the shortest middle in a tells.
+    """
+    s, e = F.col("start"), F.col("end")
+    n = e - s
+    if rule == OVER_HALF_OF_LEFT:
+        level = _length_level(n)
+        points = F.concat(F.array(_row(-1, 0, s, 0, v=e), _row(-2, 0, -e, 0, v=-s)),
+                          F.when(n > 0, F.array(_row(2 * level, _bin_at(s, level), s, 1, v=n), _row(2 * level + 1, _bin_at(s, level), -s, 1, v=n))).otherwise(F.array().cast(F_ROWS)))
+        half = n / 2.0
+        inside = lambda order: F.when(order >= 0, _window(order, s, e - half, 0, half)).otherwise(F.array().cast(F_ROWS))
+        probes = F.concat(F.array(_row(-1, 0, s, 1, tau=s + half), _row(-2, 0, -e, 1, tau=half - e)), inside(level), inside(level - 1))
+        right = right.where("end >= start")
+    else:
+        top = left.where("end > start").agg(F.coalesce(F.max(_length_level(n)), F.lit(0))).scalar()
+        level, middle = _length_level(n), (s + e) / 2.0
+        orders = F.when(level <= F.col("top"), F.sequence(level, F.col("top"))).otherwise(F.array().cast("array<int>"))
+        each = lambda k: F.array(_row(2 * k, _bin_at(middle, k), middle, 0, v=-n), _row(2 * k + 1, _bin_at(middle, k), -middle, 0, v=-n))
+        points = F.concat(F.array(_row(-1, 0, s, 0, v=e)), F.flatten(F.transform(orders, each)))
+        probes = F.concat(F.array(_row(-1, 0, middle, 1, tau=middle)), _window(level, s, e, 1, -n))
+        right = right.where("end > start").withColumn("top", top.cast("int"))
+    a = left.where("end > start").select("chrom", "other", F.col(key).alias("id"), F.explode(probes).alias("r")).select("chrom", "other", "id", "r.*")
+    b = right.select("chrom", F.col("cond").alias("other"), F.lit(None).cast(left.schema[key].dataType).alias("id"), F.explode(points).alias("r"))
+    return a.unionByName(b.select("chrom", "other", "id", "r.*"))
+
+
+F_ROWS = "array<struct<t:int,bin:bigint,pos:double,kind:int,v:double,tau:double>>"
+_GROUP = ["chrom", "other", "t", "bin"]
+
+
+def reach_hits(left: DataFrame, right: DataFrame, rule: str = OVER_HALF_OF_LEFT, key: str = "name") -> DataFrame:
+    """(key, other) for each interval of the left side and each condition of ``other`` in which the right side has a match.
+
+    ``left`` has chrom, start, end, the key and other; ``right`` chrom, start, end and cond. One ordered scan of a few
+    rows for each interval, whatever the number of overlaps.
+    """
+    rows = _reach_rows(left, right, rule, key)
+    ranges = sorted_ranges(rows, [F.col(c) for c in [*_GROUP, "pos", "kind", "v", "id"]])
+    most = running_max(ranges, _GROUP, "v")
+    beyond = np.greater if rule == OVER_HALF_OF_LEFT else np.greater_equal
+
+    def work(number: int, table: pa.Table) -> list[pa.Array]:
+        tau = pc.fill_null(table.column("tau"), np.inf).to_numpy()
+        found = table.filter(pa.array(beyond(most(number, table), tau) & np.isfinite(tau)))
+        return [found.column("id"), found.column("other")]
+
+    fields = [T.StructField(key, left.schema[key].dataType), T.StructField("other", left.schema["other"].dataType)]
+    return emit_ranges(ranges, T.StructType(fields), work).distinct()
+
+
+RULES = (OVER_HALF_OF_LEFT, HALF_OF_SHORTER)
+
+
 def matched_ids(left: DataFrame, right: DataFrame, condition: str = OVER_HALF_OF_LEFT, key: str = "name") -> DataFrame:
+    """Keys of the left intervals that have a match; conditions other than the two RULES go through pairs."""
+    if condition in RULES:
+        one = F.lit(0)
+        return reach_hits(left.select("chrom", "start", "end", key, one.alias("other")), right.select("chrom", "start", "end", one.alias("cond")), condition, key).select(key)
     return overlap_join(left, right, F.expr(condition)).select(F.col(f"a.{key}").alias(key)).distinct()
 
 
@@ -80,33 +172,32 @@ def interval_anti(left: DataFrame, right: DataFrame, condition: str = OVER_HALF_
     return left.join(matched_ids(left, right, condition, key), key, "left_anti")
 
 
-def _cross_condition_hits(peaks: DataFrame, condition: str, key: str) -> DataFrame:
-    """(key, other condition) for each peak and each other condition in which it has a match."""
-    pairs = overlap_join(peaks, peaks, F.expr(condition)).where(F.col("a.cond") != F.col("b.cond"))
+def _cross_condition_hits(peaks: DataFrame, condition: str, key: str, of: str | None = None) -> DataFrame:
+    """(key, other condition) for each peak (of one condition, if given) and each other condition in which it has a match."""
+    own = peaks if of is None else peaks.where(F.col("cond") == of)
+    if condition in RULES:
+        conds = peaks.select("cond").distinct().agg(F.collect_set("cond")).scalar()  # the few conditions
+        left = own.select("chrom", "start", "end", key, "cond", F.explode(conds).alias("other")).where("other <> cond")
+        return reach_hits(left.drop("cond"), peaks.select("chrom", "start", "end", "cond"), condition, key)
+    pairs = overlap_join(own, peaks, F.expr(condition)).where(F.col("a.cond") != F.col("b.cond"))
     return pairs.select(F.col(f"a.{key}").alias(key), F.col("b.cond").alias("other")).distinct()
 
 
 def unique_peaks(peaks: DataFrame, condition: str = OVER_HALF_OF_LEFT, key: str = "name") -> DataFrame:
     """Peaks of each condition without a match in any other condition."""
-    peaks = cut_lineage(peaks)
-    hits = _cross_condition_hits(peaks, condition, key).select(key).distinct()
-    return peaks.join(hits, key, "left_anti")
+    return peaks.join(_cross_condition_hits(peaks, condition, key).select(key), key, "left_anti")
 
 
 def shared_peaks(peaks: DataFrame, first: str, condition: str = OVER_HALF_OF_LEFT, key: str = "name") -> DataFrame:
     """Peaks of the condition ``first`` with a match in every other condition."""
-    peaks = cut_lineage(peaks)
     others = peaks.agg(F.count_distinct("cond")).scalar() - 1
-    base = peaks.where(F.col("cond") == first)
-    rest = peaks.where(F.col("cond") != first)
-    hits = overlap_join(base, rest, F.expr(condition)).select(F.col(f"a.{key}").alias(key), F.col("b.cond").alias("other"))
-    full = hits.distinct().groupBy(key).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == others)
-    return base.join(full.select(key), key, "left_semi")
+    hits = _cross_condition_hits(peaks, condition, key, first)
+    full = hits.groupBy(key).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == others)
+    return peaks.where(F.col("cond") == first).join(full.select(key), key, "left_semi")
 
 
 def peak_similarity(peaks: DataFrame, key: str = "name", condition: str = HALF_OF_SHORTER) -> DataFrame:
     """Matched peaks of one condition in another over the union, for every ordered pair of conditions."""
-    peaks = cut_lineage(peaks)
     hits = _cross_condition_hits(peaks, condition, key)
     matched = hits.join(peaks.select(key, "cond"), key).groupBy("cond", "other").agg(F.count(F.lit(1)).alias("matched"))
     sizes = peaks.groupBy("cond").agg(F.count(F.lit(1)).alias("n"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions.ordering import average_rank, exact_quantiles, running_sums
 from lociframe.functions.special import chi2_sf, normal_two_sided
+from lociframe.operators import cox
 from lociframe.operators.correlate import correlation_p
 from lociframe.session import cut_lineage
 
@@ -127,9 +128,6 @@ def weighted_logrank(df: DataFrame, group: str = "grp", keys: Sequence[str] = ()
 
 # ---- proportional hazards ------------------------------------------------------------------------
 
-MAX_LEVELS = 200
-
-
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.na.drop(subset=list(cols))
 
@@ -139,26 +137,27 @@ def prepare_covariates(
 ) -> tuple[DataFrame, list[str]]:
     """Design columns: dummies without the first level, standardised numbers with nulls at the mean, products.
 
-    Columns that are not numeric count as categorical. Level names become columns of the plan, so they
-    are read to the driver; more than MAX_LEVELS levels are refused.
+    Columns that are not numeric count as categorical. Their levels become columns of the plan, so their names are read
+    to the driver; a column of very many levels is for `cox_levels`, where levels are rows.
     """
     types = dict(df.dtypes)
     names: list[str] = []
     out = df
+    numeric = [c for c in covariates if c not in categorical and types[c] != "string"]
+    # A null at the mean adds nothing to the sum of squares, so one pass gives mean and deviation of the filled column.
+    stats = df.agg(*[a for i, c in enumerate(numeric) for a in (
+        F.avg(c).alias(f"m{i}"), F.sqrt(F.var_pop(c) * F.count(c) / F.count(F.lit(1))).alias(f"s{i}"))]).first() if numeric else None
     for c in covariates:
-        if c in categorical or types[c] == "string":
-            levels = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(MAX_LEVELS + 1).collect()]
-            if len(levels) > MAX_LEVELS:
-                raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
+        if c in numeric:
+            i = numeric.index(c)
+            mean, sd = F.lit(stats[f"m{i}"]).cast("double"), F.lit(stats[f"s{i}"]).cast("double")
+            out = out.withColumn(f"{c}_z", (F.coalesce(F.col(c).cast("double"), mean) - mean) / (sd + 1e-10))
+            names.append(f"{c}_z")
+        else:
+            levels = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect())
             for level in levels[1:]:
                 out = out.withColumn(f"{c}_{level}", F.coalesce((F.col(c) == level).cast("double"), F.lit(0.0)))
                 names.append(f"{c}_{level}")
-        else:
-            mean = df.agg(F.avg(c)).scalar()
-            filled = df.select(F.coalesce(F.col(c).cast("double"), mean).alias(c))
-            sd = filled.agg(F.stddev_pop(c)).scalar()
-            out = out.withColumn(f"{c}_z", (F.coalesce(F.col(c).cast("double"), mean) - mean) / (sd + 1e-10))
-            names.append(f"{c}_z")
     for pair in interactions:
         a, b = (f"{p}_z" if f"{p}_z" in names else p for p in pair.split(":"))
         if a in names and b in names:
@@ -167,84 +166,44 @@ def prepare_covariates(
     return out, names
 
 
-def _risk_terms(base: DataFrame, p: int, beta: Sequence[float]) -> DataFrame:
-    """Per time: events, event sums of x, and reverse running sums of e, x·e and x·xᵀ·e (e = exp(xβ))."""
-    x = [F.col(f"x{i}") for i in range(p)]
-    risk = F.lit(0.0)
-    for b, xi in zip(beta, x):
-        risk = risk + float(b) * xi
-    rows = base.withColumn("e", F.exp(risk))
-    sums = {"s0": F.sum("e")}
-    for i in range(p):
-        sums[f"s1_{i}"] = F.sum(x[i] * F.col("e"))
-        for j in range(i, p):
-            sums[f"s2_{i}_{j}"] = F.sum(x[i] * x[j] * F.col("e"))
-    events = [F.sum(F.when(F.col("event") == 1, x[i]).otherwise(0.0)).alias(f"ex_{i}") for i in range(p)]
-    per = rows.groupBy("time").agg(F.sum("event").cast("double").alias("d"), *events, *[c.alias(k) for k, c in sums.items()])
-    run = running_sums(per, [], "time", list(sums))
-    back = [(F.col(f"{k}_all") - F.col(f"{k}_run") + F.col(k)).alias(k) for k in sums]
-    return run.where("d > 0").select("time", "d", *[f"ex_{i}" for i in range(p)], *back)
-
-
-def cox_fit(df: DataFrame, names: Sequence[str], max_iter: int = 20) -> tuple[np.ndarray, np.ndarray]:
+def cox_fit(df: DataFrame, names: Sequence[str], max_iter: int = cox.MAX_ITER) -> tuple[np.ndarray, np.ndarray]:
     """Breslow partial likelihood by Newton steps; returns β and its covariance.
 
-    Each step is one Spark job that returns a single row of p + p(p+1)/2 numbers. A singular information matrix gives
-    a covariance of NaN; a fit that hasn't settled after ``max_iter`` steps gives a warning.
+    A singular information matrix gives a covariance of NaN; a fit that hasn't settled after ``max_iter`` steps gives a
+    warning.
     """
-    p = len(names)
-    base = cut_lineage(df.where("time is not null and event is not null").select(
-        F.col("time").cast("double").alias("time"), "event",
-        *[F.col(f"`{n}`").cast("double").alias(f"x{i}") for i, n in enumerate(names)]).na.drop())
-    beta, hess = np.zeros(p), np.eye(p)
-    for _ in range(max_iter):
-        t = _risk_terms(base, p, beta)
-        grad = [F.sum(F.col(f"ex_{i}") - F.col("d") * F.col(f"s1_{i}") / F.col("s0")).alias(f"g{i}") for i in range(p)]
-        info = [
-            F.sum(F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - F.col(f"s1_{i}") * F.col(f"s1_{j}") / (F.col("s0") * F.col("s0")))).alias(f"h{i}_{j}")
-            for i in range(p) for j in range(i, p)
-        ]
-        row = t.agg(*grad, *info).first()
-        g = np.array([row[f"g{i}"] or 0.0 for i in range(p)])
-        hess = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(p)] for i in range(p)])
-        try:
-            step = np.linalg.solve(hess, g)
-        except np.linalg.LinAlgError:
-            break
-        if np.linalg.norm(g) < 1e-6 or np.max(np.abs(step)) < 1e-6:
-            break
-        beta = beta + step
-    else:
+    fit = cox.fit_models(df, names, [range(len(names))], max_iter)[0]
+    if not fit.converged and fit.steps >= max_iter:
         warnings.warn(f"the fit has not settled after {max_iter} steps", stacklevel=2)
-    try:
-        cov = np.linalg.inv(hess)
-    except np.linalg.LinAlgError:
-        cov = np.full((p, p), np.nan)
-    return beta, cov
+    return fit.beta, fit.covariance
 
 
-def _cox_table(df: DataFrame, fits: list[tuple[str, float, float]], alpha: float) -> DataFrame:
-    rows = df.sparkSession.createDataFrame(
-        [(n, float(b), float(s)) for n, b, s in fits], "covariate string, beta double, se double")
+def _cox_table(rows: DataFrame, alpha: float) -> DataFrame:
+    """Hazard ratio, interval, z and p from covariate, beta, se, converged."""
     z = F.col("beta") / (F.col("se") + 1e-10)
     return rows.select(
         "covariate", F.exp("beta").alias("hr"), F.exp(F.col("beta") - 1.96 * F.col("se")).alias("ci_lower"),
-        F.exp(F.col("beta") + 1.96 * F.col("se")).alias("ci_upper"), z.alias("z"),
+        F.exp(F.col("beta") + 1.96 * F.col("se")).alias("ci_upper"), z.alias("z"), "converged",
     ).withColumn("pvalue", normal_two_sided(F.col("z"))).withColumn("significant", F.col("pvalue") < alpha)
 
 
+def _fit_rows(df: DataFrame, names: Sequence[str], fits: Sequence[cox.CoxFit]) -> DataFrame:
+    rows = [(names[c], float(f.beta[i]), float(np.sqrt(f.covariance[i, i])), f.converged) for f in fits for i, c in enumerate(f.columns)]
+    return df.sparkSession.createDataFrame(rows, "covariate string, beta double, se double, converged boolean")
+
+
 def cox_univariate(df: DataFrame, names: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """One model per design column."""
-    fits = []
-    for n in names:
-        b, v = cox_fit(df, [n])
-        fits.append((n, b[0], float(np.sqrt(v[0, 0]))))
-    return _cox_table(df, fits, alpha)
+    """One model per design column, all of them in the same passes."""
+    return _cox_table(_fit_rows(df, names, cox.fit_models(df, names, [[i] for i in range(len(names))])), alpha)
 
 
 def cox_multivariate(df: DataFrame, names: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    b, v = cox_fit(df, names)
-    return _cox_table(df, [(n, b[i], float(np.sqrt(v[i, i]))) for i, n in enumerate(names)], alpha)
+    return _cox_table(_fit_rows(df, names, cox.fit_models(df, names, [range(len(names))])), alpha)
+
+
+def cox_levels(df: DataFrame, key: str, columns: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """One univariate model per level, but the first, of categorical columns with any number of levels."""
+    return _cox_table(cox.level_fits(df, key, columns), alpha)
 
 
 def risk_scores(df: DataFrame, names: Sequence[str], beta: Sequence[float]) -> DataFrame:
@@ -259,12 +218,10 @@ def risk_scores(df: DataFrame, names: Sequence[str], beta: Sequence[float]) -> D
 
 def schoenfeld_test(df: DataFrame, names: Sequence[str], beta: Sequence[float]) -> DataFrame:
     """Rank correlation of Schoenfeld residuals with ln(time), one row per design column."""
-    p = len(names)
-    base = cut_lineage(df.where("time is not null and event is not null").select(
-        F.col("time").cast("double").alias("time"), "event",
-        *[F.col(f"`{n}`").cast("double").alias(f"x{i}") for i, n in enumerate(names)]).na.drop())
-    means = _risk_terms(base, p, beta).select("time", *[(F.col(f"s1_{i}") / F.col("s0")).alias(f"m{i}") for i in range(p)])
-    ev = base.where("event = 1").join(means, "time")
+    base = df.where("time is not null and event = 1").select(
+        F.col("time").cast("double").alias("time"),
+        *[F.col(f"`{n}`").cast("double").alias(f"x{i}") for i, n in enumerate(names)]).na.drop()
+    ev = base.join(cox.risk_means(df, names, beta), "time")
     cols = F.array(*[F.struct(F.lit(n).alias("covariate"), (F.col(f"x{i}") - F.col(f"m{i}")).alias("residual"))
                      for i, n in enumerate(names)])
     long = ev.select("time", F.explode(cols).alias("r")).select("time", "r.covariate", F.round("r.residual", 12).alias("residual"))

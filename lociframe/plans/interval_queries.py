@@ -40,12 +40,14 @@ def _(spark, sf):
     return I.unique_peaks(event_intervals(spark, sf))
 
 
-@query("shared_peaks", f"""{E}, h AS (SELECT DISTINCT a.name FROM e a JOIN e b ON {TOUCH} AND {HALF} WHERE a.cond = 'click' AND b.cond <> 'click')
-SELECT {ROW} FROM e WHERE cond = 'click' AND name IN (SELECT name FROM h)""")
+# Users in two groups, so that some clicks do match an event of every other type.
+GROUPED = EVENT_INTERVALS.replace("user_id AS chrom", "user_id % 2 AS chrom")
+
+
+@query("shared_peaks", f"""WITH e AS ({GROUPED}), h AS (SELECT a.name FROM e a JOIN e b ON {TOUCH} AND {HALF} WHERE a.cond = 'click' AND b.cond <> 'click' GROUP BY 1
+HAVING count(DISTINCT b.cond) = (SELECT count(DISTINCT cond) - 1 FROM e)) SELECT {ROW} FROM e WHERE cond = 'click' AND name IN (SELECT name FROM h)""")
 def _(spark, sf):
-    # Two conditions over all events: no click overlaps every one of the other types.
-    two = event_intervals(spark, sf).withColumn("cond", F.when(F.col("cond") == "click", "click").otherwise("other"))
-    return I.shared_peaks(two, "click")
+    return I.shared_peaks(event_intervals(spark, sf).withColumn("chrom", F.col("chrom") % 2), "click")
 
 
 @query("peak_similarity", f"""{E}, h AS (SELECT DISTINCT a.name, a.cond, b.cond AS other FROM e a JOIN e b ON {TOUCH} AND a.cond <> b.cond AND ({OV}) / least(a."end" - a."start", b."end" - b."start") >= 0.5),

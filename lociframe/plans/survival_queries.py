@@ -8,7 +8,7 @@ from lociframe.operators import survival as V
 from lociframe.plans.inputs import ORDER_SURVIVAL, order_survival, table
 from lociframe.plans.matrix_queries import r6
 from lociframe.plans.registry import query
-from lociframe.plans.sqltext import norm_two_sided
+from lociframe.plans.sqltext import betainc, norm_two_sided
 
 KM = f"""WITH s AS ({ORDER_SURVIVAL}), t AS (SELECT grp, time, count(*) AS m, sum(event) AS d FROM s GROUP BY 1, 2),
 r AS (SELECT *, sum(m) OVER (PARTITION BY grp ORDER BY time DESC) AS n FROM t), e AS (SELECT * FROM r WHERE d > 0),
@@ -135,7 +135,7 @@ def _(spark, sf):
 @query("cox_univariate")
 def _(spark, sf):
     df, names = covariates(spark, sf)
-    return r6(V.cox_univariate(df, names[:2]), "hr", "ci_lower", "ci_upper", "z", "pvalue")
+    return r6(V.cox_univariate(df, names), "hr", "ci_lower", "ci_upper", "z", "pvalue")
 
 
 @query("cox_multivariate")
@@ -144,27 +144,39 @@ def _(spark, sf):
     return r6(V.cox_multivariate(df, names), "hr", "ci_lower", "ci_upper", "z", "pvalue")
 
 
-# Given coefficients, so that SQL can follow: price 0.2, units -0.1.
-BETA = [0.2, -0.1]
-COX = f"""WITH s AS ({ORDER_SURVIVAL}), x AS (SELECT id, time, event, (price - avg(price) OVER ()) / (stddev_pop(price) OVER () + 1e-10) AS a, (units - avg(units) OVER ()) / (stddev_pop(units) OVER () + 1e-10) AS b FROM s JOIN customer ON custkey = c_custkey),
-lp AS (SELECT *, 0.2 * a - 0.1 * b AS lp FROM x)"""
+@query("cox_levels")
+def _(spark, sf):
+    return r6(V.cox_levels(order_survival(spark, sf), "id", ["custkey", "grp"]), "hr", "ci_lower", "ci_upper", "z", "pvalue")
+
+
+# Given coefficients, so that SQL can follow, for all seven columns.
+BETA = [0.2, -0.1, 0.05, -0.05, 0.1, 0.15, 0.02]
+SEGMENTS = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+DUMMIES = ", ".join(f"CASE WHEN c_mktsegment = '{x}' THEN 1.0 ELSE 0.0 END AS x{i + 2}" for i, x in enumerate(SEGMENTS))
+COX = f"""WITH s AS ({ORDER_SURVIVAL}), z AS (SELECT id, time, event, (price - avg(price) OVER ()) / (stddev_pop(price) OVER () + 1e-10) AS x0, (units - avg(units) OVER ()) / (stddev_pop(units) OVER () + 1e-10) AS x1, {DUMMIES} FROM s JOIN customer ON custkey = c_custkey),
+x AS (SELECT *, x0 * x1 AS x6 FROM z), lp AS (SELECT *, {' + '.join(f'({b}) * x{i}' for i, b in enumerate(BETA))} AS lp FROM x)"""
 
 
 @query("risk_scores", f"{COX}, m AS (SELECT quantile_cont(lp, 0.5) AS m FROM lp) SELECT id, round(lp, 6) AS linear_predictor, CASE WHEN lp < m THEN 'low' ELSE 'high' END AS risk_group FROM lp, m")
 def _(spark, sf):
     df, names = covariates(spark, sf)
-    return r6(V.risk_scores(df, names[:2], BETA).select("id", "linear_predictor", "risk_group"), "linear_predictor")
+    return r6(V.risk_scores(df, names, BETA).select("id", "linear_predictor", "risk_group"), "linear_predictor")
+
+
+SEVEN = range(len(BETA))
+NAMES = ["price_z", "units_z", *[f"segment_{x}" for x in SEGMENTS], "price:units"]
 
 
-@query("schoenfeld_test", f"""{COX}, t AS (SELECT time, sum(exp(lp)) AS s0, sum(a * exp(lp)) AS sa, sum(b * exp(lp)) AS sb FROM lp GROUP BY time),
-c AS (SELECT time, sum(sa) OVER w / sum(s0) OVER w AS ma, sum(sb) OVER w / sum(s0) OVER w AS mb FROM t WINDOW w AS (ORDER BY time DESC)),
-r AS (SELECT lp.time, round(a - ma, 12) AS ra, round(b - mb, 12) AS rb FROM lp JOIN c ON lp.time = c.time WHERE event = 1),
-l AS (SELECT 'price_z' AS covariate, time, ra AS res FROM r UNION ALL SELECT 'units_z', time, rb FROM r),
-k AS (SELECT covariate, rank() OVER (PARTITION BY covariate ORDER BY res) + (count(*) OVER (PARTITION BY covariate, res) - 1) / 2.0 AS x, rank() OVER (PARTITION BY covariate ORDER BY time) + (count(*) OVER (PARTITION BY covariate, time) - 1) / 2.0 AS y FROM l)
-SELECT covariate, round(corr(x, y), 6) AS correlation, count(*) AS n FROM k GROUP BY covariate""")
+@query("schoenfeld_test", f"""{COX}, t AS (SELECT time, sum(exp(lp)) AS s0, {', '.join(f'sum(x{i} * exp(lp)) AS s1_{i}' for i in SEVEN)} FROM lp GROUP BY time),
+c AS (SELECT time, {', '.join(f'sum(s1_{i}) OVER w / sum(s0) OVER w AS m{i}' for i in SEVEN)} FROM t WINDOW w AS (ORDER BY time DESC)),
+l AS ({' UNION ALL '.join(f"SELECT '{n}' AS covariate, lp.time, round(x{i} - m{i}, 12) AS res FROM lp JOIN c ON lp.time = c.time WHERE event = 1" for i, n in enumerate(NAMES))}),
+k AS (SELECT covariate, rank() OVER (PARTITION BY covariate ORDER BY res) + (count(*) OVER (PARTITION BY covariate, res) - 1) / 2.0 AS x, rank() OVER (PARTITION BY covariate ORDER BY time) + (count(*) OVER (PARTITION BY covariate, time) - 1) / 2.0 AS y FROM l),
+r AS (SELECT covariate, corr(x, y) AS r, count(*) AS n FROM k GROUP BY covariate), q AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM r)
+SELECT covariate, round(r, 5) AS correlation, n, round(log10(1 - {betainc('0.5', '(n - 2) / 2.0', '(t * t / (n - 2 + t * t))', 3000)}), 3) AS log10_p FROM q""")
 def _(spark, sf):
     df, names = covariates(spark, sf)
-    return r6(V.schoenfeld_test(df, names[:2], BETA).select("covariate", "correlation", "n"), "correlation")
+    out = V.schoenfeld_test(df, names, BETA)
+    return out.select("covariate", F.round("correlation", 5).alias("correlation"), "n", F.round(F.log10("pvalue"), 3).alias("log10_p"))
 
 
 @query("overall_survival", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 7 <> 0 THEN 1 WHEN o_orderkey % 11 <> 0 THEN 0 END AS os_event,
