@@ -6,16 +6,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociframe.operators.blocks import column_moments, point_blocks
 from lociframe.operators.graph import connected_components
+from lociframe.operators.components import components, scores
 from lociframe.operators.kmeans import Model, best_fits, fit_models, labels, mean_silhouettes, prepared
+from lociframe.operators.neighbours import knn_descent, near_pairs
 from lociframe.session import cut_lineage
 
 
@@ -24,11 +23,15 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
-def knn_graph(points: DataFrame, k: int = 15, block: int = 1024) -> DataFrame:
-    """Exact k nearest other points (id, neighbour, distance, place).
+def knn_graph(points: DataFrame, k: int = 15, block: int = 1024, method: str = "exact") -> DataFrame:
+    """k nearest other points (id, neighbour, distance, place): exact by pairs of tiles, or by ``descent``.
 
-    Every tile pair returns at most k candidates per point; the k best of those are kept.
+    Every tile pair returns at most k candidates per point; the k best of those are kept. Descent never compares all
+    points; it finds nearly all neighbours.
     """
+    if method == "descent":
+        return knn_descent(points, k)
+
     def work(ia, va, ib, vb):
         d = _distances(va, vb)
         d[ia[:, None] == ib[None, :]] = np.inf
@@ -53,16 +56,6 @@ def shared_neighbours(knn: DataFrame) -> DataFrame:
     return pairs.distinct().where("weight > 0")
 
 
-def near_pairs(points: DataFrame, eps: float, block: int = 1024) -> DataFrame:
-    """Pairs of points (src < dst) within eps."""
-    def work(ia, va, ib, vb):
-        d = _distances(va, vb)
-        i, j = np.nonzero((d <= eps) & (ia[:, None] < ib[None, :]))
-        return pd.DataFrame({"src": ia[i], "dst": ib[j], "distance": d[i, j]})
-
-    return point_blocks(points, work, "src long, dst long, distance double", block)
-
-
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """Density clusters (id, cluster): the smallest core id of the cluster, -1 for noise.
 
@@ -107,10 +100,6 @@ def silhouette(points: DataFrame, label: str = "label", block: int = 1024) -> Da
     return agg.select("id", "label", F.when(F.greatest(a, b) > 0, (b - a) / F.greatest(a, b)).otherwise(0.0).alias("silhouette"))
 
 
-def as_vectors(points: DataFrame) -> DataFrame:
-    return points.withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
-
-
 def kmeans(points: DataFrame, k: int, seed: int = 42, restarts: int = 10, max_iter: int = 100) -> tuple[DataFrame, float]:
     """Points with the cluster of the best of several seeded runs, and its inertia. All runs share the passes."""
     data = prepared(points)
@@ -162,20 +151,10 @@ def pca(points: DataFrame, k: int = 10, whiten: bool = False) -> tuple[DataFrame
     Scores are those of the centred data (U·S); ``whiten`` gives U. The sign of a component makes its
     largest loading positive.
     """
-    data = cut_lineage(as_vectors(points).select("id", "features"))
-    model = PCA(k=k, inputCol="features", outputCol="pc").fit(data)
-    load = model.pc.toArray()
-    sign = np.sign(load[np.abs(load).argmax(axis=0), range(load.shape[1])])
-    load = load * sign
-    stats = data.agg(Summarizer.metrics("mean", "count").summary(F.col("features")).alias("s")).select("s.mean", "s.count").first()
-    shift = stats["mean"].toArray() @ load
-    lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    centred = F.zip_with(F.zip_with(vector_to_array("pc"), lit(sign), lambda a, b: a * b), lit(shift), lambda a, b: a - b)
-    scores = model.transform(data).select("id", centred.alias("scores"))
-    if whiten:
-        norms = scores.agg(*[F.sqrt(F.sum(F.col("scores")[i] * F.col("scores")[i])).alias(f"n{i}") for i in range(k)]).first()
-        scores = scores.withColumn("scores", F.zip_with("scores", lit([norms[f"n{i}"] for i in range(k)]), lambda a, n: a / n))
-    return scores, load, model.explainedVariance.toArray()
+    data = prepared(points)
+    found = components(data, k)
+    out = scores(data, found, whiten, data.count() if whiten else None)
+    return out, found.vectors, found.variances / found.total if found.total > 0 else found.variances * 0
 
 
 def explained_variance(points: DataFrame, k: int = 10) -> DataFrame:
@@ -188,7 +167,7 @@ def explained_variance(points: DataFrame, k: int = 10) -> DataFrame:
 def top_loadings(points: DataFrame, k: int = 10, top: int = 10) -> DataFrame:
     """Features of the largest absolute loadings per component."""
     _, load, _ = pca(points, k)
-    rows = [(c + 1, int(f), float(load[f, c]), i + 1) for c in range(k) for i, f in enumerate(np.argsort(-np.abs(load[:, c]))[:top])]
+    rows = [(c + 1, int(f), float(load[f, c]), i + 1) for c in range(load.shape[1]) for i, f in enumerate(np.argsort(-np.abs(load[:, c]))[:top])]
     return points.sparkSession.createDataFrame(rows, "component int, feature int, loading double, place int")
 
 

@@ -133,6 +133,11 @@ def _(spark, sf):
     return r6(C.knn_graph(points(spark, sf), 15), "distance")
 
 
+@query("knn_graph_descent")
+def _(spark, sf):
+    return r6(C.knn_graph(points(spark, sf), 15, method="descent"), "distance")
+
+
 @query("shared_neighbours", f"""{KNN}, n AS (SELECT * FROM k WHERE place <= 15), l AS (SELECT id, list(neighbour) AS near FROM n GROUP BY 1)
 SELECT DISTINCT least(n.id, n.neighbour) AS src, greatest(n.id, n.neighbour) AS dst, CAST(len(list_intersect(a.near, b.near)) AS INTEGER) AS weight FROM n JOIN l a ON a.id = n.id JOIN l b ON b.id = n.neighbour WHERE len(list_intersect(a.near, b.near)) > 0""")
 def _(spark, sf):

@@ -172,11 +172,11 @@ c AS (SELECT time, {', '.join(f'sum(s1_{i}) OVER w / sum(s0) OVER w AS m{i}' for
 l AS ({' UNION ALL '.join(f"SELECT '{n}' AS covariate, lp.time, round(x{i} - m{i}, 12) AS res FROM lp JOIN c ON lp.time = c.time WHERE event = 1" for i, n in enumerate(NAMES))}),
 k AS (SELECT covariate, rank() OVER (PARTITION BY covariate ORDER BY res) + (count(*) OVER (PARTITION BY covariate, res) - 1) / 2.0 AS x, rank() OVER (PARTITION BY covariate ORDER BY time) + (count(*) OVER (PARTITION BY covariate, time) - 1) / 2.0 AS y FROM l),
 r AS (SELECT covariate, corr(x, y) AS r, count(*) AS n FROM k GROUP BY covariate), q AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM r)
-SELECT covariate, round(r, 5) AS correlation, n, round(log10(1 - {betainc('0.5', '(n - 2) / 2.0', '(t * t / (n - 2 + t * t))', 3000)}), 3) AS log10_p FROM q""")
+SELECT covariate, round(r, 5) AS correlation, n, round(greatest(0, 1 - {betainc('0.5', '(n - 2) / 2.0', '(t * t / (n - 2 + t * t))', 3000)}), 5) AS pvalue FROM q""")
 def _(spark, sf):
     df, names = covariates(spark, sf)
     out = V.schoenfeld_test(df, names, BETA)
-    return out.select("covariate", F.round("correlation", 5).alias("correlation"), "n", F.round(F.log10("pvalue"), 3).alias("log10_p"))
+    return out.select("covariate", F.round("correlation", 5).alias("correlation"), "n", F.round("pvalue", 5).alias("pvalue"))
 
 
 @query("overall_survival", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 7 <> 0 THEN 1 WHEN o_orderkey % 11 <> 0 THEN 0 END AS os_event,
