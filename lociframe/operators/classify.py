@@ -26,7 +26,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(per.withColumn("weight", n / (k * F.col("__c"))).drop("__c"), label)
 
 
-def build_classifier(model: str, select_k: int | None = None, seed: int = 42, trees: int = 100, binary: bool = True) -> Pipeline:
+def build_classifier(model: str, select_k: int | None = None, seed: int = 42, trees: int = 100, binary: bool = True, boosting_rounds: int = 300) -> Pipeline:
     """Scaler, optional F-test selection and a classifier with balanced weights."""
     stages = [StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)]
     col = "scaled"
@@ -43,7 +43,7 @@ def build_classifier(model: str, select_k: int | None = None, seed: int = 42, tr
         svc = LinearSVC(maxIter=100, regParam=0.01, weightCol="weight", **common)
         clf = svc if binary else OneVsRest(classifier=svc, weightCol="weight", **common)
     elif model == "boosted_trees":
-        clf = GBTClassifier(maxIter=30, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, seed=seed, weightCol="weight", **common)
+        clf = GBTClassifier(maxIter=boosting_rounds, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, seed=seed, weightCol="weight", **common)
     else:
         raise ValueError(f"unknown model {model}")
     return Pipeline(stages=[*stages, clf])
@@ -144,7 +144,7 @@ def feature_importance(model: PipelineModel, names: list[str], spark) -> DataFra
     if hasattr(clf, "featureImportances"):
         values = clf.featureImportances.toArray()
     elif hasattr(clf, "coefficientMatrix"):
-        values = abs(clf.coefficientMatrix.toArray()[0])
+        values = abs(clf.coefficientMatrix.toArray()).mean(axis=0)
     else:
         values = abs(clf.coefficients.toArray())
     order = sorted(zip(kept, values), key=lambda t: (-t[1], t[0]))

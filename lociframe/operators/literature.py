@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociframe.functions import text as T
+from lociframe.functions.ordering import Level, scan, sorted_ranges
+from lociframe.operators.sets import co_members
 from lociframe.session import cut_lineage
 
 # ---- filters -------------------------------------------------------------------------------------
@@ -110,8 +111,8 @@ def top_papers(scored: DataFrame, n: int) -> DataFrame:
     return scored.orderBy(F.desc("impact_score"), F.desc("citation_count"), "journal", F.desc("pub_date"), "doi").limit(n)
 
 
-def summarize_papers(df: DataFrame) -> DataFrame:
-    """Why it matters, major discoveries and significance remarks from the abstract."""
+def summarize_papers(df: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """Why it matters and major discoveries from the abstract, and the remarks of a rule table (term, remark)."""
     s = T.split_sentences(F.col("abstract"))
     out = df.withColumn("__s", s)
     first = F.get("__s", F.lit(0))
@@ -120,7 +121,7 @@ def summarize_papers(df: DataFrame) -> DataFrame:
     return (
         out.withColumn("why_it_matters", F.coalesce(first, F.concat_ws(" ", unknown, "journal")))
         .withColumn("major_discoveries", F.when(first.isNull(), unknown).when(F.size("__s") > 1, rest).otherwise(first))
-        .withColumn("significance", T.significance_text(F.lower(F.concat_ws(" ", "title", "abstract")), F.array_join("matched_field_keywords", "; ")))
+        .withColumn("significance", T.significance_text(F.lower(F.concat_ws(" ", "title", "abstract")), F.array_join("matched_field_keywords", "; "), rules))
         .drop("__s")
     )
 
@@ -284,7 +285,7 @@ def final_author_score(rolled: DataFrame, total_citations: Column, total_works:
 
 
 def candidate_short_list(rolled: DataFrame, top: int) -> DataFrame:
-    return rolled.orderBy(F.desc("relevance_score"), F.desc("citations"), F.desc("last"), F.desc("works"), "author_id").limit(min(3 * top, 120))
+    return rolled.orderBy(F.desc("relevance_score"), F.desc("citations"), F.desc("last"), F.desc("works"), "author_id").limit(3 * top)
 
 
 def author_profiles(works: DataFrame, terms: Sequence[str], this_year: int, top: int = 5) -> DataFrame:
@@ -336,31 +337,37 @@ def cap_per_institution(rows: DataFrame, cap: int = 2, score: str = "final_score
     return rows.withColumn("__inst", inst).withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= cap).drop("__inst", "__i")
 
 
-def diversify(rows: DataFrame, top: int, max_overlap: int = 2, score: str = "final_score", max_rows: int = 120) -> DataFrame:
+def diversify(rows: DataFrame, top: int, max_overlap: int = 2, score: str = "final_score") -> DataFrame:
     """Keep rows by falling score, leaving out those that share more than the overlap with a kept one.
 
-    A greedy choice depends on all earlier ones. It runs per query on the short list, whose length
-    ``candidate_short_list`` bounds; a longer list is refused. rows: query, author_id, dois, score.
+    The greedy choice is the first independent set, in the order of the scores, of the graph of rows that share too
+    many DOIs. In each round a row without an earlier open rival is kept, and its later rivals go; the rounds follow the
+    longest chain of rivals that decide each other and not the number of rows. rows: query, author_id, dois, score.
     """
-    cols = rows.select("query", "author_id", score)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_rows:
-            raise ValueError(f"diversify takes a short list of at most {max_rows} rows per query")
-        kept, sets = [], []
-        for r in pdf.sort_values([score, "author_id"], ascending=[False, True]).itertuples(index=False):
-            mine = set(r.dois)
-            if all(len(mine & s) <= max_overlap for s in sets):
-                kept.append((r.query, r.author_id, len(kept) + 1))
-                sets.append(mine)
-            if len(kept) == top:
-                break
-        return pd.DataFrame(kept, columns=["query", "author_id", "place"])
-
-    types = dict(cols.dtypes)
-    chosen = rows.select("query", "author_id", score, "dois").groupBy("query").applyInPandas(
-        greedy, f"query {types['query']}, author_id {types['author_id']}, place int")
-    return rows.join(chosen, ["query", "author_id"])
+    order = [F.col("query"), F.desc(score), F.col("author_id")]
+    placed = scan(sorted_ranges(rows.select("query", "author_id", score, "dois"), order), [Level(("query",), {"__i": None})]).withColumnRenamed("__i_run", "__at")
+    name = F.struct("query", F.col("__at").alias("at"))
+    placed = cut_lineage(placed.select("query", "author_id", "__at", "dois", F.to_json(name).alias("__k")))
+    members = placed.select(F.col("__k").alias("set_id"), F.explode("dois").alias("d"), "query").select("set_id", F.to_json(F.struct("query", "d")).alias("item")).distinct()
+    met = co_members(members).where(F.col("intersection") > max_overlap)
+    at = placed.select("__k", "__at")
+    ends = met.join(at.toDF("a", "at_a"), "a").join(at.toDF("b", "at_b"), "b")
+    first = F.col("at_a") < F.col("at_b")
+    rivals = cut_lineage(ends.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late")))
+    open_rows, kept = placed.select("__k"), None
+    while True:
+        chosen = cut_lineage(open_rows.join(rivals.select(F.col("late").alias("__k")), "__k", "left_anti"))
+        kept = chosen if kept is None else kept.unionByName(chosen)
+        gone = rivals.join(chosen.withColumnRenamed("__k", "early"), "early", "left_semi").select(F.col("late").alias("__k")).distinct()
+        if rivals.isEmpty():
+            break
+        open_rows = cut_lineage(open_rows.join(chosen, "__k", "left_anti").join(gone, "__k", "left_anti"))
+        still = open_rows.select("__k")
+        rivals = cut_lineage(rivals.join(still.withColumnRenamed("__k", "early"), "early", "left_semi").join(still.withColumnRenamed("__k", "late"), "late", "left_semi"))
+    best = placed.join(kept, "__k")
+    w = W.partitionBy("query").orderBy("__at")  # at most top rows of a query stay
+    found = best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select("query", "author_id", "place")
+    return rows.join(found, ["query", "author_id"])
 
 
 def flatten_topics(topics: Column, n: int = 5) -> Column:

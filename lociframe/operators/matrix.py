@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.functions.ordering import exact_median, ordinal_rank, ranked_counts
+from lociframe.functions.ordering import Level, exact_median, ordinal_rank, ranked_counts, running_sums, scan, sorted_ranges
+from lociframe.session import cut_lineage
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
@@ -147,14 +148,25 @@ def quantile_normalize(lm: DataFrame) -> DataFrame:
     """Give every sample the same distribution: the mean over samples of the r-th smallest value.
 
     Nulls are left out. Tied values share the mean of their ranks' targets.
+
+    A sample is a step function of the rank, with one step for each distinct value, so there are no rows of single
+    ranks: steps begin and end at places of a line, running sums give the mean of all samples between two places, and
+    its integral gives the mean over the ranks of a value.
     """
-    ranked = ranked_counts(lm, ["sample"], "value")
-    slots = ranked.select(
-        "sample", "value", F.explode(F.sequence(F.col("cum") - F.col("cnt") + 1, F.col("cum"))).alias("r")
-    )
-    target = slots.groupBy("r").agg(F.avg("value").alias("target"))
-    table = slots.join(target, "r").groupBy("sample", "value").agg(F.avg("target").alias("target"))
-    return lm.join(table, ["sample", "value"]).select("feature", "sample", F.col("target").alias("value"))
+    steps = cut_lineage(ranked_counts(lm, ["sample"], "value").select("sample", F.col("value").cast("double").alias("value"), (F.col("cum") - F.col("cnt")).alias("lo"), F.col("cum").alias("hi")))
+    ends = F.explode(F.array(F.struct(F.col("lo").alias("at"), F.col("value").alias("dv"), F.lit(1).cast("long").alias("dn")),
+                             F.struct(F.col("hi").alias("at"), (-F.col("value")).alias("dv"), F.lit(-1).cast("long").alias("dn"))))
+    places = steps.select(ends.alias("e")).groupBy("e.at").agg(F.sum("e.dv").alias("dv"), F.sum("e.dn").alias("dn"))
+    line = scan(sorted_ranges(places, [F.col("at")]), [Level((), {"v": "dv", "n": "dn"}, {"before": "at"})])
+    # The mean of the samples on the way to a place, from the place before it.
+    mean = F.coalesce(F.try_divide(F.col("v_run") - F.col("dv"), F.col("n_run") - F.col("dn")), F.lit(0.0))
+    line = line.select("at", "before", mean.alias("mean"), (mean * F.coalesce(F.col("at") - F.col("before"), F.lit(0))).alias("area"))
+    line = cut_lineage(running_sums(line, [], "at", ["area"]).select("at", "before", "mean", "area_run"))
+    start = line.select(F.col("at").alias("lo"), F.col("area_run").alias("area_lo"))
+    table = steps.join(line.withColumnRenamed("at", "hi"), "hi").join(start, "lo")
+    whole = (F.col("area_run") - F.col("area_lo")) / (F.col("hi") - F.col("lo"))
+    table = table.select("sample", F.col("value").alias("__v"), F.when(F.col("before") == F.col("lo"), F.col("mean")).otherwise(whole).alias("target"))
+    return lm.withColumn("__v", F.col("value").cast("double")).join(table, ["sample", "__v"]).select("feature", "sample", F.col("target").alias("value"))
 
 
 def detect_log_scale(lm: DataFrame) -> Column:
@@ -303,12 +315,11 @@ def missing_table(lm: DataFrame, by: str = "sample") -> DataFrame:
 
 
 def histogram(lm: DataFrame, keys: Sequence[str], lo: float, hi: float, bins: int = 100) -> DataFrame:
-    """Equal-width counts per key; a value equal to ``hi`` falls in the last bin."""
-    b = F.least(F.floor((F.col("value") - lo) / ((hi - lo) / bins)), F.lit(bins - 1))
-    return (
-        lm.where(F.col("value").between(lo, hi)).withColumn("bin", b)
-        .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
-    )
+    """Equal-width counts per key; a value equal to ``hi`` falls in the last bin. Bin -1 has the values under ``lo``, bin
+    ``bins`` those over ``hi``."""
+    v = F.col("value")
+    b = F.when(v < lo, F.lit(-1)).when(v > hi, F.lit(bins)).otherwise(F.least(F.floor((v - lo) / ((hi - lo) / bins)), F.lit(bins - 1)))
+    return lm.where(v.isNotNull()).withColumn("bin", b).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
 
 
 def screen_sample_qc(lm: DataFrame, min_reads: float = 30) -> DataFrame:

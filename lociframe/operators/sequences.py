@@ -95,13 +95,19 @@ def library_summary(guides: DataFrame) -> DataFrame:
 
 def non_targeting_controls(spark: SparkSession, n: int, spacer_len: int = 20, gc_min: float = 0.3, gc_max: float = 0.8,
                            seed: int = 42) -> DataFrame:
-    """Seeded spacers that pass the guide filters, at most n out of 10·n drawn."""
-    draws = spark.range(10 * n)
+    """The first n seeded spacers that pass the guide filters; more are drawn until there are n."""
     letters = [F.substr(F.lit("ACGT"), (F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(i)), F.lit(4)) + 1).cast("int"), F.lit(1))
                for i in range(spacer_len)]
-    ok = draws.withColumn("spacer", F.concat(*letters)).where(~Q.is_problematic(F.col("spacer"))).withColumn(
-        "gc_content", Q.gc_fraction(F.col("spacer"))).where(F.col("gc_content").between(gc_min, gc_max))
-    best = ok.orderBy("id").limit(n)
+    drawn = 10 * n
+    while True:
+        ok = spark.range(drawn).withColumn("spacer", F.concat(*letters)).where(~Q.is_problematic(F.col("spacer"))).withColumn(
+            "gc_content", Q.gc_fraction(F.col("spacer"))).where(F.col("gc_content").between(gc_min, gc_max))
+        best = cut_lineage(ok.orderBy("id").limit(n))
+        if best.count() >= n:
+            break
+        if drawn > 4**spacer_len:
+            raise ValueError("the filters leave too few spacers")
+        drawn *= 4
     placed = ordinal_rank(best, [], "id", "id", "guide_rank")
     return placed.select(
         F.format_string("non-targeting_%04d", (F.col("guide_rank") - 1).cast("int")).alias("gene"), "spacer", F.lit("+").alias("strand"),

@@ -139,7 +139,7 @@ def _(spark, sf):
 
 @query("paper_summaries")
 def _(spark, sf):
-    out = L.summarize_papers(scored(spark, sf))
+    out = L.summarize_papers(scored(spark, sf), [("the", "article"), ("ing", "doing"), ("tion", "noun")])
     return out.select("ordinal", F.md5("why_it_matters").alias("why"), F.md5("major_discoveries").alias("major"), "significance")
 
 

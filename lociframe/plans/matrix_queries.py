@@ -210,10 +210,10 @@ def _(spark, sf):
     return r6(M.sample_summary(part_matrix(spark, sf)), "mean", "sd_pop", "cv_pct")
 
 
-@query("value_histogram", f"""WITH lm AS ({PART_MATRIX}) SELECT sample, CAST(least(floor(value / 2.0), 99) AS BIGINT) AS bin, count(*) AS count
-FROM lm WHERE value BETWEEN 0 AND 200 GROUP BY 1, 2""")
+@query("value_histogram", f"""WITH lm AS ({PART_MATRIX}) SELECT sample, CAST(CASE WHEN value < 5 THEN -1 WHEN value > 45 THEN 20 ELSE least(floor((value - 5) / 2.0), 19) END AS BIGINT) AS bin, count(*) AS count
+FROM lm WHERE value IS NOT NULL GROUP BY 1, 2""")
 def _(spark, sf):
-    return M.histogram(part_matrix(spark, sf), ["sample"], 0.0, 200.0, 100)
+    return M.histogram(part_matrix(spark, sf), ["sample"], 5.0, 45.0, 20)
 
 
 SCREEN_QC = """SELECT sample, sum(value) AS total_reads, count(*) AS num_guides, count(CASE WHEN value >= 30 THEN 1 END) AS represented_guides,

@@ -188,11 +188,17 @@ def _(spark, sf):
     return r6(S.residue_composition(digest_proteins(spark, sf)), "fraction")
 
 
-@query("scan_motifs", f"""WITH p AS ({DIGEST_PROTEINS}), m AS (SELECT * FROM (VALUES ('NLS', 'K[KR]{{2}}|KR'), ('RGD', 'RGD'), ('N-glycosylation', 'N[^P][ST]'), ('SH2 binding', 'Y[A-Z]{{2}}[LIVMF]'), ('SH3 binding', 'P.{{2}}P')) v(motif, rx)),
+@query("scan_motifs", f"""WITH p AS ({DIGEST_PROTEINS}), m AS (SELECT * FROM (VALUES ('NLS', 'K[KR]{{2}}|KR'), ('NES', 'L.{{2,3}}[LIVMF].{{2,3}}[LIVMF].L'), ('RGD', 'RGD'), ('CAAX', 'C[AVILM]{{2}}[AVILM]$'), ('N-glycosylation', 'N[^P][ST]'), ('SH2 binding', 'Y[A-Z]{{2}}[LIVMF]'), ('SH3 binding', 'P.{{2}}P')) v(motif, rx)),
 h AS (SELECT protein, motif, regexp_extract_all(seq, rx) AS hs FROM p, m) SELECT protein, motif, unnest(hs) AS hit FROM h""")
 def _(spark, sf):
-    kept = {k: v for k, v in Q.MOTIFS.items() if k not in {"NES", "CAAX"}}
-    return S.scan_motifs(digest_proteins(spark, sf), motifs=kept).select("protein", "motif", "hit")
+    return S.scan_motifs(digest_proteins(spark, sf)).select("protein", "motif", "hit")
+
+
+@query("non_targeting_controls")
+def _(spark, sf):
+    # One control for every ten guides' worth of parts.
+    n = table(spark, sf, "part").count() // 10
+    return r6(S.non_targeting_controls(spark, n), "gc_content", "efficiency_score")
 
 
 @query("motif_positions")

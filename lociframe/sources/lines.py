@@ -79,6 +79,11 @@ def stockholm(lines: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("ordinal", "part"))), lambda s: s["part"]), "").alias("seq"))
 
 
+def tail(array: str, first: int) -> Column:
+    """Elements from a place (from 1) to the end."""
+    return F.slice(array, first, F.greatest(F.size(array) - first + 1, F.lit(0)))
+
+
 def gct(lines: DataFrame) -> DataFrame:
     """GCT lines (file, ordinal, line) to a long matrix: version and size lines and the description are left out.
 
@@ -86,7 +91,7 @@ def gct(lines: DataFrame) -> DataFrame:
     """
     head = lines.where(F.col("line").rlike("(?i)^name\t")).select("file", F.split("line", "\t").alias("h"))
     body = lines.where(~F.col("line").rlike(r"(?i)^name\t|^#1\.|^\d+\t\d+\s*$|^\s*$")).select("file", F.split("line", "\t").alias("v"))
-    rows = body.join(head, "file").select(F.col("v")[0].alias("feature"), F.explode(F.arrays_zip(F.slice("h", 3, 1 << 20), F.slice("v", 3, 1 << 20))).alias("c"))
+    rows = body.join(head, "file").select(F.col("v")[0].alias("feature"), F.explode(F.arrays_zip(tail("h", 3), tail("v", 3))).alias("c"))
     return rows.select("feature", F.col("c")["0"].alias("sample"), number(F.col("c")["1"]).alias("value"))
 
 
@@ -102,12 +107,12 @@ def series_matrix(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         clean(F.regexp_replace("line", r"^!Series_[A-Za-z0-9_]+\s*(=|\t)\s*", "")).alias("value"))
     attrs = ok.where(F.col("line").startswith("!Sample_")).select(
         "file", F.regexp_extract("line", r"^!Sample_([A-Za-z0-9_]+)", 1).alias("attr"), "ordinal",
-        F.posexplode(F.slice(F.split("line", "\t"), 2, 1 << 20)).alias("place", "value")).withColumn("value", clean(F.col("value")))
+        F.posexplode(F.split("line", "\t")).alias("place", "value")).where("place > 0").withColumns({"place": F.col("place") - 1, "value": clean(F.col("value"))})
     table = ok.where(~F.col("line").startswith("!"))
     head = table.where(F.col("line").rlike('^"?ID_REF')).select("file", F.split("line", "\t").alias("h"))
     body = table.where(~F.col("line").rlike('^"?ID_REF')).select("file", F.split("line", "\t").alias("v"))
     cells = body.join(head, "file").select("file", clean(F.col("v")[0]).alias("feature"),
-                                           F.explode(F.arrays_zip(F.slice("h", 2, 1 << 20), F.slice("v", 2, 1 << 20))).alias("c"))
+                                           F.explode(F.arrays_zip(tail("h", 2), tail("v", 2))).alias("c"))
     matrix = cells.select("file", "feature", clean(F.col("c")["0"]).alias("sample"), number(F.col("c")["1"]).alias("value"))
     return matrix, series, attrs
 

@@ -112,5 +112,5 @@ def test_rule_tables(spark):
     assert (got["protein_class"], got["druggability"]) == ("chromatin regulator", "")
     got = one(spark, T.protein_class(F.lit("")))
     assert (got["protein_class"], got["druggability"]) == ("other", "")
-    assert one(spark, T.significance_text(F.lit("an atlas of tools"), F.lit("atlas"))) == "terms: atlas; atlas; new program"
-    assert one(spark, T.significance_text(F.lit("plain"), F.lit(""))) == "no rule applies"
+    assert one(spark, T.significance_text(F.lit("a map of rivers"), F.lit("map"), [("map", "charts"), ("river", "water"), ("sea", "salt")])) == "terms: map; charts; water"
+    assert one(spark, T.significance_text(F.lit("plain"), F.lit(""), [("map", "charts")])) == "no rule applies"

@@ -134,3 +134,23 @@ def test_empty_tables(spark):
     assert O.bh_adjust(df, "v").count() == O.average_rank(df, ["k"], "v").count() == O.ordinal_rank(df, [], "v", "id").count() == O.exact_median(df, ["k"], "v").count() == 0
     one = spark.createDataFrame([("a", None, 1)], "k string, v double, id long")
     assert O.bh_adjust(one, "v").collect()[0]["padj"] is None and O.ranked_counts(one, [], "v").count() == 0
+
+
+def test_quantile_normalisation_of_a_flat_sample(spark):
+    """A sample half full of one value, samples of other lengths and nulls, against ranks one by one; no arrays."""
+    from lociframe.operators.matrix import quantile_normalize
+
+    rnd = random.Random(4)
+    data = {s: [None if rnd.random() < 0.05 else 7.0 if s == "flat" and rnd.random() < 0.5 else round(rnd.gauss(i, 3), 1) for _ in range(400 - 30 * i)] for i, s in enumerate(["flat", "b", "c"])}
+    rows = [(f"f{i}", s, v) for s, vs in data.items() for i, v in enumerate(vs)]
+    ranks = {s: sorted(v for v in vs if v is not None) for s, vs in data.items()}
+    target = [sum(r[i] for r in ranks.values() if i < len(r)) / sum(i < len(r) for r in ranks.values()) for i in range(max(map(len, ranks.values())))]
+    out = quantile_normalize(spark.createDataFrame(rows, "feature string, sample string, value double"))
+    got = {(r["feature"], r["sample"]): r["value"] for r in out.collect()}
+    assert len(got) == sum(map(len, ranks.values()))
+    for f, s, v in rows:
+        if v is not None:
+            at = [i for i, x in enumerate(ranks[s]) if x == v]
+            assert got[f, s] == pytest.approx(sum(target[i] for i in at) / len(at))
+    plan = out._jdf.queryExecution().toString()
+    assert "sequence(" not in plan and "collect_list" not in plan
