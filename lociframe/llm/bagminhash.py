@@ -22,7 +22,7 @@ So every two documents that share a band are compared or already lie in one clas
 Classes are the connected components of the verified links, named by their smallest doc_id.
 
 Nulls: a null or wordless text is linked to nothing and is its own class. Rows of one doc_id are one document: they
-share a class. A null doc_id counts as a number from 2^62 on, made from the text. An empty table gives no rows. Other
+share a class, and each of their texts has a signature and is verified. A null doc_id counts as a number from 2^62 on, made from the text. An empty table gives no rows. Other
 columns are not looked at.
 """
 
@@ -169,12 +169,12 @@ def _number() -> Column:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """__id (never null) and text."""
-    return docs.select(_number().alias("__id"), F.col("text").cast("string").alias("text"))
+    """__id (never null), a hash of the text (th) and the text."""
+    return docs.select(_number().alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
 
 
 def signature_table(docs: DataFrame) -> DataFrame:
-    """__id, digest of the words, number of shingles and band keys of each row; null digest and bands without words."""
+    """__id, th, digest of the words, number of shingles and band keys of each row; null digest and bands without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -183,13 +183,13 @@ def signature_table(docs: DataFrame) -> DataFrame:
             doc = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
             sig = signatures(doc, np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags]), len(bags)) if len(doc) else np.zeros((len(bags), K))
             keys = bands_of(sig)
-            return pd.DataFrame({"__id": ids, "digest": digests, "n": sizes, "bands": [None if d is None else k for d, k in zip(digests, keys)]})
+            return pd.DataFrame({"__id": [i for i, _ in ids], "th": [h for _, h in ids], "digest": digests, "n": sizes, "bands": [None if d is None else k for d, k in zip(digests, keys)]})
 
         for batch in batches:
             ids, digests, sizes, bags, load = [], [], [], [], 0
-            for i, text in zip(batch["__id"], batch["text"]):
+            for i, th, text in zip(batch["__id"], batch["th"], batch["text"]):
                 words = words_of(text) if isinstance(text, str) else []
-                ids.append(i)
+                ids.append((i, th))
                 if words:
                     element, count = np.unique(hasher.shingles(words), return_counts=True)
                     digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
@@ -205,7 +205,7 @@ def signature_table(docs: DataFrame) -> DataFrame:
             if ids:
                 yield rows(ids, digests, sizes, bags)
 
-    return _numbered(docs).mapInPandas(run, "__id long, digest binary, n long, bands array<long>")
+    return _numbered(docs).mapInPandas(run, "__id long, th long, digest binary, n long, bands array<long>")
 
 
 def bag_table(rows: DataFrame) -> DataFrame:
@@ -275,21 +275,43 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links for each row: the class's smallest doc_id, and verified links found at the row's node."""
     signed = table_cut(signature_table(docs), "signatures")
-    nodes = table_cut(signed.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("__id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    texts = _numbered(docs).withColumnRenamed("__id", "node")
+    nodes = table_cut(_nodes(signed), "nodes")
+    texts = _numbered(docs).join(nodes.select("__id", "th", "node"), ["__id", "th"]).dropDuplicates(["__id", "th"]).select("node", "text")
     links = _links(nodes, texts)
-    classes = components(links)
+    held = table_cut(signed.select("__id", "digest").join(nodes.select("digest", "node"), "digest", "left").select("__id", "node"), "rows")
+    classes = components(links.unionByName(_same_id(held)))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = nodes.select("digest", "node").join(classes, "node", "left").join(degree, "node", "left").select(
-        "digest", F.coalesce("class", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = signed.select("__id", "digest").join(named, "digest", "left")
-    # rows of one id are one document: the smallest class of its texts
-    return rows.select(F.col("__id").alias("doc_id"), F.coalesce("class_id", "__id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = nodes.select("node").join(classes, "node", "left").join(degree, "node", "left").select(
+        "node", F.coalesce("class", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    worded = held.filter(F.col("node").isNotNull()).join(named, "node").select("__id", "class_id", "n_links")
+    # A row without words has the class of its id's other rows.
+    bare = held.filter(F.col("node").isNull()).select("__id")
+    bare = bare.join(worded.groupBy("__id").agg(F.min("class_id").alias("c")), "__id", "left").select("__id", F.coalesce("c", "__id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return worded.unionByName(bare).withColumnRenamed("__id", "doc_id")
 
 
-def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links that join the classes: a, b."""
-    node_texts = texts.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+def _nodes(signed: DataFrame) -> DataFrame:
+    """A row for each text: digest, node, n, bands, and __id and th of the row that the text is read from.
+
+    A node's number is the smallest id of its text's rows. Where an id has several texts, one of them has the number and
+    the others one made from the text, larger than any id; links between the texts of an id join them again.
+    """
+    texts = signed.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct("__id", "th")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    texts = texts.select("digest", "r.__id", "r.th", "n", "bands")
+    own = texts.groupBy("__id").agg(F.min("digest").alias("own"))
+    made = F.lit(3 << 61) + F.shiftrightunsigned(F.xxhash64("digest"), 3)
+    return texts.join(own, "__id").select("digest", "__id", "th", F.when(F.col("digest") == F.col("own"), F.col("__id")).otherwise(made).alias("node"), "n", "bands")
+
+
+def _same_id(rows: DataFrame) -> DataFrame:
+    """Links of an id's smallest node with its others: a, b."""
+    pairs = rows.filter(F.col("node").isNotNull()).distinct()
+    several = pairs.groupBy("__id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter("a <> hi").select("__id", "a")
+    return pairs.join(several, "__id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def _links(nodes: DataFrame, node_texts: DataFrame) -> DataFrame:
+    """Verified links that join the classes: a, b. node_texts: node and text, a row for each node."""
     members = nodes.select("node", "n", F.posexplode("bands").alias("band", "key")).select(_bucket("band", "key"), "node", "n", "band")
     found = table_cut(_verified(table_cut(_stars(members), "star-pairs"), node_texts), "links")
     classes = table_cut(components(found), "classes")

@@ -113,6 +113,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "vslot", "slot_bytes", "map_version")
 
 
+@_query("virtual_slots_rebalanced")
+def rebalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot map of eight shards edited by the bytes that the slots hold, and every document's place under it."""
+    docs, path = _table(spark, sf_dir, "documents"), shared_path(spark, "slot-map")
+    slots.store_map(slots.initial_map(spark, SHARDS), path)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    slots.store_map(slots.rebalance(slots.load_map(spark, path, 1), slots.slot_totals(docs, F.col("doc_id"), size)), path)
+    placed = slots.assign(docs, slots.load_map(spark, path, 1), slots.load_map(spark, path, 2))
+    return placed.select("doc_id", "size", "vslot", F.col("shard").alias("first_shard"), F.col("grown_shard").alias("shard"), "slot_bytes")
+
+
 @_query("op8_spaced_seeds")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from lociframe.llm.common import whole_text
 
 SLOTS = 4096
+#: Parts of a slot, by the text, in which places are counted apart.
+PARTS = 64
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
@@ -90,17 +92,20 @@ def assign(df: DataFrame, slot_map: DataFrame, grown_map: DataFrame | None = Non
     """Shard and gapless place of each document.
 
     doc_id, size, text_crc32, vslot, shard, slot (place in the shard, from 0), grown_shard, map_version, slot_bytes.
-    A place is the rank inside the virtual slot plus the rows of the shard's earlier slots, so that no shard is ever
-    ordered in one task.
+    A place is the rank inside a part of the virtual slot, by a hash of the text, plus the rows of the shard's earlier
+    parts, so that neither a shard nor a key with a third of the rows is ever ordered in one task.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     rows = df.select("doc_id", size.alias("size"), F.crc32(F.encode(whole_text(), "UTF-8")).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("vslot"))
-    totals = slot_totals(df, F.col("doc_id"), size, slots)
+    part = F.pmod(F.xxhash64("text_crc32", "size"), F.lit(PARTS)).cast("int")
+    rows = rows.withColumn("part", part)
+    totals = rows.groupBy("vslot", "part").agg(F.sum("size").alias("part_bytes"), F.count(F.lit(1)).alias("part_rows"))
     grown = slot_map.select("vslot", F.lit(None).cast("int").alias("grown_shard")) if grown_map is None else grown_map.select("vslot", F.col("shard").alias("grown_shard"))
-    before = W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("shard").orderBy("vslot", "part").rowsBetween(W.unboundedPreceding, -1)
     placed = (slot_map.join(totals, "vslot").join(grown, "vslot")
-              .withColumn("first_place", F.coalesce(F.sum("slot_rows").over(before), F.lit(0))))
-    rank = F.row_number().over(W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
-    return (rows.withColumn("__rank", rank.cast("long")).join(placed, "vslot")
+              .withColumn("first_place", F.coalesce(F.sum("part_rows").over(before), F.lit(0)))
+              .withColumn("slot_bytes", F.sum("part_bytes").over(W.partitionBy("vslot"))))
+    rank = F.row_number().over(W.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size"))
+    return (rows.withColumn("__rank", rank.cast("long")).join(placed, ["vslot", "part"])
             .select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("first_place") + F.col("__rank") - 1).alias("slot"),
                     "grown_shard", F.col("version").alias("map_version"), "slot_bytes"))

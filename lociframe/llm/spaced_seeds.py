@@ -1,16 +1,22 @@
 """Benchmark decontamination by spaced seeds, in DataFrame operations only.
 
-Texts are cut into lower-case words. A seed is a fixed mask over SPAN words that looks at some places and ignores the
-others, so that a passage with replaced words still has windows whose seeds agree. Benchmark seeds are joined with the
-seeds of every window of every document. A hit fixes an alignment of a document with an item; around it the words are
-compared place by place, and the document is contaminated if some stretch of MIN_OVERLAP aligned words has at least
-MIN_MATCH of them equal. Items shorter than MIN_OVERLAP words count when they stand in a document with the same share
-of words equal; items of fewer than SPAN words are looked for as they are, by one seed over all their words.
+Texts are cut into lower-case words. A seed is a fixed mask over a window of words that looks at some places and ignores
+the others, so that a passage with replaced words still has windows whose seeds agree. Benchmark seeds are joined with
+the seeds of every window of every document. A hit fixes an alignment of a document with an item; around it the words
+are compared place by place, and the document is contaminated if in some stretch of MIN_OVERLAP aligned words, or of the
+whole item if that is shorter, at least MIN_SHARE of the words are equal.
+
+No allowed set of replaced words hides a passage: a stretch of 10 to 13 words may have two replaced, and for every two of
+10 places one of MASKS, at some place, ignores both; an item of 5 to 9 words may have one replaced, and one of three
+masks, which ignore every third place, ignores it; shorter items must stand as they are. The tests enumerate this.
+
+Inside a long run of one word all windows are alike. Only those at the ends of a run are looked up: an alignment that
+starts or ends with the run has as many equal words as any inside it.
 
 The benchmark's seeds are sent to all tasks while there are at most BROADCAST_SEEDS of them, a size that is counted
 first; beyond, both sides are shuffled on the seed and nothing else changes.
 
-Nulls: a null text has no words; a null item matches nothing. A text of fewer words than an item's shortest stretch
+Nulls: a null text has no words; a null item matches nothing; items of null id count as one, without a name in `items`. A text of fewer words than an item's shortest stretch
 has no hit. Rows of one doc_id and text share the verdict, and null ids are rows like others. An empty benchmark
 leaves every document clean. Other columns are not looked at.
 """
@@ -22,12 +28,13 @@ from pyspark.sql import functions as F
 
 from lociframe.llm.common import free_name, row_key, table_cut, whole_text
 
-#: Masks over SPAN words, with six places that count in each.
-MASKS = ("1101001011", "1011100101", "1110010011")
+#: Masks for items of SPAN words or more, with six places that count in each, found by search.
+MASKS = ("1111011", "11001111", "110110011", "110101011", "10111101")
 SPAN = 10
 MIN_OVERLAP = 13
 MIN_SHARE = 0.8
-MIN_ITEM_WORDS = 5
+#: Items of so many words or fewer have no word that may be replaced.
+EXACT = 4
 BROADCAST_SEEDS = 2_000_000
 
 
@@ -37,40 +44,55 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seed_at(words: Column, at: Column, mask: int) -> Column:
+def short_masks(size: int) -> list[str]:
+    """Masks over a whole item of fewer than SPAN words."""
+    if size <= EXACT:
+        return ["1" * size]
+    return ["".join("0" if i % 3 == k else "1" for i in range(size)) for k in range(3)]
+
+
+def seed_at(words: Column, at: Column, mask: str, kind: str) -> Column:
     """Hash of the places that a mask counts, from a 0-based place on."""
-    return F.xxhash64(F.lit(mask), *(F.get(words, at + i) for i, c in enumerate(MASKS[mask]) if c == "1"))
+    return F.xxhash64(F.lit(f"{kind}:{mask}"), *(F.get(words, at + i) for i, c in enumerate(mask) if c == "1"))
 
 
-def short_seed(words: Column, at: Column, size: int) -> Column:
-    return F.xxhash64(F.lit(-size), *(F.get(words, at + i) for i in range(size)))
+def inside_run(words: Column, at: Column) -> Column:
+    """Whether the window at a place lies inside a run of one word, with that word before and behind it."""
+    same = lambda i: F.get(words, at + i) == F.get(words, at)
+    out = same(1) & same(-1)
+    for i in range(2, SPAN + 1):
+        out = out & same(i)
+    return F.coalesce(out, F.lit(False))
 
 
 def item_seeds(benchmark: DataFrame) -> DataFrame:
     """seed, item_id, item_at (place of the window in the item)."""
     items = benchmark.select("item_id", word_hashes(whole_text()).alias("words")).withColumn("size", F.size("words"))
-    long = items.filter(F.col("size") >= SPAN).select("item_id", "words", F.explode(F.sequence(F.lit(0), F.col("size") - SPAN)).alias("at"))
-    seeds = F.explode(F.array(*(seed_at(F.col("words"), F.col("at"), m) for m in range(len(MASKS)))))
-    out = long.select("item_id", F.col("at").alias("item_at"), seeds.alias("seed"))
-    for size in range(MIN_ITEM_WORDS, SPAN):
-        out = out.unionByName(items.filter(F.col("size") == size).select("item_id", F.lit(0).alias("item_at"), short_seed(F.col("words"), F.lit(0), size).alias("seed")))
-    return out.select("seed", "item_id", "item_at")
+    words, at = F.col("words"), F.col("at")
+    long = items.filter(F.col("size") >= SPAN).select("item_id", "words", "size", F.explode(F.sequence(F.lit(0), F.col("size") - min(map(len, MASKS)))).alias("at"))
+    seeds = F.array(*(F.when(at + len(m) <= F.col("size"), seed_at(words, at, m, "long")) for m in MASKS))
+    out = long.filter(~inside_run(words, at)).select("item_id", at.alias("item_at"), F.explode(seeds).alias("seed")).filter("seed is not null")
+    whole = F.lit(None).cast("array<long>")
+    for size in range(1, SPAN):
+        whole = F.when(F.col("size") == size, F.array(*(seed_at(words, F.lit(0), m, f"short {size}") for m in short_masks(size)))).otherwise(whole)
+    short = items.filter(F.col("size").between(1, SPAN - 1)).select("item_id", F.lit(0).alias("item_at"), F.explode(whole).alias("seed"))
+    return out.unionByName(short).select("seed", "item_id", "item_at").distinct()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Alignments to verify: __id, __hash, item_id, shift (place in the document of the item's first word)."""
     seeds = table_cut(item_seeds(benchmark), "item-seeds")
-    sizes = benchmark.select(F.size(word_hashes(whole_text())).alias("size")).filter(F.col("size").between(MIN_ITEM_WORDS, SPAN - 1)).distinct()
-    short = sorted(r["size"] for r in sizes.collect())  # at most SPAN - MIN_ITEM_WORDS numbers
+    sizes = benchmark.select(F.size(word_hashes(whole_text())).alias("size")).filter(F.col("size").between(1, SPAN - 1)).distinct()
+    short = sorted(r["size"] for r in sizes.collect())  # at most SPAN - 1 numbers
     if seeds.count() <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
     words, at = F.col("words"), F.col("at")
     window = docs.select(*row_key(), word_hashes(whole_text()).alias("words"))
-    least = min([SPAN, *short])
+    least = min([*map(len, MASKS), *short])
     window = window.filter(F.size("words") >= least).select("__id", "__hash", "words", F.explode(F.sequence(F.lit(0), F.size("words") - least)).alias("at"))
-    fits = at + SPAN <= F.size(words)
-    looks = [F.when(fits, seed_at(words, at, m)) for m in range(len(MASKS))] + [F.when(at + n <= F.size(words), short_seed(words, at, n)) for n in short]
-    looked = window.select("__id", "__hash", "at", F.explode(F.array(*looks)).alias("seed"))
+    masks = [(m, "long") for m in MASKS] + [(m, f"short {n}") for n in short for m in short_masks(n)]
+    looks = F.array(*(F.when(at + len(m) <= F.size(words), seed_at(words, at, m, kind)) for m, kind in masks))
+    looked = window.filter(~inside_run(words, at)).select("__id", "__hash", "at", F.explode(looks).alias("seed"))
     return looked.join(seeds, "seed").select("__id", "__hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 
@@ -82,7 +104,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(*row_key(), whole_text().alias("text"))
     texts = (texts.join(wanted, F.col("__id").eqNullSafe(F.col("w_id")) & (F.col("__hash") == F.col("w_hash")), "left_semi")
              .dropDuplicates(["__id", "__hash"]).select(F.col("__id").alias("d_id"), F.col("__hash").alias("d_hash"), word_hashes(F.col("text")).alias("doc")))
-    both = found.join(items, "item_id").join(texts, F.col("__id").eqNullSafe(F.col("d_id")) & (F.col("__hash") == F.col("d_hash")))
+    found = found.withColumnRenamed("item_id", "f_item")
+    both = found.join(items, F.col("f_item").eqNullSafe(F.col("item_id"))).join(texts, F.col("__id").eqNullSafe(F.col("d_id")) & (F.col("__hash") == F.col("d_hash")))
     lo, hi = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("item"), F.size("doc") - F.col("shift"))
     stretch = F.least(F.lit(MIN_OVERLAP), F.size("item"))
     equal = F.transform(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: (F.get("item", i) == F.get("doc", i + F.col("shift"))).cast("int"))
@@ -95,7 +118,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each contaminated document: __id, __hash, n_items, items (ids, sorted), best (largest share of equal words)."""
     return (overlaps(docs, benchmark).groupBy("__id", "__hash")
-            .agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max(F.col("matched") / F.col("stretch")).alias("best")).withColumn("n_items", F.size("items").cast("long")))
+            .agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max(F.col("matched") / F.col("stretch")).alias("best"), F.max(F.col("item_id").isNull().cast("long")).alias("unnamed"))
+            .withColumn("n_items", F.size("items") + F.col("unnamed")).drop("unnamed"))
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
-"""Operators 11 to 13 against brute force, on small tables and held-out findings."""
+"""Operators 11 to 13 against brute force, on small tables and held-out findings; repeated ids, seeds and hot slots."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociframe.llm import hadamard_clusters as clusters
-from lociframe.llm import infill, queries, secrets_cnn
+from lociframe.llm import bagminhash, infill, queries, secrets_cnn, slots, spaced_seeds
 
 # ---- 11
 
@@ -228,3 +229,101 @@ def test_queries(spark, tmp_path):
     assert got[1]["base_sha256"] == hashlib.sha256(b"assign:0:17").hexdigest() and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[2]["spans"] == ""
     out = queries.QUERIES["op12_displacement_infill"](spark, str(tmp_path)).withColumn("same", F.col("restored_sha256").isNotNull()).collect()
     assert all(r["same"] for r in out) and len(out) == 2
+
+
+# ---- repeated ids in near-duplicates
+
+
+def test_an_id_with_two_texts(spark):
+    """Both texts of id 1 have links of their own, whatever the order of rows, and join all four in one class."""
+    words = [f"w{i}" for i in range(120)]
+    a, b = " ".join(words), " ".join(f"x{i}" for i in range(120))
+    near = lambda t, k: t.replace(t.split()[60], f"new{k}")
+    rows = [(1, a), (1, b), (2, near(a, 2)), (3, near(b, 3)), (4, "quite different words stand in here alone"), (1, None), (5, None), (2, near(a, 2))]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        got = sorted((r["doc_id"], r["class_id"], r["n_links"] > 0) for r in bagminhash.near_duplicates(df).collect())
+        assert [(i, c) for i, c, _ in got] == [(1, 1), (1, 1), (1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (5, 5)]
+        assert [x for i, _, x in got if i in (2, 3)] == [True] * 3
+        kept = sorted(r["doc_id"] for r in bagminhash.keep_one(df).collect())
+        assert kept == [1, 4, 5]
+
+
+# ---- spaced seeds
+
+
+def test_masks_leave_a_seed_for_every_allowed_set():
+    """Every set of places that may be replaced, in a stretch of every length, leaves a mask that ignores it."""
+    for size in range(1, spaced_seeds.MIN_OVERLAP + 1):
+        wrong = size - int(np.ceil(round(size * spaced_seeds.MIN_SHARE, 9)))
+        masks = list(spaced_seeds.MASKS) if size >= spaced_seeds.SPAN else spaced_seeds.short_masks(size)
+        seen = [{at + i for i, c in enumerate(m) if c == "1"} for m in masks for at in range(size - len(m) + 1)]
+        for places in itertools.combinations(range(size), wrong):
+            assert any(not s & set(places) for s in seen), (size, places)
+
+
+def brute_items(text, items):
+    cut = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    doc, out = cut(text), set()
+    for name, item in items:
+        words = cut(item)
+        stretch = min(spaced_seeds.MIN_OVERLAP, len(words))
+        need = int(np.ceil(round(stretch * spaced_seeds.MIN_SHARE, 9)))
+        for shift in range(-len(words), len(doc)):
+            same = [0 <= i + shift < len(doc) and doc[i + shift] == w for i, w in enumerate(words)]
+            inside = [0 <= i + shift < len(doc) for i in range(len(words))]
+            if stretch and any(all(inside[k:k + stretch]) and sum(same[k:k + stretch]) >= need for k in range(len(words) - stretch + 1)):
+                out.add(name)
+                break
+    return out
+
+
+def test_decontamination_by_brute_force(spark):
+    rng = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(14)]
+    items = [(n, " ".join(rng.choice(vocabulary) for _ in range(n))) for n in range(1, 22)] + [(100, "same " * 40), (101, None), (102, "")]
+    texts = []
+    for i in range(150):
+        words = [rng.choice([*vocabulary, "z1", "z2", "z3"]) for _ in range(rng.randint(0, 30))]
+        n, item = items[rng.randrange(3, 21)]
+        piece = item.split()
+        for k in rng.sample(range(n), rng.randint(0, 3) if n > 3 else 0):
+            piece[k] = "other"
+        texts.append((i, " ".join([*words, *piece, *words[::-1]])))
+    texts += [(500, "same " * 12), (501, "same " * 300 + "end"), (502, "x " + "same " * 11 + "y z"), (503, None), (504, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: set(filter(None, r["items"].split(","))) for r in spaced_seeds.decontamination_report(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {i: {str(x) for x in brute_items(t, items)} for i, t in texts}
+    assert got == want and sum("100" in w for w in want.values()) >= 1
+
+
+def test_null_item_and_repeated_words(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "nothing of it"), (3, "la " * 20_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "two three four five six"), (7, "la " * 400)], "item_id long, text string")
+    got = {r["doc_id"]: (r["contaminated"], r["n_items"], r["items"]) for r in spaced_seeds.decontamination_report(docs, items).collect()}
+    assert got == {1: (True, 1, ""), 2: (False, 0, ""), 3: (True, 1, "7")}
+    found = spaced_seeds.hits(docs, items)
+    assert found.count() < 2000  # not one for each place of the text and of the item
+
+
+# ---- slots
+
+
+def test_a_key_with_most_rows(spark):
+    """Twenty thousand rows of one null key lie in one slot, but in many parts of it; places have no gaps."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    out = slots.assign(df, slots.initial_map(spark, 8))
+    got = out.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("top")).collect()
+    assert all(r["n"] == r["d"] == r["top"] + 1 for r in got)
+    plan = out._jdf.queryExecution().toString()
+    assert "part" in plan
+    largest = df.filter("doc_id is null").select(F.pmod(F.xxhash64(F.crc32(F.encode("text", "UTF-8")), (F.octet_length("text") + 1).cast("long")), F.lit(slots.PARTS)).alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert largest < 3 * 18_000 / slots.PARTS
+
+
+def test_rebalanced_documents(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.when(F.col("id") % 8 == 0, 900).otherwise(30).cast("int")).alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.QUERIES["virtual_slots_rebalanced"](spark, str(tmp_path))
+    load = lambda c: [r["b"] for r in rows.groupBy(c).agg(F.sum("size").alias("b")).collect()]
+    before, after = load("first_shard"), load("shard")
+    assert rows.count() == 3000 and sum(before) == sum(after) and max(after) - min(after) < max(before) - min(before)
