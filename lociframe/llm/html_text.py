@@ -4,12 +4,15 @@ A page is read into a tree. Every paragraph-like block passes points (one, one f
 characters up to three) to its ancestors: all to the parent, half to the grandparent, less further up. A container's
 points are discounted by its link density; the best container is kept, and its siblings that score well or read like
 paragraphs. Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-out, by element, by the words of class, id and role, or as lists of links.
+out, by element, by the words of class, id and role, or as lists of links. Inside an article only a whole name of
+BOILERPLATE, or a word of SURE, is enough; other words, such as that of `promotion-history`, need mostly links besides,
+and lists of links stay: they are references.
 
 All passes are loops over the nodes in page order, linear in the page, so that neither depth nor length matters.
 Nulls: a null page has an empty text; so has a page without text. Broken mark-up is read as a browser would roughly:
 an unclosed comment, script or style reaches to the end, an end tag without a start is skipped, a lone `<` is text.
-Repeated rows give equal rows. Other columns are not looked at.
+Repeated rows give equal rows, an empty table none. Other columns are not looked at. White space is that of HTML;
+no-break spaces are characters like others, but a block of nothing else is empty.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising ads
                         "login sidebar sidebars aside menu menus nav navbar navigation navi topbar toolbar footer foot masthead social share sharing "
                         "related recommended recommendations promo promotion sponsor sponsored sponsors pager pagination widget widgets "
                         "copyright complementary contentinfo search skip".split())
+#: Those that are enough as a part of a name, too.
+SURE = frozenset("ad ads advert adverts advertisement advertising adsense adslot comment comments disqus cookie cookies gdpr newsletter sidebar sidebars".split())
 HEADER_WORDS = frozenset({"header", "head"})
 GOOD_TAGS = {"article": 30.0, "main": 15.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0}
 BAD_TAGS = {"ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "address": -3.0, "th": -5.0, "table": -3.0}
@@ -49,23 +54,32 @@ GOOD_WORDS = frozenset("article body content entry main post story text blog hen
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 MIN_PARAGRAPH = 25
 LINK_LIST = 0.8
+#: Link density from which a part of a name decides inside an article.
+MOSTLY_LINKS = 0.5
 
 _NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
 _PLAIN = re.compile(r"[^>\"']*")
 _MARKS = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+_SPACE = re.compile(r"[ \t\n\r\f\v]+")
+
+
+def one_space(text: str) -> str:
+    """White space as one space, none at the ends; empty if nothing but spaces of any kind is left."""
+    text = _SPACE.sub(" ", text).strip(" ")
+    return text if text.strip() else ""
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "marks", "order", "end", "score", "length", "link_length", "links", "holds", "dropped")
+    __slots__ = ("tag", "parent", "children", "marks", "order", "end", "score", "length", "link_length", "links", "holds", "dropped", "inside", "doubtful")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.children, self.marks = tag, parent, [], attrs
         self.order = self.end = 0
         self.score = 0.0
         self.length = self.link_length = self.links = 0
-        self.holds = self.dropped = False
+        self.holds = self.dropped = self.inside = self.doubtful = False
 
 
 def _tag_end(page: str, at: int, lone: set[str]) -> int:
@@ -160,19 +174,21 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-def _marks(attrs: str) -> tuple[set[str], bool]:
-    """Lower-case words of class, id and role; whether the element is hidden."""
+def _marks(attrs: str) -> tuple[set[str], set[str], bool]:
+    """Lower-case words of class, id and role, their whole names, and whether the element is hidden."""
     words: set[str] = set()
+    names: set[str] = set()
     hidden = False
     for key, value in _MARKS.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id", "role"):
+            names.update(value.lower().split())
             for part in re.split(r"[\s_\-:]+", value):
                 words.add(part.lower())
                 words.update(w.lower() for w in _WORDS.findall(part))
         else:
             hidden |= key == "hidden" or key == "style" and bool(_HIDDEN.search(value)) or key == "aria-hidden" and value.lower() == "true"
-    return words, hidden
+    return words, names, hidden
 
 
 def _drop(nodes: list[Node]) -> None:
@@ -184,20 +200,23 @@ def _drop(nodes: list[Node]) -> None:
     for node in nodes[1:]:
         up = node.parent
         in_article[node.order] = in_article[up.order] or up.tag == "article"
-        words, hidden = _marks(node.marks) if node.marks.strip(" /") else (set(), False)
+        words, names, hidden = _marks(node.marks) if node.marks.strip(" /") else (set(), set(), False)
         node.marks = words
+        node.inside = in_article[node.order]
         node.dropped = up.dropped or node.tag in SKIPPED or hidden
         if not node.dropped and node.tag not in ("html", "body", "main") and not node.holds:
             outside = not in_article[node.order] and node.tag != "article"
             if node.tag == "header" and outside:
                 node.dropped = True
             elif node.tag not in PARAGRAPHS or node.tag == "li" or words & {"comment", "comments", "ad", "advert", "notice"}:
-                node.dropped = bool(words & BOILERPLATE) or outside and bool(words & HEADER_WORDS)
+                named = bool(words & BOILERPLATE)
+                node.dropped = named and (outside or bool(names & BOILERPLATE or words & SURE)) or outside and bool(words & HEADER_WORDS)
+                node.doubtful = named and not node.dropped
 
 
 def _measure(nodes: list[Node]) -> None:
-    """Text and link lengths of each subtree; then lists of links go, too."""
-    for _ in range(2):
+    """Text and link lengths of each subtree; then lists of links go, too, until nothing changes."""
+    while True:
         for node in nodes:
             node.length = node.link_length = node.links = 0
         for node in reversed(nodes):
@@ -216,7 +235,9 @@ def _measure(nodes: list[Node]) -> None:
             if node.parent.dropped:
                 gone |= not node.dropped
                 node.dropped = True
-            elif not node.dropped and node.tag in ("ul", "ol", "dl", "div", "section", "table") and node.links > 1 and node.link_length >= LINK_LIST * node.length:
+            elif not node.dropped and node.tag in ("ul", "ol", "dl", "div", "section", "table") and not node.inside and node.links > 1 and node.link_length >= LINK_LIST * node.length:
+                node.dropped = gone = True
+            elif not node.dropped and node.doubtful and node.links and node.link_length >= MOSTLY_LINKS * node.length:
                 node.dropped = gone = True
         if not gone:
             return
@@ -244,7 +265,7 @@ def best_container(nodes: list[Node]) -> list[Node]:
     for node in nodes[1:]:
         if node.dropped or node.tag not in PARAGRAPHS and node.tag not in ("div", "section", "article", "main", "body"):
             continue
-        text = " ".join(_own_text(node).split())
+        text = one_space(_own_text(node))
         if len(text) < MIN_PARAGRAPH:
             continue
         points = 1.0 + text.count(",") + min(len(text) / 100, 3.0)
@@ -282,7 +303,7 @@ def blocks(node: Node) -> list[str]:
     buffer: list[str] = []
 
     def flush() -> None:
-        text = " ".join("".join(buffer).split())
+        text = one_space("".join(buffer))
         buffer.clear()
         if text:
             out.append(text)
