@@ -133,6 +133,72 @@ _TAGS = {
     "cc by nc nd 4 0": "cc-by-nc-nd", "sspl 1 0": "sspl", "busl 1 1": "busl", "elastic 2 0": "elastic", "mulanpsl 2 0": "mulan", "upl 1 0": "upl",
     "ncsa": "ncsa", "json": "json", "vim": "vim", "postgresql": "postgresql", "unicode dfs 2016": "unicode", "gfdl 1 3": "gfdl",
 }
+# Short names as people write them: label, keyword, pattern, priority, weight.
+_NUMBER = r"(?:v?\d+|(?: (?:version |v )?v?\d+(?: \d+)?))?"
+_SHORT = [
+    ("agpl", "agpl", r"(?:gnu )?agplN(?: only| or later| or any later version)?", 45, 0.8),
+    ("lgpl", "lgpl", r"(?:gnu )?lgplN(?: only| or later| or any later version)?", 45, 0.8),
+    ("gpl", "gpl", r"(?:gnu )?gplN(?: only| or later| or any later version)?", 44, 0.75),
+    ("gpl", "gpl compatible", r"gpl compatible", 46, 0.4),
+    ("gpl", "copyleft", r"copyleft(?: licen[sc]e)?", 20, 0.4),
+    ("gfdl", "gfdl", r"(?:gnu )?gfdlN", 45, 0.8),
+    ("gfdl", "gnu fdl", r"gnu fdlN", 45, 0.8),
+    ("apache", "apache 2", r"apache 2(?: 0)?(?: licen[sc]ed?)?", 45, 0.85),
+    ("apache", "apache v2", r"apache v2(?: 0)?(?: licen[sc]ed?)?", 45, 0.85),
+    ("apache", "apache2", r"apache2(?: 0)?(?: licen[sc]ed?)?", 45, 0.85),
+    ("apache", "asl 2", r"asl 2 0", 40, 0.6),
+    ("apache", "al2", r"al2 0", 35, 0.5),
+    ("bsd", "clause", r"bsd (?:[0234]|two|three|four) clause(?: licen[sc]ed?)?", 46, 0.9),
+    ("bsd", "clause bsd", r"(?:[0234]|two|three|four) clause bsd(?: licen[sc]ed?)?", 46, 0.9),
+    ("bsd", "0bsd", r"0bsd", 45, 0.8),
+    ("bsd", "bsd style", r"bsd style(?: licen[sc]ed?)?", 45, 0.7),
+    ("bsd", "bsd licensed", r"bsd licen[sc]ed", 45, 0.8),
+    ("mit", "mit licensed", r"mit licen[sc]ed", 45, 0.85),
+    ("mit", "mit style", r"mit style(?: licen[sc]ed?)?", 45, 0.7),
+    ("mit", "mit x11", r"mit x11(?: licen[sc]e)?", 46, 0.85),
+    ("mit", "x11 licen", r"x11 licen[sc]e", 45, 0.75),
+    ("mit", "mit or apache", r"mit or apache(?: 2 0)?", 47, 0.9),
+    ("mpl", "mpl", r"mpl(?: ?v?[12])(?: \d)?", 45, 0.8),
+    ("mpl", "mpl2", r"mpl2", 45, 0.8),
+    ("epl", "epl", r"epl ?v?[12](?: 0)?", 45, 0.8),
+    ("cddl", "cddl", r"cddl(?: ?v?1)?(?: [01])?", 45, 0.8),
+    ("eupl", "eupl", r"eupl(?: ?v?1)?(?: [0-2])?", 45, 0.85),
+    ("osl", "osl", r"osl ?v?[1-3](?: \d)?", 45, 0.75),
+    ("afl", "afl", r"afl ?v?[1-3](?: \d)?", 45, 0.7),
+    ("isc", "isc licensed", r"isc licen[sc]ed", 45, 0.8),
+    ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]ed?", 45, 0.85),
+    ("boost", "bsl 1", r"bsl 1 0", 46, 0.7),
+    ("boost", "boost", r"boost software licen[sc]ed?(?: (?:version |v )?1 0)?", 46, 0.9),
+    ("unlicense", "unlicense", r"(?:the )?unlicense", 45, 0.8),
+    ("wtfpl", "wtfpl", r"wtfpl(?: ?v?[12])?", 45, 0.85),
+    ("sspl", "sspl", r"sspl(?: ?v?1)?", 45, 0.85),
+    ("busl", "busl", r"busl(?: 1 1)?", 45, 0.8),
+    ("ofl", "ofl", r"(?:sil )?ofl(?: ?v?1)?(?: 1)?", 45, 0.75),
+    ("odbl", "odbl", r"odbl(?: ?v?1)?(?: 0)?", 45, 0.85),
+    ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", 45, 0.9),
+    ("cc-by-nc-nd", "cc by", r"cc by nc nd(?: \d(?: \d)?)?", 50, 0.95),
+    ("cc-by-nc-sa", "cc by", r"cc by nc sa(?: \d(?: \d)?)?", 50, 0.95),
+    ("cc-by-nc", "cc by", r"cc by nc(?: \d(?: \d)?)?", 48, 0.95),
+    ("cc-by-sa", "cc by", r"cc by sa(?: \d(?: \d)?)?", 48, 0.95),
+    ("cc-by-nd", "cc by", r"cc by nd(?: \d(?: \d)?)?", 48, 0.95),
+    ("cc-by", "cc by", r"cc by(?: \d(?: \d)?)?", 46, 0.9),
+    ("warranty", "as is", r"(?:is |are )?(?:provided|distributed|offered|supplied) (?:on an )?as is(?: basis)?(?: and)?(?: without (?:any )?warrant(?:y|ies) of any kind)?", 30, 0.5),
+    ("warranty", "without any warranty", r"without any warranty(?: without even the implied warranty of merchantability or fitness for a particular purpose)?", 30, 0.5),
+    ("warranty", "warranties or conditions", r"without warranties or conditions of any kind(?: either express or implied)?", 30, 0.5),
+    ("warranty", "merchantability", r"(?:the )?(?:implied )?warranties of merchantability(?: and)? fitness for a particular purpose(?: and non ?infringement)?", 30, 0.5),
+    ("liability", "in no event", r"in no event (?:shall|will) (?:the )?(?:\S+ ){1,8}?be liable(?: for any)?", 30, 0.5),
+    ("liability", "consequential damages", r"(?:direct indirect )?incidental special exemplary or consequential damages", 30, 0.5),
+    ("patent", "patent license", r"(?:a )?(?:perpetual )?worldwide non ?exclusive no charge royalty free irrevocable(?: except as stated in this section)? patent licen[sc]e", 30, 0.6),
+    ("patent", "patent claims", r"patent claims (?:licensable|necessarily infringed)", 30, 0.5),
+    ("redistribution", "redistribution and use", r"redistribution and use in source and binary forms(?: with or without modification)?(?: are permitted)?", 60, 0.85),
+    ("redistribution", "redistribute", r"(?:you (?:can|may) )?redistribute it and or modify it under the terms", 40, 0.6),
+    ("redistribution", "derivative works", r"(?:prepare|create|make|distribute) derivative works(?: of| based (?:up)?on)", 30, 0.5),
+    ("trademark", "trade names", r"does not grant permission to use the trade names", 30, 0.5),
+    ("attribution", "appropriate credit", r"(?:you )?must give appropriate credit", 30, 0.6),
+    ("attribution", "copyright notice", r"(?:retain|reproduce|include) (?:the above|all|this) copyright notices?", 30, 0.5),
+    ("non-commercial", "commercial", r"(?:for )?non ?commercial (?:use|purposes)(?: only)?", 25, 0.4),
+    ("non-commercial", "commercial", r"(?:may|must) not be used for commercial purposes", 30, 0.5),
+]
 # Sentences and addresses of their own: label, keyword, pattern, priority, weight.
 _TEXTS = [
     ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 80, 0.97),
@@ -183,8 +249,9 @@ _TEXTS = [
 def build_rules() -> list[Rule]:
     """All rules in order: by priority, then as written."""
     rules = [Rule(*x) for x in _TEXTS]
+    rules += [Rule(label, keyword, pattern.replace("N", _NUMBER), priority, weight) for label, keyword, pattern, priority, weight in _SHORT]
     for tag, label in _TAGS.items():
-        rules.append(Rule(label, "spdx license", rf"spdx license identifier {tag}(?: only| or later)?", 95, 0.99))
+        rules.append(Rule(label, "spdx", rf"spdx (?:license )?(?:identifier )?{tag}(?: only| or later)?", 95, 0.99))
     for label, keyword, name in _FAMILIES:
         name = name.replace("V", _V)
         for form, priority, weight in _FORMS:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociframe.llm import hadamard_clusters as clusters
-from lociframe.llm import bagminhash, infill, queries, secrets_cnn, slots, spaced_seeds
+from lociframe.llm import bagminhash, html_text, infill, licenses, queries, secrets_cnn, slots, spaced_seeds
 
 # ---- 11
 
@@ -327,3 +327,64 @@ def test_rebalanced_documents(spark, tmp_path):
     load = lambda c: [r["b"] for r in rows.groupBy(c).agg(F.sum("size").alias("b")).collect()]
     before, after = load("first_shard"), load("shard")
     assert rows.count() == 3000 and sum(before) == sum(after) and max(after) - min(after) < max(before) - min(before)
+
+
+# ---- pages and licences
+
+
+def test_article_text_is_kept():
+    """Inside an article: a history of promotions and a list of two references stay, adverts, comments and menus go."""
+    page = """<body><nav><a href=x>Home</a></nav><article><h1>Title of it</h1><p>First paragraph, with enough words, to count as text here.</p>
+      <div class="promotion-history"><p>The promotion history of the officer, told at some length, is here.</p></div>
+      <ul><li><a href=1>A reference</a></li><li><a href=2>Another one</a></li></ul>
+      <div class="ad">Buy this</div><div class="ad-slot"><p>Buy that, too, at once, and more of it.</p></div><div class="social-share"><a href=f>Post it</a> <a href=g>Send it</a></div>
+      <section id="post-comments"><p>A reader comments on this, at length, and on that.</p></section><p>no\u00a0break &nbsp; here,   it stays.</p><p>&nbsp;</p></article>
+      <ul><li><a href=3>Elsewhere</a></li><li><a href=4>Others</a></li></ul></body>"""
+    assert html_text.extract(page).split("\n\n") == [
+        "Title of it", "First paragraph, with enough words, to count as text here.", "The promotion history of the officer, told at some length, is here.",
+        "A reference", "Another one", "no\u00a0break \u00a0 here, it stays."]
+
+
+def test_link_lists_within_lists_all_go():
+    inner = "<ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul>"
+    page = f"<body><div><div><div>{inner}x</div>{inner}</div><div>{inner}</div></div><div><p>The text of the page, which is long enough to be one.</p></div></body>"
+    assert html_text.extract(page) == "The text of the page, which is long enough to be one."
+
+
+def test_empty_pages(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    assert html_text.main_text(empty).count() == 0
+
+
+def test_written_out_licence_names():
+    scanner = licenses.Scanner()
+    for text, label in {
+        "GPLv3": "gpl", "GNU GPL version 2": "gpl", "BSD-3-Clause": "bsd", "3-clause BSD": "bsd", "LGPL-2.1+": "lgpl", "AGPLv3 or later": "agpl", "Apache-2.0": "apache", "CC BY-SA 4.0": "cc-by-sa",
+        "CC0 1.0 Universal": "cc0", "MPL-2.0": "mpl", "SPDX: MIT": "mit", "SPDX-License-Identifier: EPL-2.0": "epl", "MIT licensed": "mit", "WTFPL": "wtfpl", "Boost Software License 1.0": "boost",
+        "provided as is without warranty of any kind": "warranty", "In no event shall the authors be liable for any": "liability", "Redistribution and use in source and binary forms": "redistribution",
+        "you must give appropriate credit": "attribution", "for non-commercial use only": "non-commercial",
+    }.items():
+        assert label in scanner.scan(f"some words {text} and more")[5].split(","), text
+    for clean in ("er kam mit dem Zug", "the apache tribe", "a warranty claim", "they redistribute wealth", "boost the signal", "it was a patent lie", "cc me by mail"):
+        assert scanner.scan(clean)[5] == "", clean
+    written = len(licenses._SHORT) + len(licenses._TEXTS) + len(licenses._FAMILIES)
+    assert written > 160
+
+
+def brute_phrases(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    places = [(i, label) for phrase, label in licenses.BASE.items() for p in [phrase.split()] for i in range(len(words)) if words[i:i + len(p)] == p]
+    at = [i for i, _ in places]
+    return len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_base_phrases_by_brute_force(spark):
+    rng = random.Random(8)
+    parts = ["cc", "by", "CC BY", "cc-by", "general", "public", "License", "General Public License", "all rights reserved", "ALL RIGHTS", "reserved", "x", "é", ".", "1", "gpl", "cc by nc"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(300)]
+    df = spark.createDataFrame([*enumerate(texts), (900, None), (None, texts[0]), (3, texts[3])], "doc_id long, text string")
+    got = licenses.license_scan(df).collect()
+    by = {i: t for i, t in [*enumerate(texts), (900, None), (None, texts[0])]}
+    assert len(got) == 303 and all((r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_phrases(by[r["doc_id"]]) for r in got)
+    assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in got)
+    assert licenses.license_scan(df.limit(0)).count() == 0
