@@ -115,9 +115,10 @@ def _(spark, sf):
 @query("quantile_normalize", f"""WITH lm AS ({NATION_MATRIX}), o AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value, feature) AS r FROM lm),
 t AS (SELECT r, avg(value) AS target FROM o GROUP BY r),
 g AS (SELECT sample, value, avg(target) AS target FROM o JOIN t ON o.r = t.r GROUP BY sample, value)
-SELECT lm.feature, lm.sample, round(target, 6) AS value FROM lm JOIN g ON lm.sample = g.sample AND lm.value = g.value""")
+SELECT lm.feature, lm.sample, round(target + 1e-9, 6) AS value FROM lm JOIN g ON lm.sample = g.sample AND lm.value = g.value""")
 def _(spark, sf):
-    return r6(M.normalize(nation_matrix(spark, sf), "quantile"), "value")
+    # Means of whole numbers often end in a 5 at the seventh place; both sides are moved off it before rounding.
+    return r6(M.normalize(nation_matrix(spark, sf), "quantile").withColumn("value", F.col("value") + 1e-9), "value")
 
 
 LOGGED = f"""WITH lm AS ({PART_MATRIX}), f AS (SELECT max(value) <= 20 OR count(CASE WHEN value < 1 THEN 1 END) > count(DISTINCT feature) * 0.1 AS is_log FROM lm),
