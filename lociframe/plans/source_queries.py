@@ -8,6 +8,7 @@ from lociframe.plans.inputs import (
     KIND_MATRIX,
     digest_proteins,
     event_intervals,
+    event_second,
     kind_matrix,
     part_matrix,
     table,
@@ -17,6 +18,7 @@ from lociframe.plans.matrix_queries import r6
 from lociframe.plans.registry import query
 from lociframe.sources import lines as L
 from lociframe.sources import records as R
+from lociframe.session import shared_path
 from lociframe.sources import tables as S
 from lociframe.streaming import jobs as J
 
@@ -387,6 +389,32 @@ def _(spark, sf):
     return J.run_available(J.dedup_stream(event_stream(spark, sf), key, "ts", "400 days")).select("dedup_key")
 
 
+def late_events(spark, sf):
+    """Events as they arrive, in eight files: one of thirteen comes three days late."""
+    second = event_second()
+    rows = table(spark, sf, "events").select(
+        F.concat(F.lower("event_type"), F.lit("-"), (F.col("user_id") % 50).cast("string")).alias("k"), second.cast("long").alias("s"),
+        (second.cast("long") + F.when(F.col("event_id") % 13 == 0, 259200).otherwise(0)).alias("arrived"))
+    lo, hi = rows.agg(F.min("arrived"), F.max("arrived")).first()
+    rows = rows.withColumn("b", F.expr(f"(arrived - {lo}L) * 8 div {hi - lo + 1}L")).withColumn("ts", F.timestamp_seconds("s"))
+    path = shared_path(spark, "arrivals")
+    for b in range(8):  # one file after the other, as a feed lands
+        rows.where(F.col("b") == b).select("k", "ts").coalesce(1).write.mode("append").parquet(f"{path}/{b}")
+    return spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+
+
+@query("stream_first_records", """WITH RECURSIVE ev AS (SELECT lower(event_type) || '-' || CAST(user_id % 50 AS VARCHAR) AS k, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + CASE WHEN event_id % 13 = 0 THEN 259200 ELSE 0 END AS arr FROM events),
+lim AS (SELECT min(arr) AS lo, max(arr) AS hi FROM ev), r AS (SELECT k, s, (arr - lo) * 8 // (hi - lo + 1) AS b FROM ev, lim), mx AS (SELECT b, max(s) AS m FROM r GROUP BY b),
+wm AS (SELECT t.b, coalesce((SELECT max(m) FROM mx WHERE mx.b < t.b) - 86400, 0) AS w FROM range(0, 8) t(b)), per AS (SELECT r.b, k, min(s) AS s FROM r JOIN wm ON wm.b = r.b WHERE s >= w GROUP BY 1, 2),
+st AS (SELECT CAST(-1 AS BIGINT) AS b, k, CAST(NULL AS BIGINT) AS e, CAST(NULL AS BIGINT) AS emit FROM (SELECT DISTINCT k FROM r) UNION ALL
+SELECT st.b + 1, st.k, CASE WHEN coalesce(st.e, per.s + 172800) <= w THEN NULL ELSE coalesce(st.e, per.s + 172800) END, CASE WHEN st.e IS NULL THEN per.s END
+FROM st JOIN wm ON wm.b = st.b + 1 LEFT JOIN per ON per.b = st.b + 1 AND per.k = st.k WHERE st.b < 7)
+SELECT k AS dedup_key, emit AS at FROM st WHERE emit IS NOT NULL""")
+def _(spark, sf):
+    out = J.run_available(J.first_records(late_events(spark, sf), F.col("k"), "ts", "1 day", 2))
+    return out.select("dedup_key", F.expr("at div 1000").alias("at"))
+
+
 @query("stream_window_counts", """WITH w AS (SELECT to_timestamp(floor(epoch(ts) / 604800) * 604800)::TIMESTAMP AS s, event_type FROM events), m AS (SELECT max(ts) - INTERVAL 1 DAY AS wm FROM events)
 SELECT strftime(s, '%Y-%m-%d') AS week, event_type, count(*) AS count FROM w, m WHERE s + INTERVAL 7 DAY <= wm GROUP BY 1, 2""")
 def _(spark, sf):
