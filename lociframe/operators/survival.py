@@ -10,7 +10,7 @@ import warnings
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.functions.ordering import average_rank, exact_quantiles, running_sums
@@ -36,7 +36,7 @@ def kaplan_meier(df: DataFrame, keys: Sequence[str] = ("grp",)) -> DataFrame:
     ratio = 1 - F.col("d") / F.col("at_risk")
     ev = ev.withColumn("ls", F.when(ratio > 0, F.ln(ratio)).otherwise(0.0)).withColumn(
         "dead", F.when(ratio > 0, 0).otherwise(1)
-    ).withColumn("gw", F.coalesce(F.try_divide(F.col("d"), F.col("at_risk") * (F.col("at_risk") - F.col("d"))), F.lit(0.0)))
+    ).withColumn("gw", F.coalesce(F.try_divide(F.col("d"), F.col("at_risk").cast("double") * (F.col("at_risk") - F.col("d"))), F.lit(0.0)))
     out = running_sums(ev, keys, "time", ["ls", "dead", "gw"])
     s = F.when(F.col("dead_run") > 0, 0.0).otherwise(F.exp("ls_run"))
     out = out.withColumn("survival", s)
@@ -87,12 +87,17 @@ def time_counts_by_group(df: DataFrame, keys: Sequence[str], group: str) -> Data
         *keys, "g", "time", F.col("d").alias("d_g"), (F.col("m_all") - F.col("m_run") + F.col("m")).alias("n_g"), "d_t", "n_t")
 
 
+def _risk_numbers() -> tuple[Column, Column, Column]:
+    """n_g, n_t and d_t as doubles: products of four of them pass the largest long from some 10^5 rows at risk."""
+    return tuple(F.col(c).cast("double") for c in ("n_g", "n_t", "d_t"))
+
+
 def logrank_two(df: DataFrame, group: str, first: str, keys: Sequence[str] = ()) -> DataFrame:
     """Two-group log-rank: observed minus expected of ``first`` over its hypergeometric variance."""
     keys = list(keys)
     t = time_counts_by_group(df, keys, group).where((F.col("g") == first) & (F.col("n_t") > 1))
-    r, n, d = F.col("n_g"), F.col("n_t"), F.col("d_t")
-    var = r * (n - r) * d * (n - d) / (n * n * (n - 1)).cast("double")
+    r, n, d = _risk_numbers()
+    var = r * (n - r) * d * (n - d) / (n * n * (n - 1))
     agg = t.groupBy(*keys).agg(F.sum("d_g").alias("observed"), F.sum(d * r / n).alias("expected"), F.sum(var).alias("variance"))
     gap = F.col("observed") - F.col("expected")
     chi2 = F.when(F.col("variance") > 0, gap * gap / F.col("variance")).otherwise(0.0)
@@ -103,7 +108,7 @@ def logrank_groups(df: DataFrame, group: str = "grp", keys: Sequence[str] = ())
     """k-group log-rank: sum of (O - E)²/E over groups with k - 1 degrees of freedom."""
     keys = list(keys)
     t = time_counts_by_group(df, keys, group)
-    per = t.groupBy(*keys, "g").agg(F.sum("d_g").alias("o"), F.sum(F.col("d_t") * F.col("n_g") / F.col("n_t")).alias("e"))
+    per = t.groupBy(*keys, "g").agg(F.sum("d_g").alias("o"), F.sum(F.col("d_t").cast("double") * F.col("n_g") / F.col("n_t")).alias("e"))
     gap = F.col("o") - F.col("e")
     agg = per.groupBy(*keys).agg(
         F.sum(F.when(F.col("e") > 0, gap * gap / F.col("e")).otherwise(0.0)).alias("chi2"), (F.count(F.lit(1)) - 1).alias("df"))
@@ -114,9 +119,9 @@ def weighted_logrank(df: DataFrame, group: str = "grp", keys: Sequence[str] = ()
     """Gehan-Wilcoxon form: terms weighted by the number at risk, of the group or of all (``total``)."""
     keys = list(keys)
     t = time_counts_by_group(df, keys, group)
-    w = F.col("n_g" if weight == "group" else "n_t")
-    r, n, d = F.col("n_g"), F.col("n_t"), F.col("d_t")
-    var = F.when(n > 1, d * (n - d) * r * (n - r) / (n * n * (n - 1)).cast("double")).otherwise(0.0)
+    r, n, d = _risk_numbers()
+    w = r if weight == "group" else n
+    var = F.when(n > 1, d * (n - d) * r * (n - r) / (n * n * (n - 1))).otherwise(0.0)
     per = t.groupBy(*keys, "g").agg(
         F.sum(w * F.col("d_g")).alias("o"), F.sum(w * d * r / n).alias("e"), F.sum(w * w * var).alias("v"))
     agg = per.groupBy(*keys).agg(
