@@ -66,6 +66,12 @@ def differential_test(
     return bh_adjust(tested, "pvalue", "padj")
 
 
+def _tie_term(c: Column) -> Column:
+    """c³ - c as a double, since the cube passes the largest long from some two million rows."""
+    c = c.cast("double")
+    return c * c * c - c
+
+
 def mann_whitney(rows: DataFrame, keys: Sequence[str] = ("feature",), min_n: int = 2) -> DataFrame:
     """Rank-sum U with mid-ranks; normal p with tie correction and continuity 0.5."""
     keys = list(keys)
@@ -76,7 +82,7 @@ def mann_whitney(rows: DataFrame, keys: Sequence[str] = ("feature",), min_n: int
     agg = ranked.groupBy(*keys).agg(
         F.sum("c_alt").alias("n_alt"), (F.max("n") - F.sum("c_alt")).alias("n_ref"),
         F.sum(F.col("c_alt") * mid_rank()).alias("rank_sum"),
-        F.sum((c * c * c - c).cast("double")).alias("ties"),
+        F.sum(_tie_term(c)).alias("ties"),
         (F.sum(F.col("c_alt") * F.col("value")) / F.sum("c_alt")).alias("mean_alt"),
         (F.sum((c - F.col("c_alt")) * F.col("value")) / F.sum(c - F.col("c_alt"))).alias("mean_ref"),
     )
@@ -102,7 +108,7 @@ def marker_tests(lm: DataFrame, clusters: DataFrame) -> DataFrame:
     ranked = ranked_counts(rows, ["feature"], "value").withColumn("mid", mid_rank())
     c = F.col("cnt")
     per_feature = ranked.groupBy("feature").agg(
-        F.max("n").alias("n"), F.sum((c * c * c - c).cast("double")).alias("ties"), F.sum(c * F.col("value")).alias("total"),
+        F.max("n").alias("n"), F.sum(_tie_term(c)).alias("ties"), F.sum(c * F.col("value")).alias("total"),
     )
     per_cell = rows.groupBy("feature", "cluster", "value").agg(F.count(F.lit(1)).alias("k"))
     sums = (
@@ -140,7 +146,7 @@ def kruskal(rows: DataFrame, value: str, group: str, keys: Sequence[str] = ()) -
     ranked = ranked_counts(rows, keys, value).withColumn("mid", mid_rank())
     c = F.col("cnt")
     totals = ranked.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.sum((c * c * c - c).cast("double")).alias("ties")
+        F.max("n").alias("n"), F.sum(_tie_term(c)).alias("ties")
     )
     cells = rows.where(F.col(value).isNotNull()).groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("k"))
     per_group = (
@@ -154,7 +160,7 @@ def kruskal(rows: DataFrame, value: str, group: str, keys: Sequence[str] = ()) -
     joined = agg.join(totals, keys) if keys else agg.withColumn("n", totals.select("n").scalar()).withColumn(
         "ties", totals.select("ties").scalar())
     n = F.col("n")
-    h = (12.0 / (n * (n + 1)) * F.col("ss") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n).cast("double"))
+    h = (12.0 / (n * (n + 1)) * F.col("ss") - 3 * (n + 1)) / (1 - F.col("ties") / _tie_term(n))
     return joined.withColumn("h", h).select(*keys, "n", "df", "h", chi2_sf(F.col("h"), F.col("df")).alias("pvalue"))
 
 
@@ -228,7 +234,7 @@ def mann_whitney_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     c = F.col("cnt")
     agg = ranked.groupBy(*keys).agg(
         F.sum("c_alt").alias("n_alt"), F.sum(c - F.col("c_alt")).alias("n_ref"),
-        F.sum(F.col("c_alt") * mid_rank()).alias("rank_sum"), F.sum((c * c * c - c).cast("double")).alias("ties"),
+        F.sum(F.col("c_alt") * mid_rank()).alias("rank_sum"), F.sum(_tie_term(c)).alias("ties"),
     )
     n1, n2 = F.col("n_alt"), F.col("n_ref")
     n = n1 + n2

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lociframe.operators import stats as S
 from lociframe.operators import survival as V
 
 N = 400_000
@@ -44,3 +45,13 @@ def test_cohort_and_alteration_survival(spark, rows):
     assert cohort["chi2"] == pytest.approx((N / 4 - e) ** 2 / v)
     flags = rows.select("k", F.lit("mutation").alias("kind"), (F.col("lvl") == "High").alias("altered"), "time", "event")
     assert V.alteration_survival(flags, "k").first()["pvalue"] == pytest.approx(0.0, abs=1e-12)
+
+
+def test_kruskal(spark):
+    n = 2_400_000
+    rows = spark.range(n).select((F.col("id") % 2).alias("value"), (F.col("id") % 3).alias("grp"))
+    row = S.kruskal(rows, "value", "grp").first()
+    assert (row["n"], row["df"]) == (n, 2)
+    # Every group has the same mean rank.
+    assert row["h"] == pytest.approx(0.0, abs=1e-3)
+    assert row["pvalue"] == pytest.approx(1.0, abs=1e-3)
