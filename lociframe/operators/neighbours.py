@@ -3,7 +3,7 @@
 Near pairs: a cell of many points is split by pivots drawn from it. A point's home is its nearest pivot; it is also
 copied to a cell of a smaller number if it lies within eps of the border between the two, for only then can a point
 there be near. Two points are compared in the smaller one of their homes, which has both, so every near pair is met once
-and none is lost. Cells that copies don't let shrink, such as a ball smaller than eps, are compared by pairs of chunks.
+and none is lost. Cells that copies don't let shrink, such as a ball smaller than eps, are compared by pairs of parts.
 
 Neighbour descent: neighbours of neighbours are likely neighbours. From a first graph inside cells, each point brings
 its neighbours and those it is a neighbour of together; new pairs among them are measured where they meet, and a point
@@ -12,14 +12,16 @@ keeps its k nearest, until hardly any change.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lociframe.operators.blocks import CELLS, batches_of, block_pairs, distances, vectors
 from lociframe.session import cut_lineage, spread
 
 CELL = 1024
@@ -29,10 +31,6 @@ LEVELS = 24
 GROWTH, SHRINK = 3.0, 0.75
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T, 0.0))
-
-
 def _vectors(column: pd.Series) -> np.ndarray:
     return np.array(column.to_list(), float)
 
@@ -113,30 +111,104 @@ def cells(points: DataFrame, eps: float | None, cell: int = CELL, seed: int = 17
     return join(small), join(dense)
 
 
-def _near_in(a: pd.DataFrame, b: pd.DataFrame, eps: float, same: bool) -> pd.DataFrame:
-    d = distances(_vectors(a["vec"]), _vectors(b["vec"])) if len(a) and len(b) else np.zeros((len(a), len(b)))
-    ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-    apart = (a["mask"].to_numpy()[:, None] & b["mask"].to_numpy()[None]) == 0
-    i, j = np.nonzero((d <= eps) & apart & ((ia[:, None] < ib[None]) if same else (ia[:, None] != ib[None])))
-    return pd.DataFrame({"src": np.minimum(ia[i], ib[j]), "dst": np.maximum(ia[i], ib[j]), "distance": d[i, j]})
-
-
-PAIR = "src long, dst long, distance double"
+def _near_in(a: pa.Table, b: pa.Table, eps: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a, rows of b and distances of the near pairs to be compared here, some rows of a at a time."""
+    (ia, ma, va), (ib, mb, vb) = ((t.column("id").to_numpy(), t.column("mask").to_numpy(), vectors(t)) for t in (a, b))
+    step = max(16, CELLS // len(ib))
+    for at in range(0, len(ia), step):
+        d = distances(va[at:at + step], vb)
+        i, j = np.nonzero(d <= eps)
+        x, y = ia[at + i], ib[j]
+        ok = ((ma[at + i] & mb[j]) == 0) & ((x < y) if same else (x != y))
+        i, j = i[ok], j[ok]
+        yield at + i, j, d[i, j]
+
+
+def _joined(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Smallest member of each node's group after the links are added; `root` has that before them."""
+    root = root.copy()
+    while True:
+        u, v = root[u], root[v]
+        open_links = u != v
+        if not open_links.any():
+            return root
+        u, v = u[open_links], v[open_links]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+
+
+class Cells:
+    """Points in cells that hold every pair within eps once; ids are distinct. Both kinds of cells are read by each method."""
+
+    def __init__(self, points: DataFrame, eps: float, cell: int = CELL) -> None:
+        self.eps = eps
+        self.small, self.dense = cells(points, eps, cell)
+
+    def _each(self, work: Callable[[pa.Table, pa.Table, bool], Iterator[pa.RecordBatch]], schema: str, core: DataFrame | None = None) -> DataFrame:
+        marked = lambda df: df if core is None else df.join(core.select("id", F.lit(True).alias("core")), "id", "left").na.fill(False, ["core"])
+
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(list(batches))
+            yield from work(table, table, True)
+
+        out = marked(self.small).groupBy("cell").applyInArrow(alone, schema)
+        return out if self.dense is None else out.unionByName(block_pairs(marked(self.dense), work, schema, group="cell"))
+
+    def pairs(self) -> DataFrame:
+        """src < dst and distance of each near pair."""
+        out, eps = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("distance", pa.float64())]), self.eps
+
+        def work(a: pa.Table, b: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+            ia, ib = a.column("id").to_numpy(), b.column("id").to_numpy()
+            for i, j, d in _near_in(a, b, eps, same):
+                yield from batches_of(out, np.minimum(ia[i], ib[j]), np.maximum(ia[i], ib[j]), d)
+
+        return self._each(work, "src long, dst long, distance double")
+
+    def degrees(self) -> DataFrame:
+        """id and number c of the near others of each point that has one; pairs are counted where they meet."""
+        out, eps = pa.schema([("id", pa.int64()), ("c", pa.int64())]), self.eps
+
+        def work(a: pa.Table, b: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+            na, nb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+            for i, j, _ in _near_in(a, b, eps, same):
+                na += np.bincount(i, minlength=len(a))
+                nb += np.bincount(j, minlength=len(b))
+            for table, n in ((a, na), (b, nb)):
+                yield from batches_of(out, table.column("id").to_numpy()[n > 0], n[n > 0])
+
+        return self._each(work, "id long, c long").groupBy("id").agg(F.sum("c").alias("c"))
+
+    def links(self, core: DataFrame | None = None) -> DataFrame:
+        """Links (src, dst, border) whose components are those of the near pairs, fewer than the points of each meeting.
+
+        With ``core`` (id) only pairs of two core points count, and each pair of another point and a core point is a row
+        with border (src: the other point).
+        """
+        out, eps = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("border", pa.bool_())]), self.eps
+        flagged = core is not None
+
+        def work(a: pa.Table, b: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+            ia, ib = a.column("id").to_numpy(), b.column("id").to_numpy()
+            ids = np.unique(np.concatenate([ia, ib]))
+            pa_, pb = np.searchsorted(ids, ia), np.searchsorted(ids, ib)
+            ca, cb = ((t.column("core").to_numpy() if flagged else np.ones(len(t), bool)) for t in (a, b))
+            root = np.arange(len(ids))
+            for i, j, _ in _near_in(a, b, eps, same):
+                both, first, second = ca[i] & cb[j], ~ca[i] & cb[j], ca[i] & ~cb[j]
+                root = _joined(root, pa_[i[both]], pb[j[both]])
+                x = np.concatenate([ia[i[first]], ib[j[second]]])
+                yield from batches_of(out, x, np.concatenate([ib[j[first]], ia[i[second]]]), np.ones(len(x), bool))
+            far = np.flatnonzero(root != np.arange(len(ids)))
+            yield from batches_of(out, ids[root[far]], ids[far], np.zeros(len(far), bool))
+
+        return self._each(work, "src long, dst long, border boolean", core)
 
 
 def near_pairs(points: DataFrame, eps: float, cell: int = CELL) -> DataFrame:
     """Pairs of points (src < dst) within eps, each once; ids are distinct."""
-    small, dense = cells(points, eps, cell)
-    out = small.groupBy("cell").applyInPandas(lambda pdf: _near_in(pdf, pdf, eps, True), PAIR)
-    if dense is not None:
-        chunks = dense.join(dense.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("n")), "cell")
-        chunks = cut_lineage(chunks.withColumn("c", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")))
-        low = chunks.withColumn("s", F.col("c")).withColumn("t", F.explode(F.sequence("c", F.col("n") - 1)))
-        high = chunks.withColumn("t", F.col("c")).withColumn("s", F.explode(F.sequence(F.lit(0), "c")))
-        keep = ["cell", "s", "t", "id", "vec", "mask"]
-        out = out.unionByName(low.select(*keep).groupBy("cell", "s", "t").cogroup(_renewed(high.select(*keep)).groupBy("cell", "s", "t")).applyInPandas(
-            lambda a, b: _near_in(a, b, eps, bool(len(a) and a["s"].iloc[0] == a["t"].iloc[0])), PAIR))
-    return out
+    return Cells(points, eps, cell).pairs()
 
 
 # ---- neighbour graphs by descent
