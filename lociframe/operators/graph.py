@@ -19,8 +19,10 @@ def build_graph(raw: DataFrame, scale: float = 1000.0) -> DataFrame:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    e = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    """Each edge once in either direction; repeats are dropped before the turn, so half the rows are hashed."""
+    one = edges.where(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    ends = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return one.select(F.explode(ends).alias("e")).select("e.src", "e.dst")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -79,8 +81,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates two star rewritings: neighbours larger than a node move to its smallest neighbour, then
     smaller ones do, until nothing changes. The number of rounds grows with the logarithm of the longest path.
     """
-    nodes = both_ways(edges).select(F.col("src").alias("node")).distinct()
     cur = cut_lineage(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct())
+    nodes = cur.select(F.col("a").alias("node")).unionByName(cur.select(F.col("b").alias("node"))).distinct()
     while True:
         sym = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sym.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
