@@ -106,20 +106,31 @@ def is_problematic(seq: Column) -> Column:
 
 
 def spacer_score(spacer: Column) -> Column:
-    """Logistic score of a spacer from position, pair, GC, seed and run terms."""
-    raw = F.lit(SPACER_INTERCEPT)
-    for pos, weights in SPACER_WEIGHTS.items():
-        base = F.substring(spacer, pos, 1)
-        for letter, w in weights.items():
-            raw = raw + F.when(base == letter, w).otherwise(0.0)
-    for (pos, pair), w in SPACER_PAIR_WEIGHTS.items():
-        raw = raw + F.when(F.substring(spacer, pos, 2) == pair, w).otherwise(0.0)
-    gc, seed = gc_fraction(spacer), gc_fraction(F.substring(spacer, -4, 4))
-    raw = raw - 0.2026 * F.abs(gc - 0.55) - F.when((gc < 0.3) | (gc > 0.75), 0.15).otherwise(0.0)
-    raw = raw - F.when(seed > 0.75, 0.15).when(seed < 0.25, 0.08).otherwise(0.0)
-    for letter in "ACGT":
-        raw = raw - F.when(F.contains(spacer, F.lit(letter * 4)), 0.10).otherwise(0.0)
-    return 1.0 / (1.0 + F.exp(-raw))
+    """Logistic score of a spacer from position, pair, GC, seed and run terms.
+
+    The terms stand inside `let`: written out in generated code they make a method too long to be compiled.
+    """
+
+    def terms(s: Column) -> Column:
+        raw = F.lit(SPACER_INTERCEPT)
+        for pos, weights in SPACER_WEIGHTS.items():
+            base = F.substring(s, pos, 1)
+            for letter, w in weights.items():
+                raw = raw + F.when(base == letter, w).otherwise(0.0)
+        for (pos, pair), w in SPACER_PAIR_WEIGHTS.items():
+            raw = raw + F.when(F.substring(s, pos, 2) == pair, w).otherwise(0.0)
+
+        def shares(g: Column) -> Column:
+            gc, seed = g["gc"], g["seed"]
+            out = raw - 0.2026 * F.abs(gc - 0.55) - F.when((gc < 0.3) | (gc > 0.75), 0.15).otherwise(0.0)
+            out = out - F.when(seed > 0.75, 0.15).when(seed < 0.25, 0.08).otherwise(0.0)
+            for letter in "ACGT":
+                out = out - F.when(F.contains(s, F.lit(letter * 4)), 0.10).otherwise(0.0)
+            return 1.0 / (1.0 + F.exp(-out))
+
+        return let(F.struct(gc_fraction(s).alias("gc"), gc_fraction(F.substring(s, -4, 4)).alias("seed")), shares)
+
+    return let(spacer, terms)
 
 
 def editing_efficiency(proto: Column) -> Column:
@@ -160,13 +171,33 @@ def melting_temperature(seq: Column) -> Column:
 
 
 def primer_binding_site(spacer: Column, shortest: int = 8, longest: int = 17, optimum: float = 33.0) -> Column:
-    """STRUCT<gap, len, pbs, tm>: the prefix of the reverse complement whose melting point is nearest the optimum."""
-    rc = reverse_complement(spacer)
-    options = [
-        F.struct(F.abs(tm - optimum).alias("gap"), F.lit(n).alias("len"), F.substring(rc, 1, n).alias("pbs"), tm.alias("tm"))
-        for n in range(shortest, longest + 1) for tm in [melting_temperature(F.substring(rc, 1, n))]
-    ]
-    return F.array_min(F.array(*options))
+    """STRUCT<gap, len, pbs, tm>: the prefix of the reverse complement whose melting point is nearest the optimum.
+
+    One walk along the letters carries the sums that `melting_temperature` makes of each prefix.
+    """
+    table = F.create_map(*[F.lit(v) for kv in PAIR_TM.items() for v in kv])
+
+    def walk(rc: Column) -> Column:
+        def letter(acc: Column, i: Column) -> Column:
+            held = i <= F.length(rc)
+            ch = F.substr(rc, i, F.lit(1))
+            pair = F.when(held & (i > 1), F.coalesce(F.try_element_at(table, F.substr(rc, i - 1, F.lit(2))), F.lit(12.0))).otherwise(0.0)
+            return let(F.struct(
+                (acc["pairs"] + pair).alias("pairs"), (acc["gc"] + F.when(held & ch.isin("G", "C"), 1).otherwise(0)).alias("gc"),
+                (acc["at"] + F.when(held & ch.isin("A", "T"), 1).otherwise(0)).alias("at"), acc["best"].alias("best")), lambda s: chosen(s, i))
+
+        def chosen(s: Column, i: Column) -> Column:
+            tm = F.when(F.length(rc) < 2, 0.0).when(F.length(rc) >= 2, (4.0 * s["gc"] + 2.0 * s["at"] + s["pairs"]) / 2.0)
+            option = let(tm, lambda t: F.struct(F.abs(t - optimum).alias("gap"), i.alias("len"), F.substr(rc, F.lit(1), i).alias("pbs"), t.alias("tm")))
+            # The least of the two, where null is no option yet.
+            return F.struct(s["pairs"].alias("pairs"), s["gc"].alias("gc"), s["at"].alias("at"),
+                            F.when(i < shortest, s["best"]).otherwise(F.least(s["best"], option)).alias("best"))
+
+        start = F.struct(F.lit(0.0).alias("pairs"), F.lit(0).alias("gc"), F.lit(0).alias("at"),
+                         F.lit(None).cast("struct<gap:double,len:int,pbs:string,tm:double>").alias("best"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(longest)), start, letter, lambda a: a["best"])
+
+    return let(reverse_complement(spacer), walk)
 
 
 def prime_guide_score(spacer: Column, tm: Column) -> Column:

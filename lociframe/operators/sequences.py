@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import sequence as Q
 from lociframe.functions.ordering import ordinal_rank
+from lociframe.functions.special import let
 from lociframe.session import cut_lineage, spread
 
 PIECE = 1024
 
 
-def windows(df: DataFrame, width: int, seq: str = "seq") -> DataFrame:
-    """Every window of ``width`` letters with its 0-based start ``at`` and the sequence length ``n``.
+def windows(df: DataFrame, spacer_len: int, pam: str, seq: str = "seq") -> DataFrame:
+    """Windows of a spacer and a PAM that may hold a site of either strand, with their 0-based start ``at`` and the
+    sequence length ``n``.
 
-    A long sequence is first cut, in one pass, into pieces that overlap by width - 1 letters. The pieces
-    are shuffled, so that one chromosome is not scanned by one task.
+    A long sequence is first cut, in one pass, into pieces that overlap by a window less one letter. The pieces
+    are shuffled, so that one chromosome is not scanned by one task. A piece is split in front of each window with
+    a PAM; the starts of its parts are those windows, and its own start, which needn't be one.
     """
+    width = spacer_len + len(pam)
     keep = [c for c in df.columns if c != seq]
     parts = F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
     joined = F.transform(F.col("parts"), lambda p, i: F.concat(
@@ -28,8 +32,10 @@ def windows(df: DataFrame, width: int, seq: str = "seq") -> DataFrame:
         .where(F.length("piece") >= width)
     )
     pieces = spread(pieces, *keep, "k")
-    at = F.explode(F.sequence(F.lit(0), F.least(F.lit(PIECE - 1), F.length("piece") - width)))
-    return pieces.withColumn("i", at).select(
+    front = f"(?={Q.iupac_regex_reverse(pam)}.{{{spacer_len}}}|.{{{spacer_len}}}{Q.iupac_regex(pam)})"
+    starts = let(F.split(F.regexp_replace("piece", "[^ACGT]", "N"), front, -1), lambda cut: F.transform(
+        cut, lambda _, i: F.length(F.array_join(F.slice(cut, F.lit(1), i), ""))))
+    return pieces.withColumn("i", F.explode(starts)).select(
         *keep, "n", (F.col("k") * PIECE + F.col("i")).alias("at"), F.substr("piece", F.col("i") + 1, F.lit(width)).alias("window"))
 
 
@@ -55,7 +61,7 @@ def both_strands(wins: DataFrame, spacer_len: int, pam: str) -> DataFrame:
 
 def find_sites(df: DataFrame, pam: str = "NGG", spacer_len: int = 20, clean: bool = True) -> DataFrame:
     """All spacers next to a PAM on both strands, also overlapping ones; no N, optionally no problem motifs."""
-    sites = both_strands(windows(df, spacer_len + len(pam)), spacer_len, pam).drop("at", "n")
+    sites = both_strands(windows(df, spacer_len, pam), spacer_len, pam).drop("at", "n")
     sites = sites.where(~F.contains(F.col("spacer"), F.lit("N")))
     return sites.where(~Q.is_problematic(F.col("spacer"))) if clean else sites
 
@@ -69,7 +75,8 @@ def design_guides(df: DataFrame, pam: str = "NGG", gc_min: float = 0.3, gc_max:
     sites = find_sites(df, pam).withColumn("gc_content", Q.gc_fraction(F.col("spacer"))).where(
         F.col("gc_content").between(gc_min, gc_max))
     scored = sites.withColumn("efficiency_score", F.round(Q.spacer_score(F.col("spacer")), 9)).withColumn("site", _site_key())
-    ranked = ordinal_rank(scored, ["gene"], "efficiency_score", "site", "guide_rank", descending=True)
+    # The ranges are sampled before they are dealt; the table keeps that from being a second scan of the sequences.
+    ranked = ordinal_rank(cut_lineage(scored), ["gene"], "efficiency_score", "site", "guide_rank", descending=True)
     return ranked.drop("site")
 
 
@@ -145,7 +152,7 @@ def base_editor_scan(exons: DataFrame, pam: str = "NGG", window: tuple[int, int]
     Exons are rows (exon_id, seq, start). As in the source scan, a strand stops 23 letters before its end.
     """
     pam_len = len(pam)
-    wins = windows(exons, 20 + pam_len)
+    wins = windows(exons, 20, pam)
     sites = both_strands(wins, 20, pam)
     own = F.when(F.col("strand") == "+", F.col("at")).otherwise(F.col("n") - F.col("at") - (20 + pam_len))
     pos = Q.window_positions(F.col("spacer"), window[0], window[1], target)
