@@ -221,6 +221,45 @@ def running_max(ranges: DataFrame, keys: Sequence[str], value: str) -> Callable[
     return run
 
 
+def running_max_by(ranges: DataFrame, keys: Sequence[str], value: str, label: str, labels: Sequence[Any]) -> Callable[[int, pa.Table], Iterator[np.ndarray]]:
+    """As `running_max`, one array for each of the labels: the largest value, up to and with each row, of those rows of its
+    keys that carry the label. The work is that of one running maximum, whatever the number of labels."""
+
+    def parts(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+        v, held = table.column(value).cast(pa.float64()), table.column(label)
+        some = pc.is_valid(v)
+        at = [np.flatnonzero(pc.fill_null(pc.and_(some, pc.equal(held, pa.scalar(x, held.type))), False).to_numpy()) for x in labels]
+        return pc.fill_null(v, -np.inf).to_numpy(), at
+
+    def edge(_: int, table: pa.Table) -> dict[str, Any]:
+        starts, (v, at) = group_starts(table, keys), parts(table)
+        key = lambda i: tuple(_plain(table.column(k)[i].as_py()) for k in keys)
+        tail = np.array([v[p[np.searchsorted(p, starts[-1]):]].max(initial=-np.inf) for p in at])
+        return {"first": key(0), "last": key(len(table) - 1), "single": len(starts) == 1, "tail": tail}
+
+    carry, prev = {}, None
+    for number, e in collect_ranges(ranges, [*keys, value, label], edge).items():
+        same = prev is not None and prev["last"] == e["first"]
+        carry[number] = prev["most"] if same else np.full(len(labels), -np.inf)
+        prev = {**e, "most": np.maximum(e["tail"], carry[number]) if e["single"] else e["tail"]}
+
+    def run(number: int, table: pa.Table) -> Iterator[np.ndarray]:
+        v, at = parts(table)
+        fresh = np.zeros(len(table), np.int64)
+        fresh[group_starts(table, keys)[1:]] = 1
+        group = np.cumsum(fresh)
+        for p, before in zip(at, carry[number]):
+            levels, place = np.unique(v[p], return_inverse=True)
+            up = group[p] * len(levels)
+            # The last row with the label before each row, if it is of the same group; nothing stands for none.
+            most = np.append(levels[np.maximum.accumulate(place + up) - up], -np.inf)
+            last = np.searchsorted(p, np.arange(len(v)), "right") - 1
+            last[(last < 0) | (np.append(group[p], -1)[last] != group)] = len(p)
+            yield np.where(group == 0, np.maximum(most[last], before), most[last])
+
+    return run
+
+
 # ---- ranks, quantiles, adjusted p-values
 
 

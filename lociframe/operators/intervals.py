@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociframe.functions.ordering import emit_ranges, exact_quantiles, previous_value, running_max, running_sums, sorted_ranges
+from lociframe.functions.ordering import emit_ranges, exact_quantiles, previous_value, running_max, running_max_by, running_sums, sorted_ranges
 from lociframe.session import cut_lineage
 
 
@@ -153,6 +153,34 @@ def reach_hits(left: DataFrame, right: DataFrame, rule: str = OVER_HALF_OF_LEFT,
     return emit_ranges(ranges, T.StructType(fields), work).distinct()
 
 
+def _reach_across(left: DataFrame, right: DataFrame, rule: str, key: str) -> DataFrame:
+    """As `reach_hits`, with every condition of the right side but ``other``, which is the interval's own one here.
+
+    A probe stands in the order once and is answered by each condition's running maximum, so the rows don't grow with
+    the number of conditions.
+    """
+    left = left.where(F.col("other").isNotNull())
+    conds = [r[0] for r in right.select("cond").where(F.col("cond").isNotNull()).distinct().collect()]  # the few conditions
+    keys = [c for c in _GROUP if c != "other"]
+    ranges = sorted_ranges(_reach_rows(left, right, rule, key), [F.col(c) for c in [*keys, "pos", "kind", "v", "id"]])
+    most = running_max_by(ranges, keys, "v", "other", conds)
+    beyond = np.greater if rule == OVER_HALF_OF_LEFT else np.greater_equal
+    kind = left.schema["other"].dataType
+
+    def work(number: int, table: pa.Table) -> list[pa.Array]:
+        tau = pc.fill_null(table.column("tau"), np.inf).to_numpy()
+        own, ids = table.column("other"), table.column("id")
+        found = []
+        for cond, value in zip(conds, most(number, table)):
+            hit = beyond(value, tau) & np.isfinite(tau)
+            some = ids.filter(pc.and_(pa.array(hit), pc.not_equal(own, pa.scalar(cond, own.type)))).unique()
+            found.append((some, pa.array([cond], own.type).take(pa.array(np.zeros(len(some), np.int64)))))
+        return [pa.concat_arrays([pa.array([], c.type), *[f[k].cast(c.type) for f in found]]) for k, c in enumerate((ids, own))]
+
+    fields = [T.StructField(key, left.schema[key].dataType), T.StructField("other", kind)]
+    return emit_ranges(ranges, T.StructType(fields), work).distinct()
+
+
 RULES = (OVER_HALF_OF_LEFT, HALF_OF_SHORTER)
 
 
@@ -176,9 +204,7 @@ def _cross_condition_hits(peaks: DataFrame, condition: str, key: str, of: str |
     """(key, other condition) for each peak (of one condition, if given) and each other condition in which it has a match."""
     own = peaks if of is None else peaks.where(F.col("cond") == of)
     if condition in RULES:
-        conds = peaks.select("cond").distinct().agg(F.collect_set("cond")).scalar()  # the few conditions
-        left = own.select("chrom", "start", "end", key, "cond", F.explode(conds).alias("other")).where("other <> cond")
-        return reach_hits(left.drop("cond"), peaks.select("chrom", "start", "end", "cond"), condition, key)
+        return _reach_across(own.select("chrom", "start", "end", key, F.col("cond").alias("other")), peaks.select("chrom", "start", "end", "cond"), condition, key)
     pairs = overlap_join(own, peaks, F.expr(condition)).where(F.col("a.cond") != F.col("b.cond"))
     return pairs.select(F.col(f"a.{key}").alias(key), F.col("b.cond").alias("other")).distinct()
 
