@@ -124,7 +124,7 @@ def _near_in(a: pa.Table, b: pa.Table, eps: float, same: bool) -> Iterator[tuple
         yield at + i, j, d[i, j]
 
 
-def _joined(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+def joined(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Smallest member of each node's group after the links are added; `root` has that before them."""
     root = root.copy()
     while True:
@@ -197,7 +197,7 @@ class Cells:
             root = np.arange(len(ids))
             for i, j, _ in _near_in(a, b, eps, same):
                 both, first, second = ca[i] & cb[j], ~ca[i] & cb[j], ca[i] & ~cb[j]
-                root = _joined(root, pa_[i[both]], pb[j[both]])
+                root = joined(root, pa_[i[both]], pb[j[both]])
                 x = np.concatenate([ia[i[first]], ib[j[second]]])
                 yield from batches_of(out, x, np.concatenate([ib[j[first]], ia[i[second]]]), np.ones(len(x), bool))
             far = np.flatnonzero(root != np.arange(len(ids)))

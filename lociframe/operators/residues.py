@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.functions.ordering import ordinal_rank
+from lociframe.operators.blocks import CELLS
 from lociframe.operators.graph import connected_components
+from lociframe.operators.neighbours import joined
 from lociframe.session import cut_lineage, spread
 
 # Three-letter to one-letter residue names.
@@ -52,14 +56,50 @@ def contacts(res: DataFrame, reach: float = 8.0, keys: tuple[str, ...] = ("struc
         *keys, "a", "b", F.sqrt(d2).alias("distance"))
 
 
+def contact_links(res: DataFrame, reach: float = 8.0, keys: tuple[str, ...] = ("structure",), key: str = "rid") -> DataFrame:
+    """Links (src, dst) whose components are those of the `contacts`, fewer than the residues of each meeting.
+
+    A residue goes to its own cell and to the 13 cells behind it. There the cell's own residues meet each other and the
+    guests, some at a time, and only the links of the groups they form leave the task, however many the contacts are.
+    """
+    cell = ["gx", "gy", "gz"]
+    held = res.select(*keys, key, *[F.col(c).cast("double").alias(c) for c in "xyz"]).dropna()
+    base = held.select(*held.columns, *[F.floor(F.col(c) / reach).cast("long").alias(g) for c, g in zip("xyz", cell)])
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=3) if s >= (0, 0, 0)]
+    step = F.explode(F.array(*[F.struct(*[F.lit(d).alias(g) for g, d in zip(cell, s)]) for s in steps]))
+    sides = base.withColumn("d", step).select(*keys, key, "x", "y", "z", *[(F.col(g) + F.col(f"d.{g}")).alias(g) for g in cell],
+                                              (F.col("d") == F.struct(*[F.lit(0).alias(g) for g in cell])).alias("own"))
+    kind = res.schema[key].dataType.simpleString()
+
+    def work(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_numpy(zero_copy_only=False)
+        column = pa.concat_arrays(table.column(key).chunks)
+        names = column.dictionary_encode()
+        node = names.indices.to_numpy()
+        x = [table.column(c).to_numpy() for c in "xyz"]
+        root = np.arange(len(names.dictionary))
+        mine = np.flatnonzero(own)
+        step = max(16, CELLS // len(table))
+        for at in range(0, len(mine), step):
+            i = mine[at:at + step]
+            d2 = 0.0
+            for c in x:
+                d2 = d2 + (c[i, None] - c[None]) * (c[i, None] - c[None])
+            a, b = np.nonzero(d2 <= reach * reach)
+            root = joined(root, node[i[a]], node[b])
+        far = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"src": names.dictionary.take(pa.array(root[far])), "dst": names.dictionary.take(pa.array(far))})
+
+    return spread(sides, *keys, *cell).groupBy(*keys, *cell).applyInArrow(work, f"src {kind}, dst {kind}")
+
+
 def pockets(res: DataFrame, max_sasa: float = 25.0, reach: float = 8.0) -> DataFrame:
     """Buried residues grouped by contact (connected components), with the pocket as its smallest residue id.
 
     Residue ids must be unique over all structures.
     """
     buried = cut_lineage(res.where(F.col("sasa") < max_sasa))
-    edges = contacts(buried, reach).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    comp = connected_components(edges)
+    comp = connected_components(contact_links(buried, reach))
     return buried.join(comp, F.col("rid") == F.col("node"), "left").withColumn(
         "pocket", F.coalesce("component", "rid")).drop("node", "component")
 
