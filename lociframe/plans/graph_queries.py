@@ -12,6 +12,7 @@ from lociframe.operators import residues as R
 from lociframe.plans.inputs import BASKET_EDGES, KIND_MATRIX, basket_edges, kind_matrix, table
 from lociframe.plans.matrix_queries import r6
 from lociframe.plans.registry import query
+from lociframe.session import cut_lineage
 
 E = f"WITH e AS ({BASKET_EDGES})"
 SYM = "sy AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
@@ -91,10 +92,11 @@ def _(spark, sf):
 
 @query("sampled_betweenness")
 def _(spark, sf):
-    e = basket_edges(spark, sf)
+    # The edges and the sample are read many times below.
+    e = cut_lineage(basket_edges(spark, sf))
     nodes = G.degrees(e).select("node")
     key = F.xxhash64(F.lit(42), "node")
-    ends = nodes.orderBy(key).limit(200)
+    ends = cut_lineage(nodes.orderBy(key).limit(200))
     # A hundred pairs of the nodes first in a seeded order; the sample is the operator's own.
     from lociframe.functions.ordering import ordinal_rank
 
