@@ -29,6 +29,8 @@ PIVOTS = 24
 LEVELS = 24
 #: A split is kept if its cells hold at most GROWTH times the points, and the largest at most SHRINK of them.
 GROWTH, SHRINK = 3.0, 0.75
+#: Rows of meetings, and products of points, that a task of a descent holds at a time.
+MET, PRODUCTS = 1 << 15, 1 << 20
 
 
 def _vectors(column: pd.Series) -> np.ndarray:
@@ -214,12 +216,10 @@ def near_pairs(points: DataFrame, eps: float, cell: int = CELL) -> DataFrame:
 # ---- neighbour graphs by descent
 
 
-def _best(ids: np.ndarray, x: np.ndarray, fresh: np.ndarray | None, k: int) -> pd.DataFrame:
-    """Each member's k nearest others in a group, without pairs of two that are both not fresh."""
+def _best(ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """Each member's k nearest others in a group."""
     d = distances(x, x)
     np.fill_diagonal(d, np.inf)
-    if fresh is not None:
-        d[~(fresh[:, None] | fresh[None])] = np.inf
     take = min(k, len(ids) - 1)
     at = np.argpartition(d, take - 1, axis=1)[:, :take] if take else np.zeros((len(ids), 0), int)
     i = np.repeat(np.arange(len(ids)), at.shape[1])
@@ -231,10 +231,64 @@ def _best(ids: np.ndarray, x: np.ndarray, fresh: np.ndarray | None, k: int) -> p
 NEAR = "id long, neighbour long, distance double"
 
 
+def _nearer(met: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+    """Each member's k nearest others within its bound in whole meetings (v, g, u, fresh, bound, vec), in their order.
+
+    Pairs of two that are both not fresh are left out. Meetings of one size are measured together.
+    """
+    out = pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("distance", pa.float64())])
+    v, g, u, bound = (met.column(c).to_numpy() for c in ("v", "g", "u", "bound"))
+    fresh, x = met.column("fresh").to_numpy() == 1, vectors(met)
+    starts = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (g[1:] != g[:-1])]))
+    sizes = np.diff(starts, append=len(v))
+    sizes[~np.logical_or.reduceat(fresh, starts)] = 0
+    for size in np.unique(sizes[sizes > 1]):
+        those = starts[sizes == size]
+        step, place = max(1, PRODUCTS // int(size) ** 2), np.arange(size)
+        for at in range(0, len(those), step):
+            rows = those[at:at + step, None] + place
+            d = x[rows] @ x[rows].transpose(0, 2, 1)
+            # Squares from the same products, so that equal points are at distance 0.
+            own = d[:, place, place]
+            d *= -2
+            d += own[:, :, None]
+            d += own[:, None]
+            d = np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+            near = d <= bound[rows][:, :, None] + 1e-8
+            near &= fresh[rows][:, :, None] | fresh[rows][:, None]
+            near[:, place, place] = False
+            m, i = np.nonzero(near.sum(axis=2) > k)
+            if len(m):
+                # Members are in the order of their ids, which a stable sort keeps among equal distances.
+                best = np.where(near[m, i], np.round(d[m, i], 9), np.inf).argsort(axis=1, kind="stable")[:, :k]
+                near[m, i] = False
+                near[m[:, None], i[:, None], best] = True
+            m, i, j = np.nonzero(near)
+            yield from batches_of(out, u[rows[m, i]], u[rows[m, j]], d[m, i, j])
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """`_nearer` over rows in the order of their meetings, many at a time; the last one held waits for its other rows."""
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + len(batch)
+        if n >= MET:
+            met = pa.Table.from_batches(held)
+            v, g = met.column("v").to_numpy(), met.column("g").to_numpy()
+            whole = int(np.argmax((v == v[-1]) & (g == g[-1])))
+            if whole:
+                yield from _nearer(met.slice(0, whole), k)
+            held, n = met.slice(whole).to_batches(), n - whole
+    if n:
+        yield from _nearer(pa.Table.from_batches(held), k)
+
+
 def knn_descent(points: DataFrame, k: int = 15, cell: int = 256, rounds: int = 12, settled: float = 0.001, group: int = 64, seed: int = 5) -> DataFrame:
     """Approximate k nearest other points (id, neighbour, distance, place), by descent from two splits into cells.
 
     A round reads the graph's edges, not the points' pairs: its work is the number of edges times the size of a meeting.
+    A point without fresh edges calls no meeting, and a pair leaves its meeting only for the end whose k-th neighbour so
+    far is not nearer, so what is sent on shrinks with each round.
     Points that very many others have as neighbour meet these in groups of `group`, chosen anew in each round. It ends
     when less than the share `settled` of all edges is new, or after `rounds`. tests/test_neighbours.py measures recall.
     """
@@ -249,19 +303,24 @@ def knn_descent(points: DataFrame, k: int = 15, cell: int = 256, rounds: int = 1
     first = None
     for s in (seed, seed + 100):
         small, dense = cells(data, None, cell, s)
-        whole = small if dense is None else small.unionByName(dense.withColumn("cell", F.concat_ws("/", "cell", F.pmod(F.xxhash64(F.lit(s), "id"), F.lit(997)).cast("string"))))
-        found = whole.groupBy("cell").applyInPandas(lambda pdf: _best(pdf["id"].to_numpy(), _vectors(pdf["vec"]), None, k), NEAR)
+        if dense is not None:
+            # A cell that no pivots split, such as copies of one point, is cut into parts of the size of a cell.
+            parts = dense.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell).alias("parts"))
+            dense = dense.join(parts, "cell").withColumn("cell", F.concat_ws("/", "cell", F.pmod(F.xxhash64(F.lit(s), "id"), F.col("parts")).cast("string"))).drop("parts")
+        whole = small if dense is None else small.unionByName(dense)
+        found = whole.groupBy("cell").applyInPandas(lambda pdf: _best(pdf["id"].to_numpy(), _vectors(pdf["vec"]), k), NEAR)
         first = found if first is None else first.unionByName(found)
     graph = cut_lineage(nearest(first.withColumn("old", F.lit(0))).select("id", "neighbour", "distance", "place", F.lit(1).alias("fresh")))
     for r in range(rounds):
         ends = graph.select(F.col("id").alias("v"), F.col("neighbour").alias("u"), "fresh").unionByName(graph.select(F.col("neighbour").alias("v"), F.col("id").alias("u"), "fresh"))
         own = graph.select(F.col("id").alias("v"), F.col("id").alias("u"), F.lit(0).alias("fresh")).distinct()
         ends = ends.unionByName(own).groupBy("v", "u").agg(F.max("fresh").alias("fresh"))
-        counts = ends.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / group).alias("m"))
+        counts = ends.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / group).alias("m"), F.max("fresh").alias("any")).where("any = 1").drop("any")
         placed = ends.join(counts, "v").withColumn("g", F.pmod(F.xxhash64(F.lit(r), "u"), F.col("m")))
-        meet = spread(placed.join(data.withColumnRenamed("id", "u"), "u").select("v", "g", "u", "fresh", "vec"), "v", "g")
-        found = meet.groupBy("v", "g").applyInPandas(
-            lambda pdf: _best(pdf["u"].to_numpy(), _vectors(pdf["vec"]), pdf["fresh"].to_numpy() == 1, k) if (pdf["fresh"] == 1).any() and len(pdf) > 1 else pd.DataFrame({"id": [], "neighbour": [], "distance": []}), NEAR)
+        bounds = graph.where(F.col("place") == k).select(F.col("id").alias("u"), F.round("distance", 9).alias("bound"))
+        members = data.withColumnRenamed("id", "u").join(bounds, "u", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+        meet = spread(placed.join(members, "u").select("v", "g", "u", "fresh", "bound", "vec"), "v", "g").sortWithinPartitions("v", "g", "u")
+        found = meet.mapInArrow(lambda batches: _meetings(batches, k), NEAR)
         both = graph.select("id", "neighbour", "distance", F.lit(1).alias("old")).unionByName(found.withColumn("old", F.lit(0)))
         graph = cut_lineage(nearest(both).select("id", "neighbour", "distance", "place", (1 - F.col("kept")).alias("fresh")))
         if graph.where("fresh = 1").count() <= settled * n * k:

@@ -1,6 +1,7 @@
 """Near pairs by pivots, neighbour descent and components, against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,35 @@ def test_descent_recall(spark):
     assert same.where(F.abs(F.col("distance") - F.col("want")) > 1e-9).count() == 0
 
 
+def test_descent_of_copies(spark):
+    """Copies of a few points fill cells that no pivots split: each point still has its k neighbours, all of them copies."""
+    x = np.repeat(np.random.default_rng(8).normal(0, 5, (4, 6)), 150, axis=0)
+    found = N.knn_descent(table(spark, x), 10, cell=60).toPandas()
+    assert (found.groupby("id").size() == 10).all() and found["id"].nunique() == 600
+    assert (found["id"] // 150 == found["neighbour"] // 150).all() and (found["distance"] < 1e-6).all()
+
+
+@pytest.mark.parametrize("rows", [1, 40, 10_000])
+def test_meetings_send_what_is_nearer(rows, monkeypatch):
+    """Over batches of any size: each member's k nearest within its bound, without pairs of two old ones, and no others."""
+    monkeypatch.setattr(N, "MET", rows)
+    monkeypatch.setattr(N, "PRODUCTS", 300)
+    rng, k = np.random.default_rng(9), 3
+    columns, want = [], set()
+    for v, size in enumerate([1, 2, 5, 17, 17, 30, 5]):
+        u, x = np.sort(rng.choice(1000, size, replace=False)), rng.integers(0, 4, (size, 2)).astype(float)
+        fresh, bound = rng.integers(0, 2, size) * (v != 3), rng.choice([0.0, 1.0, 2.0, np.inf], size)
+        columns += [(v // 2, v % 2, int(a), int(f), float(b), y.tolist()) for a, f, b, y in zip(u, fresh, bound, x)]
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        for i in range(size):
+            near = sorted((round(d[i, j], 9), u[j]) for j in range(size) if j != i and (fresh[i] or fresh[j]) and d[i, j] <= bound[i] + 1e-9)
+            want |= {(int(u[i]), int(b), float(a)) for a, b in near[:k]}
+    names = ["v", "g", "u", "fresh", "bound", "vec"]
+    batches = pa.table(dict(zip(names, map(list, zip(*columns))))).to_batches(max_chunksize=7)
+    got = [(a, b, round(d, 9)) for t in N._meetings(iter(batches), k) for a, b, d in zip(*(t.column(c).to_pylist() for c in ("id", "neighbour", "distance")))]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(0, 1, (300, 40)) @ np.diag(np.linspace(4, 0.2, 40)) @ np.linalg.qr(rng.normal(0, 1, (40, 40)))[0] + rng.normal(0, 5, 40)
