@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.functions.ordering import ordinal_rank
 from lociframe.session import cut_lineage
 
+#: Counted rows up to which a table of nodes is sent to the edges, instead of both being shuffled.
+SENT = 1 << 20
+
 
 def build_graph(raw: DataFrame, scale: float = 1000.0) -> DataFrame:
     """Undirected edges once each (src < dst) with scaled score, the larger one of repeated rows."""
@@ -18,13 +23,20 @@ def build_graph(raw: DataFrame, scale: float = 1000.0) -> DataFrame:
     )
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """Each edge once in either direction; repeats are dropped before the turn, so half the rows are hashed."""
-    one = edges.where(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+def _once(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+
+
+def _turned(one: DataFrame) -> DataFrame:
     ends = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
     return one.select(F.explode(ends).alias("e")).select("e.src", "e.dst")
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Each edge once in either direction; repeats are dropped before the turn, so half the rows are hashed."""
+    return _turned(_once(edges))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
 
@@ -135,42 +147,102 @@ def merge_small_communities(labels: DataFrame, edges: DataFrame, min_size: int =
     return labels.join(best, "node", "left").select("node", F.coalesce("b.label", "label").alias("label"))
 
 
+class _Side:
+    """One side of the searches of all pairs: a table (node, word, mask) for each distance, with a bit for each pair, and
+    of the last one the pairs and the rows by word."""
+
+    def __init__(self, start: DataFrame):
+        self.levels: list[DataFrame] = []
+        self.add(start)
+
+    def add(self, level: DataFrame) -> None:
+        self.levels.append(cut_lineage(level))
+        last = self.levels[-1].groupBy("word").agg(F.bit_or("mask").alias("mask"), F.count(F.lit(1)).alias("n")).collect()
+        self.masks, self.rows = {r["word"]: r["mask"] for r in last}, {r["word"]: r["n"] for r in last}
+
+    def size(self, among: dict[int, int]) -> int:
+        return sum(n for word, n in self.rows.items() if word in among)
+
+
+def _masks(df: DataFrame) -> dict[int, int]:
+    return {r["word"]: r["mask"] for r in df.groupBy("word").agg(F.bit_or("mask").alias("mask")).collect()}
+
+
+def _shared(level: DataFrame, other: DataFrame, count: int | None = None) -> DataFrame:
+    """The nodes of both, with the bits of both; the other is sent if it is counted and small."""
+    other = other.withColumnRenamed("mask", "__other")
+    met = level.join(F.broadcast(other) if count is not None and count <= SENT else other, ["node", "word"])
+    return met.select("node", "word", F.col("mask").bitwiseAND(F.col("__other")).alias("mask")).where("mask <> 0")
+
+
+def _among(level: DataFrame, masks: dict[int, int]) -> DataFrame:
+    """The rows that belong to pairs of the masks, with the bits of those."""
+    wanted = level.sparkSession.createDataFrame(list(masks.items()), "word long, __among long")
+    mask = F.col("mask").bitwiseAND(F.col("__among"))
+    return level.join(F.broadcast(wanted), "word").select("node", "word", mask.alias("mask")).where("mask <> 0")
+
+
+def _neighbours(rows: DataFrame, count: int, sym: DataFrame) -> DataFrame:
+    """The rows at every neighbour of their nodes."""
+    ends = sym.toDF("node", "__next")
+    met = ends.join(F.broadcast(rows) if count <= SENT else rows, "node")
+    return met.drop("node").withColumnRenamed("__next", "node").select(rows.columns)
+
+
 def sampled_betweenness(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Share of the given pairs (pair, source, target) whose one shortest path passes through a node.
 
-    All searches advance together, one join per step; a node keeps its smallest parent. The paths are
-    then walked back from the targets.
+    All searches advance together from both ends, one step of the side with fewer nodes in a round, until the sides of a
+    pair meet or one of them has no more nodes. Pairs are bits, so a node has a row for 64 of them, and a new node needs
+    to be compared with the last two distances only. The paths are then walked back from the targets, always to the
+    smallest node that is nearer to the source; on the target's side these are the nodes from which the sides meet.
     """
-    sym = cut_lineage(both_ways(edges))
-    pairs = cut_lineage(pairs.select("pair", "source", "target"))
+    one = cut_lineage(_once(edges))
+    sym = _turned(one)
+    pairs = cut_lineage(pairs.select("pair", "source", "target").withColumn("__id", F.monotonically_increasing_id()))
     total = pairs.count()
-    seen = cut_lineage(pairs.select("pair", F.col("source").alias("node"), F.lit(0).alias("dist"), F.col("source").alias("parent")))
-    front = seen
-    open_pairs = pairs
-    depth = 0
-    while True:
-        depth += 1
-        step = front.join(sym.toDF("node", "nxt"), "node").groupBy("pair", F.col("nxt").alias("node")).agg(F.min("node").alias("parent"))
-        front = cut_lineage(step.join(seen.select("pair", "node"), ["pair", "node"], "left_anti").select(
-            "pair", "node", F.lit(depth).alias("dist"), "parent"))
-        seen = cut_lineage(seen.unionByName(front))
-        reached = front.join(open_pairs, "pair").where(F.col("node") == F.col("target")).select("pair")
-        open_pairs = cut_lineage(open_pairs.join(reached, "pair", "left_anti"))
-        front = front.join(open_pairs.select("pair"), "pair", "left_semi")
-        if open_pairs.isEmpty() or front.isEmpty():
-            break
-    walk = seen.join(pairs, "pair").where(F.col("node") == F.col("target")).select("pair", F.col("parent").alias("node"), "source")
-    inner = None
-    while True:
-        walk = cut_lineage(walk.where(F.col("node") != F.col("source")))
-        if walk.isEmpty():
+    ends = cut_lineage(ordinal_rank(pairs, [], "__id", "__id", "__i").where("pair is not null and source <> target").select(
+        "source", "target", F.expr("(__i - 1) div 64").alias("word"), F.expr("shiftleft(1L, cast((__i - 1) % 64 as int))").alias("mask")))
+    start = lambda c: ends.groupBy(F.col(c).alias("node"), "word").agg(F.bit_or("mask").alias("mask"))
+    sides = near, far = _Side(start("source")), _Side(start("target"))
+    searched, found, meets = _masks(ends), [], {}
+    while searched:
+        side = min(sides, key=lambda x: x.size(searched))
+        at = side.levels
+        new = _neighbours(_among(at[-1], searched), side.size(searched), sym).select("node", "word", "mask", F.lit(0).cast("long").alias("known"))
+        for level in at[-2:]:
+            new = new.union(level.select("node", "word", F.lit(0).cast("long"), "mask"))
+        side.add(new.groupBy("node", "word").agg(F.bit_or("mask").bitwiseAND(F.bitwise_not(F.bit_or("known"))).alias("mask")).where("mask <> 0"))
+        searched = {word: left for word, mask in searched.items() if (left := mask & side.masks.get(word, 0))}
+        if not searched:
             break
-        hit = walk.select("pair", "node")
-        inner = hit if inner is None else inner.unionByName(hit)
-        walk = walk.join(seen.select("pair", "node", "parent"), ["pair", "node"]).select("pair", F.col("parent").alias("node"), "source")
-    if inner is None:
-        inner = walk.select("pair", "node")
-    return inner.groupBy("node").agg((F.count(F.lit(1)) / float(total)).alias("betweenness"))
+        smaller, larger = sorted(sides, key=lambda x: x.size(searched))
+        meet = cut_lineage(_shared(larger.levels[-1], smaller.levels[-1], smaller.size(searched)))
+        if met := _masks(meet):
+            ahead, back = len(near.levels) - 1, len(far.levels) - 1
+            found += [(ahead, back, word, mask) for word, mask in met.items()]
+            meets.setdefault(back, []).append(meet)
+            searched = {word: left for word, mask in searched.items() if (left := mask & ~met.get(word, 0))}
+    inner = [one.select(F.col("a").alias("node")).where(F.lit(False))]
+    if found:
+        # From where the sides meet to the targets: of each distance from a target, the nodes on shortest paths.
+        onward, now = {}, None
+        for dist in range(max(meets), 0, -1):
+            parts = list(meets.get(dist, ()))
+            if now is not None:
+                parts.append(_shared(far.levels[dist], _neighbours(now, now.count(), sym).groupBy("node", "word").agg(F.bit_or("mask").alias("mask"))))
+            onward[dist] = now = cut_lineage(functools.reduce(DataFrame.union, parts))
+        reached = edges.sparkSession.createDataFrame(found, "ahead int, back int, word long, __met long")
+        walk = cut_lineage(ends.join(F.broadcast(reached), "word").where(F.col("mask").bitwiseAND(F.col("__met")) != 0).select(
+            F.col("target").alias("node"), "word", "mask", "ahead", "back"))
+        steps = [(F.col("back") >= dist, onward[dist], F.col("ahead") + F.col("back") > dist) for dist in sorted(onward)]
+        steps += [(F.col("ahead") > dist, near.levels[dist], F.lit(True)) for dist in range(max(f[0] for f in found) - 1, 0, -1)]
+        for goes, level, within in steps:
+            at = _neighbours(walk.where(goes), total, sym).join(level.withColumnRenamed("mask", "__on"), ["node", "word"])
+            moved = at.where(F.col("mask").bitwiseAND(F.col("__on")) != 0).groupBy("word", "mask", "ahead", "back").agg(F.min("node").alias("node"))
+            walk = cut_lineage(moved.select(walk.columns).union(walk.where(~goes)))
+            inner.append(walk.where(goes & within).select("node"))
+    return functools.reduce(DataFrame.union, inner).groupBy("node").agg((F.count(F.lit(1)) / float(total)).alias("betweenness"))
 
 
 def partner_rows(raw: DataFrame) -> DataFrame:
